@@ -1,5 +1,6 @@
 """Drill-down over large tables along ordered category columns, on Spark DataFrames."""
 
+from stepwell import sample  # noqa: F401
 from stepwell.functions import *  # noqa: F401,F403
 from stepwell.operators import *  # noqa: F401,F403
 from stepwell.plans import *  # noqa: F401,F403

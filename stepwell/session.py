@@ -14,6 +14,7 @@ def local_session(app_name: str = "stepwell", cpus: int | str = "*", **conf: str
         .appName(app_name)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
