@@ -244,7 +244,7 @@ def resolve_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index is written once and read back."""
     path = scratch(spark, sf_dir, "part_index")
     sw.write_index(part_index(spark, sf_dir), path)
-    return sw.resolve_selection(part_requests(spark, sf_dir), sw.read_index(spark, path, PART_LEVELS))
+    return sw.resolve_selection(part_requests(spark, sf_dir), sw.read_index(spark, path))
 
 
 def resolve_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.functions import append_entry, is_true, join_lines, update_message
-from stepwell.plans.index import LevelIndex, as_index
+from stepwell.functions import append_entry, join_lines, update_message
+from stepwell.plans.index import LevelIndex, as_index, quoted
 
 
 def resolve_selection(
@@ -71,21 +71,20 @@ def cascade_trace(
     """
     index = as_index(source, levels)
     start = index.number_of(changed_level)
-    settled = _descend(requests, index, start, index.depth, test_from, on_missing)
-    labels = labels or {}
+    settled = _descend(requests, index, start, index.depth, test_from, on_missing, traced=True)
     steps = []
     came_from = "start"
     for step, k in enumerate(range(start + 1, index.depth + 1), 1):
         level = index.levels[k - 1]
-        shown = labels.get(level, level)
+        shown = (labels or {}).get(level, level)
         steps.append(
             F.struct(
-                F.lit(step).alias("step"),
-                F.lit(shown).alias("level"),
-                F.lit(came_from).alias("came_from"),
-                F.col(f"__old_{k}").cast("string").alias("old_value"),
-                F.col(level).cast("string").alias("new_value"),
-                F.coalesce(F.col(f"__choices_{k}"), F.lit(0).cast("bigint")).alias("n_choices"),
+                F.lit(step),
+                F.lit(shown),
+                F.lit(came_from),
+                F.expr(f"CAST(__old_{k} AS STRING)"),
+                F.expr(f"CAST({quoted(level)} AS STRING)"),
+                F.expr(f"coalesce(__choices_{k}, 0L)"),
                 F.col(f"__kept_{k}").alias("kept"),
             )
         )
@@ -120,18 +119,15 @@ def check_selection(
     """First level of each request that is not valid under the values above it, else null."""
     index = as_index(source, levels)
     _check_types(requests, index)
-    found = requests.select(request_id, *index.levels)
+    found = requests
     for k in range(1, index.depth + 1):
-        known = _lookup(index, k, [F.lit(True).alias(f"__found_{k}")])
-        keys = [F.col(c) for c in index.levels[:k]]
-        found = found.join(known, _match(keys), "left").drop(*_keys(k))
-    invalid = [F.when(~is_true(F.col(f"__found_{k}")), k) for k in range(1, index.depth + 1)]
-    return found.select(request_id, F.coalesce(*invalid).cast("int").alias("first_invalid_level"))
+        known = index.node(k).selectExpr(*_keys(k, f"__key{k}"), f"TRUE AS __found_{k}")
+        found = found.join(known, _match(index.levels[:k], f"__key{k}"), "left")
+    invalid = ", ".join(f"CASE WHEN __found_{k} IS NULL THEN {k} END" for k in range(1, index.depth + 1))
+    return found.selectExpr(quoted(request_id), f"CAST(coalesce({invalid}, NULL) AS INT) AS first_invalid_level")
 
 
-def default_selection(
-    spark: SparkSession, picks: Mapping[str, Any], request_id: int = 1, schema: str | None = None
-) -> DataFrame:
+def default_selection(spark: SparkSession, picks: Mapping[str, Any], request_id: int = 1) -> DataFrame:
     """A one-row request from a pick per level. Pass it through ``resolve_selection``."""
     columns = [F.lit(value).alias(level) for level, value in picks.items()]
     return spark.range(1).select(F.lit(request_id).cast("bigint").alias("request_id"), *columns)
@@ -144,13 +140,15 @@ def _descend(
     stop: int,
     test_from: Mapping[str, str] | None,
     on_missing: str,
+    traced: bool = False,
 ) -> DataFrame:
-    """Settle the levels ``start + 1 .. stop``; adds ``__old_k``, ``__choices_k`` and ``__kept_k``.
+    """Settle the levels ``start + 1 .. stop``.
 
     The request carries the first path below its settled values. At each level
     one lookup of the tested value either finds it, and brings the path below
     it, or does not: then the value comes from the carried path, whose rest
-    is still the right one.
+    is still the right one. ``traced`` adds ``__old_k``, ``__kept_k`` and, from
+    a second lookup, ``__choices_k``.
     """
     if on_missing not in ("first", "skip"):
         raise ValueError(f"on_missing is 'first' or 'skip', not {on_missing!r}")
@@ -160,64 +158,60 @@ def _descend(
     if unknown:
         raise ValueError(f"not a level: {sorted(unknown)}")
 
-    node = _lookup(index, start, [F.col(c).alias(f"__{c}") for c in index.path_columns(start)])
-    given = [F.col(c) for c in index.levels[:start]]
-    state = requests.join(node, _match(given), "left").drop(*_keys(start))
+    path = index.path(start)
+    top = index.node(start).selectExpr(*_keys(start, "__top"), *[f"{c} AS __{c}" for c in path])
+    state = requests.join(top, _match(index.levels[:start], "__top"), "left")
+    columns = {c: quoted(c) for c in requests.columns}
+    trace: list[str] = []
     for k in range(start + 1, stop + 1):
-        level = index.levels[k - 1]
+        above, level = index.levels[: k - 1], index.levels[k - 1]
         source = test_from.get(level, level)
-        value_type = index.tables[-1].schema[level].dataType
-        tested = F.col(source)
-        if source != level and requests.schema[source].dataType != value_type:
-            tested = tested.try_cast(value_type)
-        state = state.withColumns({"__tested": tested, "__unset": F.col(source).isNull()})
-        deeper = index.path_columns(k)
-        node = _lookup(index, k, [F.col(c).alias(f"__hit_{c}") for c in deeper])
-        above = [F.col(c) for c in index.levels[: k - 1]]
-        state = state.join(node, _match([*above, F.col("__tested")]), "left")
-        hit = F.col(f"__key_{k}").isNotNull()
-        skipped = F.col("__unset") if on_missing == "skip" else F.lit(False)
-
-        def settle(found: Column, fallback: Column) -> Column:
-            return F.when(hit, found).when(~skipped, fallback)
-
-        kept_columns = [c for c in state.columns if c in requests.columns and c != level]
-        kept_columns += [c for c in state.columns if c.startswith(("__old_", "__kept_"))]
-        kept_columns += [f"__choices_{j}" for j in range(start + 1, k + 1)]
-        state = state.select(
-            *kept_columns,
-            F.col(level).alias(f"__old_{k}"),
-            settle(F.col("__tested"), F.col(f"__first_{k}")).alias(level),
-            hit.alias(f"__kept_{k}"),
-            *[settle(F.col(f"__hit_{c}"), F.col(f"__{c}")).alias(f"__{c}") for c in deeper],
+        tested = quoted(source)
+        if requests.schema[source].dataType != index.schema[level].dataType:
+            tested = f"try_cast({tested} AS {index.schema[level].dataType.simpleString()})"
+        path = index.path(k)
+        node = index.node(k).selectExpr(*_keys(k), *[f"{c} AS __hit_{c}" for c in path])
+        found = F.expr(f"{_conditions(above)} AND {tested} = __key_{k}")
+
+        def settled(value: str, fallback: str, name: str) -> str:
+            unset = f"WHEN {quoted(source)} IS NULL THEN NULL " if on_missing == "skip" else ""
+            return f"CASE WHEN __key_{k} IS NOT NULL THEN {value} {unset}ELSE {fallback} END AS {name}"
+
+        kept = columns | {level: settled(tested, f"__first_{k}", quoted(level))}
+        joined = state.join(node, found, "left")
+        added = []
+        if traced:
+            counts = index.counts(k).selectExpr(*_keys(k - 1, "__up"), f"n_choices AS __choices_{k}")
+            joined = joined.join(counts, _match(above, "__up"), "left")
+            added = [f"__choices_{k}", f"{quoted(level)} AS __old_{k}", f"__key_{k} IS NOT NULL AS __kept_{k}"]
+        state = joined.selectExpr(
+            *kept.values(), *trace, *added, *[settled(f"__hit_{c}", f"__{c}", f"__{c}") for c in path]
         )
+        if traced:
+            trace += [f"__choices_{k}", f"__old_{k}", f"__kept_{k}"]
     return state
 
 
-def _keys(k: int) -> list[str]:
-    return [f"__key_{i}" for i in range(1, k + 1)]
+def _keys(k: int, name: str = "__key") -> list[str]:
+    """Projection that renames the first ``k`` keys of a node."""
+    return [f"key_{i} AS {name}_{i}" for i in range(1, k + 1)]
 
 
-def _lookup(index: LevelIndex, k: int, extra: Sequence[Column]) -> DataFrame:
-    """Node ``k`` with its level columns renamed to keys."""
-    keys = [F.col(c).alias(key) for c, key in zip(index.levels, _keys(k))]
-    return index.node(k).select(*keys, *extra)
+def _conditions(levels: Sequence[str], name: str = "__key") -> str:
+    return " AND ".join(f"{quoted(c)} = {name}_{i}" for i, c in enumerate(levels, 1))
 
 
-def _match(values: Sequence[Column]) -> Column:
-    met = F.lit(True)
-    for i, value in enumerate(values, 1):
-        met = met & (value == F.col(f"__key_{i}"))
-    return met
+def _match(levels: Sequence[str], name: str = "__key") -> Column:
+    """Join condition between the first levels of a request and the renamed keys of a node."""
+    return F.expr(_conditions(levels, name))
 
 
 def _check_types(requests: DataFrame, index: LevelIndex) -> None:
-    wanted = index.tables[-1].schema
     for level in index.levels:
         if level not in requests.columns:
             raise ValueError(f"requests have no column {level!r}")
-        if requests.schema[level].dataType != wanted[level].dataType:
+        given, wanted = requests.schema[level].dataType, index.schema[level].dataType
+        if given != wanted:
             raise ValueError(
-                f"column {level!r} is {requests.schema[level].dataType.simpleString()} in the requests,"
-                f" {wanted[level].dataType.simpleString()} in the table"
+                f"column {level!r} is {given.simpleString()} in the requests, {wanted.simpleString()} in the table"
             )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwell.operators.filters import drill_down
-from stepwell.plans.index import LevelIndex, as_index
+from stepwell.plans.index import LevelIndex, as_index, quoted
 from stepwell.plans.positions import GROUP_LIMIT
 
 
@@ -48,49 +48,42 @@ def choices_for(
     per combination, not once per request.
     """
     index = as_index(source, levels)
-    top = list(index.levels[:-1])
-    keys = [f"__key_{i}" for i in range(1, len(top) + 1)]
-    types = [index.tables[-1].schema[c].dataType for c in top]
-    if not top:
-        nothing = F.lit(None)
-        return requests.limit(0).select(
-            request_id,
-            nothing.cast("int").alias("level"),
-            nothing.cast("int").alias("position"),
-            nothing.cast("string").alias("value"),
+    if index.depth == 1:
+        nothing = "request_id bigint, level int, position int, value string"
+        return requests.sparkSession.createDataFrame([], nothing).withColumnRenamed("request_id", request_id)
+    above = index.levels[:-1]
+    types = [index.schema[c].dataType.simpleString() for c in above]
+
+    def only_above(k: int, names: Sequence[str]) -> str:
+        """The first k-1 of the names as keys, the other keys null."""
+        return ", ".join(
+            f"{name if i < k else f'CAST(NULL AS {kind})'} AS {{0}}_{i}"
+            for i, (name, kind) in enumerate(zip(names, types), 1)
         )
 
-    def key_columns(k: int) -> list:
-        """The first k-1 levels as keys, the others null."""
-        return [
-            (F.col(c) if i < k - 1 else F.lit(None).cast(t)).alias(key)
-            for i, (c, t, key) in enumerate(zip(top, types, keys))
-        ]
-
-    offered = [
-        index.ranked_choices(k, group_limit).select(
-            F.lit(k).alias("__level"),
-            *key_columns(k),
-            "position",
-            F.col(index.levels[k - 1]).cast("string").alias("value"),
-        )
-        for k in range(2, index.depth + 1)
-    ]
-    offered = reduce(DataFrame.union, offered)
-    asked = [
-        F.when(
-            reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in top[: k - 1]]),
-            F.struct(F.lit(k).alias("level"), *key_columns(k)),
-        )
+    keys = index.keys(index.depth - 1)
+    offered = reduce(
+        DataFrame.union,
+        [
+            index.ranked_choices(k, group_limit).selectExpr(
+                f"{k} AS offered_level",
+                *only_above(k, keys).format("offered").split(", "),
+                "position",
+                f"CAST(key_{k} AS STRING) AS value",
+            )
+            for k in range(2, index.depth + 1)
+        ],
+    )
+    names = [quoted(c) for c in above]
+    asked = ", ".join(
+        f"CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in names[: k - 1])} "
+        f"THEN struct({k} AS level, {only_above(k, names).format('asked')}) END"
         for k in range(2, index.depth + 1)
-    ]
-    asked = requests.select(request_id, F.explode(F.array_compact(F.array(*asked))).alias("__ask")).select(
-        request_id, "__ask.*"
     )
-    met = asked["level"] == offered["__level"]
-    for key in keys:
-        met = met & asked[key].eqNullSafe(offered[key])
-    return asked.join(offered, met).select(request_id, "level", "position", "value")
+    asked = requests.selectExpr(quoted(request_id), f"inline(array_compact(array({asked})))")
+    met = " AND ".join(f"asked_{i} <=> offered_{i}" for i in range(1, index.depth))
+    joined = asked.join(offered, F.expr(f"level = offered_level AND {met}"))
+    return joined.select(request_id, "level", "position", "value")
 
 
 def preview(df: DataFrame, n: int = 6, order_by: Sequence[str] = ()) -> DataFrame:

@@ -1,32 +1,58 @@
-"""The level index: everything the cascade needs to know about a table, level by level.
-
-Node ``k`` has one row per distinct non-null combination of the first ``k``
-levels. Besides the row count it holds the *first path* below the combination:
-for every deeper level the number of choices and the first choice, each taken
-under the first choice of the level before. A request that falls back to a first
-choice stays on that path, so the cascade needs one lookup per level.
+"""The level index: everything the cascade needs to know about a table.
+
+It starts from the *combinations*: the distinct rows of the level columns with
+their counts. Node ``k`` has one row per distinct non-null combination of the
+first ``k`` levels, with the *first path* below it: for every deeper level the
+first choice under the first choice of the level before. A request that falls
+back to a first choice stays on that path, so the cascade needs one lookup per
+level.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stepwell.plans.positions import GROUP_LIMIT, positions_in_group
 
 
-@dataclass(frozen=True)
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 class LevelIndex:
-    levels: tuple[str, ...]
-    tables: tuple[DataFrame, ...]
+    """Index of one table on an ordered list of level columns; see ``build_index`` and ``read_index``."""
+
+    def __init__(
+        self,
+        levels: Sequence[str],
+        combinations: DataFrame,
+        nodes: Sequence[DataFrame] = (),
+        counts: Sequence[DataFrame] = (),
+    ):
+        self.levels = tuple(levels)
+        self.combinations = combinations
+        self._nodes = dict(enumerate(nodes, 1))
+        self._counts = dict(enumerate(counts, 2))
+        self._size: int | None = None
 
     @property
     def depth(self) -> int:
         return len(self.levels)
 
+    @property
+    def schema(self) -> StructType:
+        return self.combinations.schema
+
+    @property
+    def size(self) -> int:
+        """Number of combinations."""
+        if self._size is None:
+            self._size = self.combinations.count()
+        return self._size
+
     def number_of(self, level: str | int) -> int:
         """1-based number of a level given by name or number."""
         number = self.levels.index(level) + 1 if isinstance(level, str) else level
@@ -34,64 +60,82 @@ class LevelIndex:
             raise ValueError(f"level {level} is outside 1..{self.depth}")
         return number
 
-    def path_columns(self, k: int) -> list[str]:
+    def keys(self, k: int) -> list[str]:
+        return [f"key_{i}" for i in range(1, k + 1)]
+
+    def path(self, k: int) -> list[str]:
         """First-path columns of node ``k``."""
-        return [c for j in range(k + 1, self.depth + 1) for c in (f"choices_{j}", f"first_{j}")]
+        return [f"first_{j}" for j in range(k + 1, self.depth + 1)]
 
     def node(self, k: int) -> DataFrame:
-        table = self.tables[k - 1]
-        for c in self.levels[:k]:
-            table = table.filter(F.col(c).isNotNull())
-        return table
+        """Columns ``key_1 .. key_k`` and the first path below them."""
+        if k not in self._nodes:
+            self._nodes[k] = self._compute_node(k)
+        return self._nodes[k]
+
+    def counts(self, k: int) -> DataFrame:
+        """Columns ``key_1 .. key_(k-1)`` and the number of choices of level ``k`` under them."""
+        if k not in self._counts:
+            self._counts[k] = (
+                self._prefixes(k).distinct().groupBy(*self.keys(k - 1)).count().withColumnRenamed("count", "n_choices")
+            )
+        return self._counts[k]
 
     def ranked_choices(self, k: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
-        """Choices of level ``k`` with their position under each combination above it."""
-        *above, level = self.levels[:k]
-        choices = self.node(k).select(*above, level)
+        """Columns ``key_1 .. key_k`` and the ``position`` of the last key among the choices under the others."""
+        *above, level = self.keys(k)
         largest = 0
-        if k > 1:
-            counts = self.node(k - 1).agg(F.max(f"choices_{k}").alias("n"))
-            largest = counts.first()["n"] or 0
-        return positions_in_group(choices, above, level, "position", largest, group_limit)
+        if self.size > group_limit:
+            largest = self.counts(k).selectExpr("coalesce(max(n_choices), 0) AS n").first()["n"]
+        return positions_in_group(self.node(k).select(*above, level), above, level, "position", largest, group_limit)
 
     def unpersist(self) -> None:
-        for table in self.tables:
-            table.unpersist()
-
-
-def build_index(df: DataFrame, levels: Sequence[str], persist: bool = True) -> LevelIndex:
+        self.combinations.unpersist()
+
+    def _prefixes(self, k: int) -> DataFrame:
+        """Level values 1..k of the combinations that have all of them."""
+        keys = [f"{quoted(c)} AS key_{i}" for i, c in enumerate(self.levels[:k], 1)]
+        return self.combinations.filter(f"{quoted(self.levels[k - 1])} IS NOT NULL").selectExpr(*keys)
+
+    def _compute_node(self, k: int) -> DataFrame:
+        if k == self.depth:
+            return self._prefixes(k)
+        keys = self.keys(k)
+        deeper = list(enumerate(self.levels[k:], k + 1))
+        # a null sorts after every value, and what follows a null is null
+        fields = ", ".join(f"{quoted(c)} IS NULL AS no_{j}, {quoted(c)} AS first_{j}" for j, c in deeper)
+        return (
+            self.combinations.filter(f"{quoted(self.levels[k - 1])} IS NOT NULL")
+            .selectExpr(
+                *[f"{quoted(c)} AS {key}" for c, key in zip(self.levels, keys)], f"struct({fields}) AS path"
+            )
+            .groupBy(*keys)
+            .agg({"path": "min"})
+            .selectExpr(*keys, *[f"`min(path)`.{c}" for c in self.path(k)])
+        )
+
+
+def build_index(df: DataFrame, levels: Sequence[str]) -> LevelIndex:
     """Index a table on an ordered list of level columns.
 
-    The table is read once, for its level columns only, and counted per
-    combination with partial counts before the shuffle. Every shorter node is
-    computed from the next longer one, so it costs no further scan. The nodes
-    are kept in the Spark cache (memory, then disk; lost blocks are computed
-    again), which recognises the same table and levels: a second call shares
-    the first one's nodes.
+    The table is read once, for its level columns only, and its rows are counted
+    per combination, partly before the shuffle. Values below a null cannot be
+    reached and become null. The combinations are computed here and kept in the
+    Spark cache (memory, then disk; lost blocks are computed again), so that the
+    planner knows their true size when it chooses between broadcasting a node and
+    shuffling to it. The cache recognises the same table and levels: a second call
+    shares the first one's combinations.
     """
     levels = tuple(levels)
     _check_levels(df, levels)
-    depth = len(levels)
-    table = df.groupBy(*levels).agg(F.count("*").alias("n_rows"))
-    tables = [table.persist() if persist else table]
-    for k in range(depth - 1, 0, -1):
-        table = _shorter_node(tables[0], levels, k)
-        tables.insert(0, table.persist() if persist else table)
-    return LevelIndex(levels, tuple(tables))
-
-
-def _shorter_node(longer: DataFrame, levels: tuple[str, ...], k: int) -> DataFrame:
-    child = F.col(levels[k])
-    path = [child.alias(f"first_{k + 1}")]
-    for j in range(k + 2, len(levels) + 1):
-        path += [F.col(f"choices_{j}"), F.col(f"first_{j}")]
-    # children are distinct, so the least struct is the one of the least child
-    least = F.min(F.when(child.isNotNull(), F.struct(*path)))
-    return (
-        longer.groupBy(*levels[:k])
-        .agg(F.sum("n_rows").alias("n_rows"), F.count(child).alias(f"choices_{k + 1}"), least.alias("__path"))
-        .select(*levels[:k], "n_rows", f"choices_{k + 1}", "__path.*")
-    )
+    reachable = [quoted(levels[0])]
+    for k, level in enumerate(levels[1:], 1):
+        above = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in levels[:k])
+        reachable.append(f"CASE WHEN {above} THEN {quoted(level)} END AS {quoted(level)}")
+    combinations = df.selectExpr(*reachable).groupBy(*map(quoted, levels)).count().persist()
+    index = LevelIndex(levels, combinations)
+    index.size  # noqa: B018 - computes and keeps the combinations
+    return index
 
 
 def _check_levels(df: DataFrame, levels: tuple[str, ...]) -> None:
@@ -99,24 +143,29 @@ def _check_levels(df: DataFrame, levels: tuple[str, ...]) -> None:
         raise ValueError("at least one level is needed")
     if len(set(levels)) < len(levels):
         raise ValueError("a level is named twice")
-    reserved = {"n_rows"} | {f"{p}_{j}" for p in ("choices", "first") for j in range(len(levels) + 1)}
     for c in levels:
         if c not in df.columns:
             raise ValueError(f"no column {c!r}")
-        if c in reserved or c.startswith("__"):
+        if c == "count" or c.startswith("__"):
             raise ValueError(f"{c!r} is a name the index uses itself: rename the column")
 
 
 def write_index(index: LevelIndex, path: str) -> None:
-    """Store an index, one table per node, so that later jobs and streams only read it."""
+    """Store an index with all its nodes, so that later jobs and streams only read it."""
+    index.combinations.write.mode("overwrite").parquet(f"{path}/combinations")
     for k in range(1, index.depth + 1):
         index.node(k).write.mode("overwrite").parquet(f"{path}/node_{k}")
+        if k > 1:
+            index.counts(k).write.mode("overwrite").parquet(f"{path}/counts_{k}")
 
 
-def read_index(spark: SparkSession, path: str, levels: Sequence[str]) -> LevelIndex:
-    levels = tuple(levels)
-    tables = tuple(spark.read.parquet(f"{path}/node_{k}") for k in range(1, len(levels) + 1))
-    return LevelIndex(levels, tables)
+def read_index(spark: SparkSession, path: str) -> LevelIndex:
+    """Open a stored index."""
+    combinations = spark.read.parquet(f"{path}/combinations")
+    levels = combinations.columns[:-1]
+    nodes = [spark.read.parquet(f"{path}/node_{k}") for k in range(1, len(levels) + 1)]
+    counts = [spark.read.parquet(f"{path}/counts_{k}") for k in range(2, len(levels) + 1)]
+    return LevelIndex(levels, combinations, nodes, counts)
 
 
 def as_index(source: DataFrame | LevelIndex, levels: Sequence[str] | None = None) -> LevelIndex:
@@ -128,8 +177,3 @@ def as_index(source: DataFrame | LevelIndex, levels: Sequence[str] | None = None
     if levels is None:
         raise ValueError("levels are needed for a table that is not an index")
     return build_index(source, levels)
-
-
-def release_index(df: DataFrame, levels: Sequence[str]) -> None:
-    """Drop the cached nodes of a table."""
-    build_index(df, levels).unpersist()
