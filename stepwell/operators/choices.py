@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from stepwell.operators.filters import drill_down
 from stepwell.plans.index import LevelIndex, as_index, quoted
-from stepwell.plans.positions import GROUP_LIMIT
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -38,7 +37,6 @@ def choices_for(
     source: DataFrame | LevelIndex,
     levels: Sequence[str] | None = None,
     request_id: str = "request_id",
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Choices of the levels 2..n under the values each request holds above them.
 
@@ -65,7 +63,7 @@ def choices_for(
     offered = reduce(
         DataFrame.union,
         [
-            index.ranked_choices(k, group_limit).selectExpr(
+            index.choices(k).selectExpr(
                 f"{k} AS offered_level",
                 *only_above(k, keys).format("offered").split(", "),
                 "position",

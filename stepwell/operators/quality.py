@@ -11,79 +11,88 @@ from pyspark.sql.window import Window
 from stepwell.functions import size_line
 from stepwell.operators.choices import preview, row_count
 from stepwell.operators.filters import PairRule
-from stepwell.plans.positions import dense_positions
+from stepwell.plans.positions import GROUP_LIMIT, dense_positions
 from stepwell.sources.tables import scan, storage_size
 
 SLICE_WIDTH = 4_096
 
 
-def absent_pairs(df: DataFrame, cols: Sequence[str], slice_width: int = SLICE_WIDTH) -> DataFrame:
+def absent_pairs(
+    df: DataFrame, cols: Sequence[str], slice_width: int = SLICE_WIDTH, group_limit: int = GROUP_LIMIT
+) -> DataFrame:
     """Values of one column that never occur with a value of another.
 
     One row per (col_a, value_a, col_b, value_b), with col_a before col_b in
     ``cols``; nulls are no values. The product of the domains is never built.
     The values of each column are numbered; for each value of ``col_a`` the
     numbers seen with it leave gaps, and exactly the numbers in the gaps are
-    written out. Gaps are looked for in slices of ``slice_width`` numbers, and
-    slices with nothing seen are found as gaps between slices, so no task
-    handles a whole domain for one value.
+    written out. In a domain wider than ``slice_width``, gaps are looked for
+    slice by slice, and slices with nothing seen are found as gaps between
+    slices, so no task handles a whole domain for one value. Combinations and
+    values are cached, as they are used several times.
     """
     cols = list(cols)
-    combos = df.select(*cols).distinct()
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    combinations = df.select(*cols).distinct().persist()
     cells = [F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols]
-    values = combos.select(F.inline(F.array(*cells))).distinct()
-    places = dense_positions(values, ["col"], "value", "place")
-    sizes = places.groupBy("col").agg(F.count("*").alias("size"))
+    values = combinations.select(F.inline(F.array(*cells))).dropna().distinct().persist()
+    # one row per column
+    sizes = {row["col"]: row["count"] for row in values.groupBy("col").count().collect()}
+    if len(sizes) < 2:
+        return df.sparkSession.createDataFrame([], "col_a string, value_a string, col_b string, value_b string")
+    largest = max(sizes.values())
+    places = dense_positions(values, ["col"], "value", "place", largest, group_limit)
+    place_of_b = places.withColumnsRenamed({"col": "col_b", "value": "value_b"})
+    size = F.create_map(*[F.lit(x) for item in sizes.items() for x in item])[F.col("col_b")]
 
-    seen = _value_pairs(combos, cols).join(
-        places.select(F.col("col").alias("col_b"), F.col("value").alias("value_b"), "place"), ["col_b", "value_b"]
-    )
     keys = ["col_a", "value_a", "col_b"]
-    seen = seen.select(*keys, "place", F.floor(F.col("place") / slice_width).alias("slice"))
-    later = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _column_pairs(cols)])
-    partners = places.select(
-        F.col("col").alias("col_a"),
-        F.col("value").alias("value_a"),
-        F.explode(F.transform(F.filter(later, lambda p: p["a"] == F.col("col")), lambda p: p["b"])).alias("col_b"),
+    seen = _value_pairs(combinations, pairs).join(place_of_b, ["col_b", "value_b"]).select(*keys, "place")
+    partners = F.create_map(*[x for c in cols for x in (F.lit(c), _array([b for a, b in pairs if a == c]))])
+    partners = values.select(
+        F.col("col").alias("col_a"), F.col("value").alias("value_a"), F.explode(partners[F.col("col")]).alias("col_b")
     )
-
-    def with_size(rows: DataFrame) -> DataFrame:
-        return rows.join(sizes.select(F.col("col").alias("col_b"), "size"), "col_b")
-
-    # slices in which nothing was seen: a mark before the first slice catches keys that saw nothing at all
-    marks = partners.select(*keys, F.lit(-1).cast("bigint").alias("slice"))
-    slices = with_size(seen.select(*keys, "slice").distinct().unionByName(marks))
-    n_slices = F.ceil(F.col("size") / slice_width)
-    empty = _gaps(slices, [*keys, "size"], "slice", n_slices)
-    low = F.col("slice") * slice_width
-    high = F.least(low + slice_width, F.col("size"))
+    partners = partners.filter(F.col("col_b").isin(list(sizes)))
+    # a mark before the first number also catches values that were seen with nothing
+    mark = F.lit(-1).cast("bigint")
+    if largest <= slice_width:
+        missing = _gaps(seen.unionByName(partners.withColumn("place", mark)), keys, "place", size)
+    else:
+        missing = _gaps_by_slice(seen, partners, keys, size, mark, slice_width)
+    return missing.join(place_of_b, ["col_b", "place"]).select(*keys, "value_b")
+
+
+def _gaps_by_slice(seen, partners, keys, size, mark, width: int) -> DataFrame:
+    """Missing places, looked for in slices of ``width`` places."""
+    seen = seen.withColumn("slice", F.floor(F.col("place") / width))
+    slices = seen.select(*keys, "slice").distinct()
+    low = F.col("slice") * width
+    high = F.least(low + width, size)
+
+    marked = slices.unionByName(partners.withColumn("slice", mark))
+    empty = _gaps(marked, keys, "slice", F.ceil(size / width))
     in_empty = empty.select(*keys, F.explode(F.sequence(low, high - 1)).alias("place"))
 
-    # gaps inside the slices in which something was seen, with a mark before each slice
-    starts = seen.select(*keys, "slice").distinct().withColumn("place", low - 1)
-    places_seen = with_size(seen.unionByName(starts))
-    in_slices = _gaps(places_seen, [*keys, "slice", "size"], "place", high).select(*keys, "place")
-
-    named = places.select(F.col("col").alias("col_b"), F.col("value").alias("value_b"), "place")
-    return in_empty.unionByName(in_slices).join(named, ["col_b", "place"]).select(*keys, "value_b")
+    marked = seen.unionByName(slices.withColumn("place", low - 1))
+    in_slices = _gaps(marked, [*keys, "slice"], "place", high).select(*keys, "place")
+    return in_empty.unionByName(in_slices)
 
 
-def _column_pairs(cols: list[str]) -> list[tuple[str, str]]:
-    return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+def _array(names: list[str]):
+    return F.array(*[F.lit(n) for n in names]).cast("array<string>")
 
 
-def _value_pairs(combos: DataFrame, cols: list[str]) -> DataFrame:
+def _value_pairs(combinations: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Distinct non-null value pairs of all column pairs."""
-    pairs = [
+    cells = [
         F.struct(
             F.lit(a).alias("col_a"),
             F.col(a).cast("string").alias("value_a"),
             F.lit(b).alias("col_b"),
             F.col(b).cast("string").alias("value_b"),
         )
-        for a, b in _column_pairs(cols)
+        for a, b in pairs
     ]
-    return combos.select(F.inline(F.array(*pairs))).dropna().distinct()
+    return combinations.select(F.inline(F.array(*cells))).dropna().distinct()
 
 
 def _gaps(rows: DataFrame, keys: list[str], number: str, end) -> DataFrame:

@@ -10,13 +10,17 @@ level.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 from pyspark.sql.types import StructType
 
 from stepwell.plans.positions import GROUP_LIMIT, positions_in_group
 
+BROADCAST_BYTES = 32 * 1024 * 1024
+
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -29,14 +33,14 @@ class LevelIndex:
         self,
         levels: Sequence[str],
         combinations: DataFrame,
-        nodes: Sequence[DataFrame] = (),
-        counts: Sequence[DataFrame] = (),
+        stored: Mapping[tuple[str, int], DataFrame] | None = None,
+        group_limit: int = GROUP_LIMIT,
     ):
         self.levels = tuple(levels)
         self.combinations = combinations
-        self._nodes = dict(enumerate(nodes, 1))
-        self._counts = dict(enumerate(counts, 2))
-        self._size: int | None = None
+        self.stored = stored or {}
+        self.group_limit = group_limit
+        self._tables: dict[tuple[str, int], DataFrame] = {}
 
     @property
     def depth(self) -> int:
@@ -46,13 +50,6 @@ class LevelIndex:
     def schema(self) -> StructType:
         return self.combinations.schema
 
-    @property
-    def size(self) -> int:
-        """Number of combinations."""
-        if self._size is None:
-            self._size = self.combinations.count()
-        return self._size
-
     def number_of(self, level: str | int) -> int:
         """1-based number of a level given by name or number."""
         number = self.levels.index(level) + 1 if isinstance(level, str) else level
@@ -69,25 +66,41 @@ class LevelIndex:
 
     def node(self, k: int) -> DataFrame:
         """Columns ``key_1 .. key_k`` and the first path below them."""
-        if k not in self._nodes:
-            self._nodes[k] = self._compute_node(k)
-        return self._nodes[k]
+        return self._table("node", k, self._compute_node)
 
     def counts(self, k: int) -> DataFrame:
         """Columns ``key_1 .. key_(k-1)`` and the number of choices of level ``k`` under them."""
-        if k not in self._counts:
-            self._counts[k] = (
-                self._prefixes(k).distinct().groupBy(*self.keys(k - 1)).count().withColumnRenamed("count", "n_choices")
-            )
-        return self._counts[k]
-
-    def ranked_choices(self, k: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
-        """Columns ``key_1 .. key_k`` and the ``position`` of the last key among the choices under the others."""
-        *above, level = self.keys(k)
-        largest = 0
-        if self.size > group_limit:
-            largest = self.counts(k).selectExpr("coalesce(max(n_choices), 0) AS n").first()["n"]
-        return positions_in_group(self.node(k).select(*above, level), above, level, "position", largest, group_limit)
+        return self._table("counts", k, self._compute_counts)
+
+    def choices(self, k: int) -> DataFrame:
+        """Columns ``key_1 .. key_k`` and the ``position`` of the last among the choices under the others."""
+        return self._table("choices", k, self._compute_choices)
+
+    @cached_property
+    def size(self) -> tuple[int, int]:
+        """Number of combinations and bytes of the widest one's values."""
+        width = " + ".join(f"coalesce(octet_length(CAST({quoted(c)} AS STRING)), 0)" for c in self.levels)
+        return tuple(self.combinations.selectExpr("count(*)", f"coalesce(max({width}), 0)").first())
+
+    @cached_property
+    def prefix_counts(self) -> list[int]:
+        """Number of prefixes of each length, within a few percent."""
+        prefixes = [f"struct({', '.join(map(quoted, self.levels[:k]))})" for k in range(1, self.depth + 1)]
+        return list(self.combinations.selectExpr(*[f"approx_count_distinct({p}, 0.02)" for p in prefixes]).first())
+
+    def largest_group(self, k: int) -> int:
+        """Most choices of level ``k`` under one combination above it."""
+        return self.counts(k).selectExpr("coalesce(max(n_choices), 0)").first()[0]
+
+    def is_small(self, k: int) -> bool:
+        """Whether a table of prefixes of length ``k`` may be broadcast, by its measured size.
+
+        There are no more prefixes than combinations. Where that bound is too
+        wide, twice the estimated number of prefixes is taken instead.
+        """
+        n, width = self.size
+        row = width + 24 * (self.depth + 1)
+        return n * row <= BROADCAST_BYTES or 2 * self.prefix_counts[k - 1] * row <= BROADCAST_BYTES
 
     def unpersist(self) -> None:
         self.combinations.unpersist()
@@ -97,6 +110,26 @@ class LevelIndex:
         keys = [f"{quoted(c)} AS key_{i}" for i, c in enumerate(self.levels[:k], 1)]
         return self.combinations.filter(f"{quoted(self.levels[k - 1])} IS NOT NULL").selectExpr(*keys)
 
+    def _table(self, kind: str, k: int, compute) -> DataFrame:
+        if (kind, k) in self.stored:
+            return self.stored[kind, k]
+        if (kind, k) not in self._tables:
+            table = compute(k)
+            prefix = k - 1 if kind == "counts" else k
+            self._tables[kind, k] = broadcast(table) if self.is_small(prefix) else table
+        return self._tables[kind, k]
+
+    def _compute_counts(self, k: int) -> DataFrame:
+        above = self.keys(k - 1)
+        return self._prefixes(k).distinct().groupBy(*above).count().withColumnRenamed("count", "n_choices")
+
+    def _compute_choices(self, k: int) -> DataFrame:
+        *above, level = self.keys(k)
+        largest = 0 if self.size[0] <= self.group_limit else self.largest_group(k)
+        return positions_in_group(
+            self._prefixes(k).distinct(), above, level, "position", largest, self.group_limit
+        )
+
     def _compute_node(self, k: int) -> DataFrame:
         if k == self.depth:
             return self._prefixes(k)
@@ -115,16 +148,18 @@ class LevelIndex:
         )
 
 
-def build_index(df: DataFrame, levels: Sequence[str]) -> LevelIndex:
+def build_index(df: DataFrame, levels: Sequence[str], group_limit: int = GROUP_LIMIT) -> LevelIndex:
     """Index a table on an ordered list of level columns.
 
     The table is read once, for its level columns only, and its rows are counted
     per combination, partly before the shuffle. Values below a null cannot be
     reached and become null. The combinations are computed here and kept in the
-    Spark cache (memory, then disk; lost blocks are computed again), so that the
-    planner knows their true size when it chooses between broadcasting a node and
-    shuffling to it. The cache recognises the same table and levels: a second call
-    shares the first one's combinations.
+    Spark cache (memory, then disk; lost blocks are computed again), and their
+    size is measured, so that a lookup is broadcast only if it is small. The cache recognises the same table and levels: a
+    second call shares the first one's combinations.
+
+    Choices are ranked by a window, or in slices where one combination has more
+    than ``group_limit`` of them.
     """
     levels = tuple(levels)
     _check_levels(df, levels)
@@ -133,8 +168,8 @@ def build_index(df: DataFrame, levels: Sequence[str]) -> LevelIndex:
         above = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in levels[:k])
         reachable.append(f"CASE WHEN {above} THEN {quoted(level)} END AS {quoted(level)}")
     combinations = df.selectExpr(*reachable).groupBy(*map(quoted, levels)).count().persist()
-    index = LevelIndex(levels, combinations)
-    index.size  # noqa: B018 - computes and keeps the combinations
+    index = LevelIndex(levels, combinations, group_limit=group_limit)
+    index.size  # noqa: B018 - computes and caches the combinations
     return index
 
 
@@ -151,21 +186,28 @@ def _check_levels(df: DataFrame, levels: tuple[str, ...]) -> None:
 
 
 def write_index(index: LevelIndex, path: str) -> None:
-    """Store an index with all its nodes, so that later jobs and streams only read it."""
+    """Store an index with all its tables, so that later jobs and streams only read it."""
     index.combinations.write.mode("overwrite").parquet(f"{path}/combinations")
-    for k in range(1, index.depth + 1):
-        index.node(k).write.mode("overwrite").parquet(f"{path}/node_{k}")
-        if k > 1:
-            index.counts(k).write.mode("overwrite").parquet(f"{path}/counts_{k}")
+    for kind, k in _stored_tables(index.depth):
+        getattr(index, kind)(k).write.mode("overwrite").parquet(f"{path}/{kind}_{k}")
 
 
 def read_index(spark: SparkSession, path: str) -> LevelIndex:
-    """Open a stored index."""
+    """Open a stored index. The planner knows the size of each of its tables from the files."""
     combinations = spark.read.parquet(f"{path}/combinations")
     levels = combinations.columns[:-1]
-    nodes = [spark.read.parquet(f"{path}/node_{k}") for k in range(1, len(levels) + 1)]
-    counts = [spark.read.parquet(f"{path}/counts_{k}") for k in range(2, len(levels) + 1)]
-    return LevelIndex(levels, combinations, nodes, counts)
+    stored = {(kind, k): spark.read.parquet(f"{path}/{kind}_{k}") for kind, k in _stored_tables(len(levels))}
+    return LevelIndex(levels, combinations, stored)
+
+
+def _stored_tables(depth: int) -> list[tuple[str, int]]:
+    """Kind and level of every table of an index."""
+    below_top = range(2, depth + 1)
+    return [
+        *[("node", k) for k in range(1, depth + 1)],
+        *[("counts", k) for k in below_top],
+        *[("choices", k) for k in below_top],
+    ]
 
 
 def as_index(source: DataFrame | LevelIndex, levels: Sequence[str] | None = None) -> LevelIndex:

@@ -14,21 +14,28 @@ BUCKETS = 256
 GROUP_LIMIT = 1_000_000
 
 
-def dense_positions(df: DataFrame, group: Sequence[str], value: str, name: str = "position") -> DataFrame:
-    """Number the distinct non-null values of each group 0, 1, 2, ... in no special order.
+def dense_positions(
+    df: DataFrame,
+    group: Sequence[str],
+    value: str,
+    name: str = "position",
+    largest_group: int | None = None,
+    group_limit: int = GROUP_LIMIT,
+) -> DataFrame:
+    """Number the values of each group 0, 1, 2, ...; values must not be null and not repeat.
 
-    Values are spread over hash buckets, numbered inside their bucket, and
-    shifted by the sizes of the buckets before it. No task sees more than one
-    bucket of a group, and the shift is summed over at most ``BUCKETS`` rows.
+    Groups known to be no larger than ``group_limit`` are numbered in the order
+    of their values by one window. Otherwise the order is arbitrary: values are
+    spread over hash buckets, numbered inside their bucket, and shifted by the
+    sizes of the buckets before it. Then no task sees more than one bucket of a
+    group, and the shift is summed over at most ``BUCKETS`` rows.
     """
     group = list(group)
+    if largest_group is not None and largest_group <= group_limit:
+        place = F.row_number().over(Window.partitionBy(*group).orderBy(value))
+        return df.select(*group, value, (place.cast("bigint") - 1).alias(name))
     cells = [*group, "__bucket"]
-    bucketed = (
-        df.select(*group, value)
-        .filter(F.col(value).isNotNull())
-        .distinct()
-        .withColumn("__bucket", F.pmod(F.xxhash64(value), F.lit(BUCKETS)))
-    )
+    bucketed = df.select(*group, value).withColumn("__bucket", F.pmod(F.xxhash64(value), F.lit(BUCKETS)))
     in_bucket = Window.partitionBy(*cells).orderBy(value)
     numbered = bucketed.withColumn("__place", F.row_number().over(in_bucket))
     sizes = bucketed.groupBy(*cells).agg(F.count("*").alias("__size"))

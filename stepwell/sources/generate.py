@@ -45,8 +45,9 @@ def combination_grid(
     Row number ``i`` is read as a number in mixed radix, one digit per column.
     Each row is therefore computed from its own number: the work splits evenly
     over ``partitions`` and no product of tables is planned. A domain given as
-    a one-column DataFrame is numbered and joined on its digit; its nulls are
-    left out. ``position`` names a column that keeps the row number.
+    a one-column DataFrame stands for its distinct non-null values: they are
+    cached, numbered, and joined on their digit. ``position`` names a column that
+    keeps the row number.
     """
     parts = [_domain(name, values) for name, values in domains.items()]
     total = reduce(lambda a, b: a * b, (size for size, _, _ in parts), 1)
@@ -71,8 +72,9 @@ def _domain(name: str, values):
     if isinstance(values, LabelRule):
         return values.size, lambda digit: label(values.prefix, digit + 1), None
     if isinstance(values, DataFrame):
-        numbered = dense_positions(values.toDF(name), [], name, "__digit").persist()
-        return numbered.count(), None, numbered
+        known = values.toDF(name).dropna().distinct().persist()
+        size = known.count()
+        return size, None, dense_positions(known, [], name, "__digit", size)
     values = list(values)
     if len(values) > MAX_LITERAL_VALUES:
         raise ValueError(f"{len(values)} literal values for {name!r}: pass a DataFrame or a label rule")
