@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.functions import append_entry, join_lines, update_message
-from stepwell.plans.index import LevelIndex, as_index, quoted
+from stepwell.plans.index import LevelIndex, as_index, hash_of, quoted
 
 
 def resolve_selection(
@@ -122,7 +122,7 @@ def check_selection(
     found = requests
     for k in range(1, index.depth + 1):
         known = index.node(k).selectExpr(*_keys(k, f"__key{k}"), f"TRUE AS __found_{k}")
-        found = found.join(known, _match(index.levels[:k], f"__key{k}"), "left")
+        found = found.join(known, _match(map(quoted, index.levels[:k]), f"__key{k}"), "left")
     invalid = ", ".join(f"CASE WHEN __found_{k} IS NULL THEN {k} END" for k in range(1, index.depth + 1))
     return found.selectExpr(quoted(request_id), f"CAST(coalesce({invalid}, NULL) AS INT) AS first_invalid_level")
 
@@ -160,29 +160,31 @@ def _descend(
 
     path = index.path(start)
     top = index.node(start).selectExpr(*_keys(start, "__top"), *[f"{c} AS __{c}" for c in path])
-    state = requests.join(top, _match(index.levels[:start], "__top"), "left")
+    state = requests.join(top, _match(map(quoted, index.levels[:start]), "__top"), "left")
     columns = {c: quoted(c) for c in requests.columns}
     trace: list[str] = []
     for k in range(start + 1, stop + 1):
-        above, level = index.levels[: k - 1], index.levels[k - 1]
+        above, level = [quoted(c) for c in index.levels[: k - 1]], index.levels[k - 1]
         source = test_from.get(level, level)
         tested = quoted(source)
         if requests.schema[source].dataType != index.schema[level].dataType:
             tested = f"try_cast({tested} AS {index.schema[level].dataType.simpleString()})"
         path = index.path(k)
         node = index.node(k).selectExpr(*_keys(k), *[f"{c} AS __hit_{c}" for c in path])
-        found = F.expr(f"{_conditions(above)} AND {tested} = __key_{k}")
 
         def settled(value: str, fallback: str, name: str) -> str:
             unset = f"WHEN {quoted(source)} IS NULL THEN NULL " if on_missing == "skip" else ""
             return f"CASE WHEN __key_{k} IS NOT NULL THEN {value} {unset}ELSE {fallback} END AS {name}"
 
         kept = columns | {level: settled(tested, f"__first_{k}", quoted(level))}
-        joined = state.join(node, found, "left")
+        joined = state.join(node, _match([*above, tested], "__key"), "left")
         added = []
         if traced:
-            counts = index.counts(k).selectExpr(*_keys(k - 1, "__up"), f"n_choices AS __choices_{k}")
-            joined = joined.join(counts, _match(above, "__up"), "left")
+            counts = index.counts(k).selectExpr(
+                *[f"key_{i} AS __up_{i}" for i in range(1, k)], f"n_choices AS __choices_{k}"
+            )
+            under = " AND ".join(f"{value} = __up_{i}" for i, value in enumerate(above, 1))
+            joined = joined.join(counts, F.expr(under), "left")
             added = [f"__choices_{k}", f"{quoted(level)} AS __old_{k}", f"__key_{k} IS NOT NULL AS __kept_{k}"]
         state = joined.selectExpr(
             *kept.values(), *trace, *added, *[settled(f"__hit_{c}", f"__{c}", f"__{c}") for c in path]
@@ -193,17 +195,15 @@ def _descend(
 
 
 def _keys(k: int, name: str = "__key") -> list[str]:
-    """Projection that renames the first ``k`` keys of a node."""
-    return [f"key_{i} AS {name}_{i}" for i in range(1, k + 1)]
-
-
-def _conditions(levels: Sequence[str], name: str = "__key") -> str:
-    return " AND ".join(f"{quoted(c)} = {name}_{i}" for i, c in enumerate(levels, 1))
+    """Projection that renames the hash and the keys of a node."""
+    return [f"hash AS {name}_hash", *[f"key_{i} AS {name}_{i}" for i in range(1, k + 1)]]
 
 
-def _match(levels: Sequence[str], name: str = "__key") -> Column:
-    """Join condition between the first levels of a request and the renamed keys of a node."""
-    return F.expr(_conditions(levels, name))
+def _match(values: Iterable[str], name: str) -> Column:
+    """Join condition between the values of a request and the renamed keys of a node."""
+    values = list(values)
+    same = [f"{value} = {name}_{i}" for i, value in enumerate(values, 1)]
+    return F.expr(" AND ".join([f"{hash_of(values)} = {name}_hash", *same]))
 
 
 def _check_types(requests: DataFrame, index: LevelIndex) -> None:

@@ -1,31 +1,39 @@
 """The level index: everything the cascade needs to know about a table.
 
-It starts from the *combinations*: the distinct rows of the level columns with
-their counts. Node ``k`` has one row per distinct non-null combination of the
-first ``k`` levels, with the *first path* below it: for every deeper level the
-first choice under the first choice of the level before. A request that falls
-back to a first choice stays on that path, so the cascade needs one lookup per
-level.
+It holds the *combinations*: the distinct rows of the level columns, with their
+counts, and for each the first level at which it differs from the combination
+before it in sort order. A combination that is *fresh* at level ``k`` or above
+is the least one that begins with its first ``k`` values, so its deeper values
+are the *first path* below them: at every deeper level the first choice under
+the first choice of the level before. The lookup table of any level is therefore
+a filter over the combinations, with no aggregation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import cached_property
+from collections.abc import Iterable, Sequence
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from stepwell.plans.positions import GROUP_LIMIT, positions_in_group
 
 BROADCAST_BYTES = 32 * 1024 * 1024
+ONE_TASK_ROWS = 100_000
+OWN_COLUMNS = ["n_rows", "fresh"]
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def hash_of(values: Iterable[str]) -> str:
+    return f"xxhash64({', '.join(values)})"
+
+
 class LevelIndex:
     """Index of one table on an ordered list of level columns; see ``build_index`` and ``read_index``."""
 
@@ -33,14 +41,15 @@ class LevelIndex:
         self,
         levels: Sequence[str],
         combinations: DataFrame,
-        stored: Mapping[tuple[str, int], DataFrame] | None = None,
         group_limit: int = GROUP_LIMIT,
+        measures: Sequence[int] | None = None,
     ):
         self.levels = tuple(levels)
         self.combinations = combinations
-        self.stored = stored or {}
         self.group_limit = group_limit
-        self._tables: dict[tuple[str, int], DataFrame] = {}
+        self.tables: dict[tuple[str, int], DataFrame] = {}
+        if measures is not None:
+            self.measures = tuple(measures)
 
     @property
     def depth(self) -> int:
@@ -50,6 +59,16 @@ class LevelIndex:
     def schema(self) -> StructType:
         return self.combinations.schema
 
+    @cached_property
+    def measures(self) -> tuple[int, ...]:
+        """Rows of each node, and the bytes of the widest combination."""
+        return tuple(self.measure().first())
+
+    def measure(self) -> DataFrame:
+        nodes = [f"count_if({self._in_node(k)}) AS rows_{k}" for k in range(1, self.depth + 1)]
+        width = " + ".join(f"coalesce(octet_length(CAST({quoted(c)} AS STRING)), 0)" for c in self.levels)
+        return self.combinations.selectExpr(*nodes, f"CAST(coalesce(max({width}), 0) AS BIGINT) AS width")
+
     def number_of(self, level: str | int) -> int:
         """1-based number of a level given by name or number."""
         number = self.levels.index(level) + 1 if isinstance(level, str) else level
@@ -65,114 +84,142 @@ class LevelIndex:
         return [f"first_{j}" for j in range(k + 1, self.depth + 1)]
 
     def node(self, k: int) -> DataFrame:
-        """Columns ``key_1 .. key_k`` and the first path below them."""
-        return self._table("node", k, self._compute_node)
+        """Columns ``hash`` (of the keys), ``key_1 .. key_k`` and the first path below them.
+
+        Joining on the hash ahead of the keys lets a sort compare one number
+        where it would compare the equal first keys of many rows.
+        """
+        return self._table("node", k, k, self._compute_node)
 
     def counts(self, k: int) -> DataFrame:
         """Columns ``key_1 .. key_(k-1)`` and the number of choices of level ``k`` under them."""
-        return self._table("counts", k, self._compute_counts)
+        return self._table("counts", k, k - 1, self._compute_counts)
 
     def choices(self, k: int) -> DataFrame:
         """Columns ``key_1 .. key_k`` and the ``position`` of the last among the choices under the others."""
-        return self._table("choices", k, self._compute_choices)
-
-    @cached_property
-    def size(self) -> tuple[int, int]:
-        """Number of combinations and bytes of the widest one's values."""
-        width = " + ".join(f"coalesce(octet_length(CAST({quoted(c)} AS STRING)), 0)" for c in self.levels)
-        return tuple(self.combinations.selectExpr("count(*)", f"coalesce(max({width}), 0)").first())
-
-    @cached_property
-    def prefix_counts(self) -> list[int]:
-        """Number of prefixes of each length, within a few percent."""
-        prefixes = [f"struct({', '.join(map(quoted, self.levels[:k]))})" for k in range(1, self.depth + 1)]
-        return list(self.combinations.selectExpr(*[f"approx_count_distinct({p}, 0.02)" for p in prefixes]).first())
-
-    def largest_group(self, k: int) -> int:
-        """Most choices of level ``k`` under one combination above it."""
-        return self.counts(k).selectExpr("coalesce(max(n_choices), 0)").first()[0]
+        return self._table("choices", k, k, self._compute_choices)
 
     def is_small(self, k: int) -> bool:
-        """Whether a table of prefixes of length ``k`` may be broadcast, by its measured size.
-
-        There are no more prefixes than combinations. Where that bound is too
-        wide, twice the estimated number of prefixes is taken instead.
-        """
-        n, width = self.size
-        row = width + 24 * (self.depth + 1)
-        return n * row <= BROADCAST_BYTES or 2 * self.prefix_counts[k - 1] * row <= BROADCAST_BYTES
+        """Whether a table with a row per prefix of length ``k`` may be broadcast, by its measured size."""
+        width = self.measures[-1] + 24 * (self.depth + 1)
+        return self.measures[k - 1] * width <= BROADCAST_BYTES
 
     def unpersist(self) -> None:
         self.combinations.unpersist()
 
-    def _prefixes(self, k: int) -> DataFrame:
-        """Level values 1..k of the combinations that have all of them."""
-        keys = [f"{quoted(c)} AS key_{i}" for i, c in enumerate(self.levels[:k], 1)]
-        return self.combinations.filter(f"{quoted(self.levels[k - 1])} IS NOT NULL").selectExpr(*keys)
+    def _in_node(self, k: int) -> str:
+        return f"fresh <= {k} AND {quoted(self.levels[k - 1])} IS NOT NULL"
 
-    def _table(self, kind: str, k: int, compute) -> DataFrame:
-        if (kind, k) in self.stored:
-            return self.stored[kind, k]
-        if (kind, k) not in self._tables:
-            table = compute(k)
-            prefix = k - 1 if kind == "counts" else k
-            self._tables[kind, k] = broadcast(table) if self.is_small(prefix) else table
-        return self._tables[kind, k]
+    def _table(self, kind: str, k: int, prefix: int, compute) -> DataFrame:
+        if (kind, k) not in self.tables:
+            self.tables[kind, k] = compute(k)
+        table = self.tables[kind, k]
+        return F.broadcast(table) if self.is_small(prefix) else table
+
+    def _compute_node(self, k: int) -> DataFrame:
+        values = [quoted(c) for c in self.levels]
+        named = [f"{v} AS {'key' if i <= k else 'first'}_{i}" for i, v in enumerate(values, 1)]
+        return self.combinations.filter(self._in_node(k)).selectExpr(f"{hash_of(values[:k])} AS hash", *named)
 
     def _compute_counts(self, k: int) -> DataFrame:
-        above = self.keys(k - 1)
-        return self._prefixes(k).distinct().groupBy(*above).count().withColumnRenamed("count", "n_choices")
+        counted = self._compute_node(k).groupBy(*self.keys(k - 1)).count()
+        return counted.withColumnRenamed("count", "n_choices")
 
     def _compute_choices(self, k: int) -> DataFrame:
         *above, level = self.keys(k)
-        largest = 0 if self.size[0] <= self.group_limit else self.largest_group(k)
-        return positions_in_group(
-            self._prefixes(k).distinct(), above, level, "position", largest, self.group_limit
-        )
+        largest = 0
+        if self.measures[k - 1] > self.group_limit:
+            largest = self._compute_counts(k).selectExpr("coalesce(max(n_choices), 0)").first()[0]
+        choices = self._compute_node(k).select(*above, level)
+        return positions_in_group(choices, above, level, "position", largest, self.group_limit)
 
-    def _compute_node(self, k: int) -> DataFrame:
-        if k == self.depth:
-            return self._prefixes(k)
-        keys = self.keys(k)
-        deeper = list(enumerate(self.levels[k:], k + 1))
-        # a null sorts after every value, and what follows a null is null
-        fields = ", ".join(f"{quoted(c)} IS NULL AS no_{j}, {quoted(c)} AS first_{j}" for j, c in deeper)
-        return (
-            self.combinations.filter(f"{quoted(self.levels[k - 1])} IS NOT NULL")
-            .selectExpr(
-                *[f"{quoted(c)} AS {key}" for c, key in zip(self.levels, keys)], f"struct({fields}) AS path"
-            )
-            .groupBy(*keys)
-            .agg({"path": "min"})
-            .selectExpr(*keys, *[f"`min(path)`.{c}" for c in self.path(k)])
-        )
-
-
-def build_index(df: DataFrame, levels: Sequence[str], group_limit: int = GROUP_LIMIT) -> LevelIndex:
+
+def build_index(
+    df: DataFrame, levels: Sequence[str], group_limit: int = GROUP_LIMIT, one_task_rows: int = ONE_TASK_ROWS
+) -> LevelIndex:
     """Index a table on an ordered list of level columns.
 
     The table is read once, for its level columns only, and its rows are counted
     per combination, partly before the shuffle. Values below a null cannot be
     reached and become null. The combinations are computed here and kept in the
     Spark cache (memory, then disk; lost blocks are computed again), and their
-    size is measured, so that a lookup is broadcast only if it is small. The cache recognises the same table and levels: a
-    second call shares the first one's combinations.
+    nodes are counted, so that a lookup is broadcast only if it is small. The
+    cache recognises the same table and levels: a second call shares the first
+    one's combinations.
 
+    Up to ``one_task_rows`` combinations are sorted by one task, more in slices.
     Choices are ranked by a window, or in slices where one combination has more
     than ``group_limit`` of them.
     """
     levels = tuple(levels)
     _check_levels(df, levels)
-    reachable = [quoted(levels[0])]
-    for k, level in enumerate(levels[1:], 1):
-        above = " AND ".join(f"{quoted(c)} IS NOT NULL" for c in levels[:k])
-        reachable.append(f"CASE WHEN {above} THEN {quoted(level)} END AS {quoted(level)}")
-    combinations = df.selectExpr(*reachable).groupBy(*map(quoted, levels)).count().persist()
-    index = LevelIndex(levels, combinations, group_limit=group_limit)
-    index.size  # noqa: B018 - computes and caches the combinations
+    names = [quoted(c) for c in levels]
+    reachable = [names[0]]
+    for k, name in enumerate(names[1:], 1):
+        above = " AND ".join(f"{c} IS NOT NULL" for c in names[:k])
+        reachable.append(f"CASE WHEN {above} THEN {name} END AS {name}")
+    counted = df.selectExpr(*reachable).groupBy(*names).agg(F.count("*").alias("n_rows"))
+
+    in_one = _compared_in_one(counted, names)
+    in_slices = _compared(_compared_in_slices(counted, names), names)
+    for combinations in (in_one, in_slices):
+        if combinations.storageLevel.useMemory:
+            return LevelIndex(levels, combinations, group_limit=group_limit)
+    counted.persist()
+    combinations = in_one if counted.count() <= one_task_rows else in_slices
+    index = LevelIndex(levels, combinations.persist(), group_limit=group_limit)
+    index.measures  # noqa: B018 - computes and caches the combinations
+    counted.unpersist()
     return index
 
 
+def _compared_in_one(counted: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Combinations with the level at which each is fresh, sorted in one task: only for a few."""
+    in_order = Window.orderBy(*_order(names))
+    compared = counted.withColumn("before", F.lag(F.struct(*names)).over(in_order))
+    return compared.selectExpr(*names, "n_rows", f"CASE WHEN before IS NULL THEN 1 ELSE {_fresh(names)} END AS fresh")
+
+
+def _compared_in_slices(counted: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Combinations in sorted slices, each compared with the one before it in its slice.
+
+    The slices come from range partitioning on all levels, so a frequent value
+    is cut into several of them.
+    """
+    order = _order(names)
+    n_slices = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = Window.partitionBy("slice").orderBy(*order)
+    return (
+        counted.repartitionByRange(n_slices, *order)
+        .withColumn("slice", F.spark_partition_id())
+        .withColumn("before", F.lag(F.struct(*names)).over(in_order))
+        .withColumn("last", F.lead("slice").over(in_order).isNull())
+        .selectExpr(*names, "n_rows", "slice", "last", f"CASE WHEN before IS NOT NULL THEN {_fresh(names)} END AS fresh")
+    )
+
+
+def _compared(sliced: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Combinations with the level at which each is fresh; the first of a slice is compared with the last before it."""
+    # one row per slice that is not empty
+    lasts = sliced.filter("last").select(
+        F.lead("slice").over(Window.orderBy("slice")).alias("slice"), F.struct(*names).alias("before")
+    )
+    firsts = sliced.filter("fresh IS NULL").drop("fresh").join(lasts, "slice", "left")
+    columns = [*names, "n_rows"]
+    firsts = firsts.selectExpr(*columns, f"CASE WHEN before IS NULL THEN 1 ELSE {_fresh(names)} END AS fresh")
+    return sliced.filter("fresh IS NOT NULL").select(*columns, "fresh").union(firsts)
+
+
+def _order(names: Sequence[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() for c in names]
+
+
+def _fresh(names: Sequence[str]) -> str:
+    """Number of the first level that differs from ``before``."""
+    tests = " ".join(f"WHEN NOT ({c} <=> before.{c}) THEN {k}" for k, c in enumerate(names, 1))
+    return f"CASE {tests} END"
+
+
 def _check_levels(df: DataFrame, levels: tuple[str, ...]) -> None:
     if not levels:
         raise ValueError("at least one level is needed")
@@ -181,33 +228,39 @@ def _check_levels(df: DataFrame, levels: tuple[str, ...]) -> None:
     for c in levels:
         if c not in df.columns:
             raise ValueError(f"no column {c!r}")
-        if c == "count" or c.startswith("__"):
+        if c in [*OWN_COLUMNS, "slice", "last", "before"] or c.startswith("__"):
             raise ValueError(f"{c!r} is a name the index uses itself: rename the column")
 
 
 def write_index(index: LevelIndex, path: str) -> None:
-    """Store an index with all its tables, so that later jobs and streams only read it."""
-    index.combinations.write.mode("overwrite").parquet(f"{path}/combinations")
-    for kind, k in _stored_tables(index.depth):
-        getattr(index, kind)(k).write.mode("overwrite").parquet(f"{path}/{kind}_{k}")
+    """Store an index, so that later jobs and streams only read it.
+
+    Combinations are laid out by the level at which they are fresh: the lookup
+    of a level reads only the folders of that level and those above it. Counts
+    and choices are laid out by level.
+    """
+    index.combinations.write.mode("overwrite").partitionBy("fresh").parquet(f"{path}/combinations")
+    index.measure().write.mode("overwrite").parquet(f"{path}/measures")
+    if index.depth == 1:
+        return
+    for kind in ("counts", "choices"):
+        tables = [getattr(index, kind)(k).withColumn("level", F.lit(k)) for k in range(2, index.depth + 1)]
+        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+        stacked.write.mode("overwrite").partitionBy("level").parquet(f"{path}/{kind}")
 
 
 def read_index(spark: SparkSession, path: str) -> LevelIndex:
-    """Open a stored index. The planner knows the size of each of its tables from the files."""
+    """Open a stored index."""
     combinations = spark.read.parquet(f"{path}/combinations")
-    levels = combinations.columns[:-1]
-    stored = {(kind, k): spark.read.parquet(f"{path}/{kind}_{k}") for kind, k in _stored_tables(len(levels))}
-    return LevelIndex(levels, combinations, stored)
-
-
-def _stored_tables(depth: int) -> list[tuple[str, int]]:
-    """Kind and level of every table of an index."""
-    below_top = range(2, depth + 1)
-    return [
-        *[("node", k) for k in range(1, depth + 1)],
-        *[("counts", k) for k in below_top],
-        *[("choices", k) for k in below_top],
-    ]
+    levels = [c for c in combinations.columns if c not in OWN_COLUMNS]
+    index = LevelIndex(levels, combinations, measures=spark.read.parquet(f"{path}/measures").first())
+    if index.depth > 1:
+        counts, choices = (spark.read.parquet(f"{path}/{kind}") for kind in ("counts", "choices"))
+        for k in range(2, index.depth + 1):
+            at_level = f"level = {k}"
+            index.tables["counts", k] = counts.filter(at_level).select(*index.keys(k - 1), "n_choices")
+            index.tables["choices", k] = choices.filter(at_level).select(*index.keys(k), "position")
+    return index
 
 
 def as_index(source: DataFrame | LevelIndex, levels: Sequence[str] | None = None) -> LevelIndex:
