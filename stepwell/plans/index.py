@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from stepwell.plans.positions import GROUP_LIMIT, positions_in_group
+from stepwell.session import shared_dir
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 ONE_TASK_ROWS = 100_000
@@ -143,11 +144,11 @@ def build_index(
     per combination, partly before the shuffle. Values below a null cannot be
     reached and become null. The combinations are computed here and kept in the
     Spark cache (memory, then disk; lost blocks are computed again), and their
-    nodes are counted, so that a lookup is broadcast only if it is small. The
-    cache recognises the same table and levels: a second call shares the first
-    one's combinations.
+    nodes are counted, so that a lookup is broadcast only if it is small.
 
-    Up to ``one_task_rows`` combinations are sorted by one task, more in slices.
+    Up to ``one_task_rows`` combinations are sorted by one task, and the cache
+    recognises them when the same table is indexed again. More are sorted in
+    slices, anew at each call: build such an index once, and store it.
     Choices are ranked by a window, or in slices where one combination has more
     than ``group_limit`` of them.
     """
@@ -160,13 +161,11 @@ def build_index(
         reachable.append(f"CASE WHEN {above} THEN {name} END AS {name}")
     counted = df.selectExpr(*reachable).groupBy(*names).agg(F.count("*").alias("n_rows"))
 
-    in_one = _compared_in_one(counted, names)
-    in_slices = _compared(_compared_in_slices(counted, names), names)
-    for combinations in (in_one, in_slices):
-        if combinations.storageLevel.useMemory:
-            return LevelIndex(levels, combinations, group_limit=group_limit)
-    counted.persist()
-    combinations = in_one if counted.count() <= one_task_rows else in_slices
+    combinations = _compared_in_one(counted, names)
+    if not combinations.storageLevel.useMemory:
+        counted.persist()
+        if counted.count() > one_task_rows:
+            combinations = _compared_in_slices(counted, names)
     index = LevelIndex(levels, combinations.persist(), group_limit=group_limit)
     index.measures  # noqa: B018 - computes and caches the combinations
     counted.unpersist()
@@ -181,31 +180,33 @@ def _compared_in_one(counted: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def _compared_in_slices(counted: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Combinations in sorted slices, each compared with the one before it in its slice.
+    """The same for many combinations, sorted in slices.
 
     The slices come from range partitioning on all levels, so a frequent value
-    is cut into several of them.
+    is cut into several of them. Each combination is compared with the one before
+    it in its slice; the first of a slice, with the last before it. Where the
+    slices begin depends on a sample, so they are checkpointed before they are
+    used more than once.
     """
+    spark = counted.sparkSession
+    shared_dir(spark)
     order = _order(names)
-    n_slices = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     in_order = Window.partitionBy("slice").orderBy(*order)
-    return (
+    columns = [*names, "n_rows"]
+    sliced = (
         counted.repartitionByRange(n_slices, *order)
         .withColumn("slice", F.spark_partition_id())
         .withColumn("before", F.lag(F.struct(*names)).over(in_order))
         .withColumn("last", F.lead("slice").over(in_order).isNull())
-        .selectExpr(*names, "n_rows", "slice", "last", f"CASE WHEN before IS NOT NULL THEN {_fresh(names)} END AS fresh")
+        .selectExpr(*columns, "slice", "last", f"CASE WHEN before IS NOT NULL THEN {_fresh(names)} END AS fresh")
+        .checkpoint()
     )
-
-
-def _compared(sliced: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Combinations with the level at which each is fresh; the first of a slice is compared with the last before it."""
     # one row per slice that is not empty
     lasts = sliced.filter("last").select(
         F.lead("slice").over(Window.orderBy("slice")).alias("slice"), F.struct(*names).alias("before")
     )
     firsts = sliced.filter("fresh IS NULL").drop("fresh").join(lasts, "slice", "left")
-    columns = [*names, "n_rows"]
     firsts = firsts.selectExpr(*columns, f"CASE WHEN before IS NULL THEN 1 ELSE {_fresh(names)} END AS fresh")
     return sliced.filter("fresh IS NOT NULL").select(*columns, "fresh").union(firsts)
 

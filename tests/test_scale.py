@@ -71,6 +71,32 @@ def test_stored_lookup_reads_only_its_folders(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(fresh" in top._jdf.queryExecution().toString()
 
 
+LINES = "/root/testdata/sf0.01/lineitem.parquet"
+SUPPLY = ["l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "l_linenumber"]
+
+
+def test_sliced_index_of_many_combinations(spark):
+    """Enough rows that the slices come from a sample; both ways of sorting must give the same index."""
+    lines = sw.scan(spark, LINES)
+    exact = lines.select(*[F.count_distinct(*SUPPLY[:k]) for k in range(1, 6)]).first()
+    whole = sw.build_index(lines, SUPPLY, one_task_rows=10**6)
+    sliced = sw.build_index(lines.repartition(7), SUPPLY, one_task_rows=0)
+    assert whole.measures[:-1] == sliced.measures[:-1] == tuple(exact)
+    assert whole.combinations.exceptAll(sliced.combinations).count() == 0
+    assert sliced.combinations.exceptAll(whole.combinations).count() == 0
+    for index in (whole, sliced):
+        index.unpersist()
+
+
+def test_ranks_of_a_large_group_in_slices(spark):
+    """One combination with most of the choices, ranked in slices that come from a sample."""
+    lines = sw.scan(spark, LINES).selectExpr("IF(l_orderkey % 3 = 0, 0, l_suppkey) AS a", "l_orderkey AS b")
+    whole = sw.build_index(lines, ["a", "b"])
+    sliced = sw.build_index(lines, ["a", "b"], group_limit=100)
+    assert whole.choices(2).exceptAll(sliced.choices(2)).count() == 0
+    assert sliced.choices(2).exceptAll(whole.choices(2)).count() == 0
+
+
 def test_calls_on_one_table_share_the_cache(spark):
     first = sw.build_index(sw.scan(spark, PART), LEVELS)
     second = sw.build_index(sw.scan(spark, PART), LEVELS)
