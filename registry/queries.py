@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A path of its own per query and scale, in the shared folder."""
+    """A path of its own per application, scale and query, in the shared folder."""
     scale = sf_dir.rstrip("/").split("/")[-1]
-    return f"{shared_dir(spark)}/registry/{scale}/{name}"
+    return f"{shared_dir(spark)}/registry/{spark.sparkContext.applicationId}/{scale}/{name}"
 
 
 # requests
@@ -170,7 +172,7 @@ def exclude_pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def is_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each customer's balance class nation is one that has a supplier in debt."""
+    """Whether each customer lives in a nation with a supplier in debt."""
     in_debt = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select("s_nationkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return sw.is_member(customers, in_debt, "c_nationkey")
@@ -257,8 +259,7 @@ def resolve_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_type",
         (F.lit(51) - F.col("p_size")).alias("p_size"),
     )
-    run = F.md5(F.expr("uuid()"))
-    name = f"resolve_stream-{spark.range(1).select(run).first()[0]}"
+    name = f"resolve_stream-{uuid4().hex}"
     answers = scratch(spark, sf_dir, name)
     sw.answer_requests(requests, part_index(spark, sf_dir), answers, name).awaitTermination()
     return sw.scan(spark, answers)

@@ -97,8 +97,12 @@ def cascade_trace(
 
 
 def trace_text(trace: DataFrame, request_id: str = "request_id") -> DataFrame:
-    """The order of events of each request as one text; its lines are as few as the levels."""
-    in_order = F.sort_array(F.collect_list(F.struct("step", "level")))
+    """The order of events of each request as one text.
+
+    Steps are collected as a set, so even a request id that many rows share
+    never holds more entries than there are levels.
+    """
+    in_order = F.sort_array(F.collect_set(F.struct("step", "level")))
     lines = F.transform(in_order, lambda e: F.concat(F.lit("Update "), e["level"]))
     head = append_entry(F.array(F.lit("Order of events")), F.lit("Update start"))
     return trace.groupBy(request_id).agg(join_lines(F.concat(head, lines)).alias("text"))

@@ -72,6 +72,8 @@ def choices_for(
             for k in range(2, index.depth + 1)
         ],
     )
+    if index.all_choices_are_small():
+        offered = F.broadcast(offered)
     names = [quoted(c) for c in above]
     asked = ", ".join(
         f"CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in names[: k - 1])} "

@@ -23,7 +23,7 @@ from stepwell.plans.positions import GROUP_LIMIT, positions_in_group
 from stepwell.session import shared_dir
 
 BROADCAST_BYTES = 32 * 1024 * 1024
-ONE_TASK_ROWS = 100_000
+ONE_TASK_ROWS = 50_000
 OWN_COLUMNS = ["n_rows", "fresh"]
 
 
@@ -100,10 +100,17 @@ class LevelIndex:
         """Columns ``key_1 .. key_k`` and the ``position`` of the last among the choices under the others."""
         return self._table("choices", k, k, self._compute_choices)
 
+    def fits(self, n_rows: int) -> bool:
+        """Whether a table of that many combinations is small enough to broadcast, each as wide as the widest."""
+        return n_rows * (self.measures[-1] + 24 * (self.depth + 1)) <= BROADCAST_BYTES
+
     def is_small(self, k: int) -> bool:
         """Whether a table with a row per prefix of length ``k`` may be broadcast, by its measured size."""
-        width = self.measures[-1] + 24 * (self.depth + 1)
-        return self.measures[k - 1] * width <= BROADCAST_BYTES
+        return self.fits(self.measures[k - 1])
+
+    def all_choices_are_small(self) -> bool:
+        """Whether the choices of all levels together may be broadcast."""
+        return self.fits(sum(self.measures[1:-1]))
 
     def unpersist(self) -> None:
         self.combinations.unpersist()

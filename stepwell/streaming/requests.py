@@ -7,8 +7,6 @@ it is: each micro-batch is joined to the stored or cached index, without state.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -33,7 +31,6 @@ def answer_requests(
     index: LevelIndex,
     answers: str,
     name: str,
-    levels: Sequence[str] | None = None,
     **options,
 ) -> StreamingQuery:
     """Resolve all requests waiting in a stream and append the answers to a Parquet folder.
@@ -44,7 +41,7 @@ def answer_requests(
     """
     spark = requests.sparkSession
     return (
-        resolve_selection(requests, index, levels, **options)
+        resolve_selection(requests, index, **options)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", f"{shared_dir(spark)}/answers-{name}")
