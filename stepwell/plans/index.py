@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from stepwell.plans.positions import GROUP_LIMIT, positions_in_group
 from stepwell.session import shared_dir
+from stepwell.sources.tables import write_table
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 ONE_TASK_ROWS = 50_000
@@ -247,14 +248,14 @@ def write_index(index: LevelIndex, path: str) -> None:
     of a level reads only the folders of that level and those above it. Counts
     and choices are laid out by level.
     """
-    index.combinations.write.mode("overwrite").partitionBy("fresh").parquet(f"{path}/combinations")
-    index.measure().write.mode("overwrite").parquet(f"{path}/measures")
+    write_table(index.combinations, f"{path}/combinations", ["fresh"])
+    write_table(index.measure(), f"{path}/measures")
     if index.depth == 1:
         return
     for kind in ("counts", "choices"):
         tables = [getattr(index, kind)(k).withColumn("level", F.lit(k)) for k in range(2, index.depth + 1)]
         stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-        stacked.write.mode("overwrite").partitionBy("level").parquet(f"{path}/{kind}")
+        write_table(stacked, f"{path}/{kind}", ["level"])
 
 
 def read_index(spark: SparkSession, path: str) -> LevelIndex:

@@ -24,9 +24,12 @@ def write_table(
     """Write a whole table, replacing what the path holds.
 
     ``partition_by`` lays the files out by column value, so an equality filter
-    on that column reads only its folder. No shuffle is added: a value that
-    holds much of the table is written by all tasks that have rows of it.
+    on that column reads only its folder. Rows of a value are then brought
+    together first, or every task would write a small file per value; a value
+    that holds much of the table is split over several tasks again.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").format(format).partitionBy(*partition_by).save(path)
 
 

@@ -37,7 +37,7 @@ CASES = {
 }
 
 
-@pytest.fixture(params=[(case, tasks) for case in CASES for tasks in ("one task", "slices")], ids=" ".join)
+@pytest.fixture(scope="module", params=[(case, tasks) for case in CASES for tasks in ("one task", "slices")], ids=" ".join)
 def case(request, spark):
     name, tasks = request.param
     rows = brute.random_rows(name, 150, [4, 4, 5, 5], **CASES[name])

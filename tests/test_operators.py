@@ -29,6 +29,13 @@ def test_write_replaces_the_whole_table(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(part" in pruned._jdf.queryExecution().toString()
 
 
+def test_partitioned_write_makes_few_files(spark, tmp_path):
+    many_tasks = spark.range(0, 1000, 1, 16).withColumn("part", F.col("id") % 4)
+    sw.write_table(many_tasks, str(tmp_path / "t"), partition_by=["part"])
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) == 4
+    assert sw.scan(spark, str(tmp_path / "t")).count() == 1000
+
+
 def test_storage_size(spark, tmp_path):
     path = tmp_path / "t"
     sw.write_table(spark.range(100).withColumn("part", F.col("id") % 3), str(path), partition_by=["part"])

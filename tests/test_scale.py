@@ -53,7 +53,18 @@ def test_large_nodes_are_not_broadcast(spark, monkeypatch):
     try:
         index = sw.build_index(sw.scan(spark, PART), LEVELS)
         settled = sw.resolve_selection(part_requests(spark), index)
-        assert "SortMergeJoin" in plan_of(settled) and "BroadcastHashJoin" not in plan_of(settled)
+        rules = sw.scan(spark, PART).selectExpr("p_brand AS value_a", "p_type AS value_b")
+        for large in (
+            settled,
+            sw.choices_for(part_requests(spark), index),
+            sw.check_selection(part_requests(spark), index),
+            sw.cascade_trace(part_requests(spark), index),
+            sw.exclude_pair_table(sw.scan(spark, PART), rules, "p_brand", "p_type"),
+            sw.absent_pairs(sw.scan(spark, PART), LEVELS),
+        ):
+            plan = plan_of(large)
+            assert "SortMergeJoin" in plan
+            assert not re.search("Broadcast|NestedLoop|Cartesian", plan)
         shuffled = sorted(map(tuple, settled.collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
