@@ -35,7 +35,7 @@ def resolve_selection(
     index = as_index(source, levels)
     start = index.number_of(changed_level)
     settled = _descend(requests, index, start, index.depth, test_from, on_missing)
-    return settled.select(*requests.columns)
+    return settled.select(*map(quoted, requests.columns))
 
 
 def keep_or_first(
@@ -51,7 +51,7 @@ def keep_or_first(
     k = index.number_of(level)
     if k == 1:
         raise ValueError("the top level has no choices above it to settle under")
-    return _descend(requests, index, k - 1, k, test_from, on_missing).select(*requests.columns)
+    return _descend(requests, index, k - 1, k, test_from, on_missing).select(*map(quoted, requests.columns))
 
 
 def cascade_trace(
@@ -132,7 +132,10 @@ def check_selection(
 
 
 def default_selection(spark: SparkSession, picks: Mapping[str, Any], request_id: int = 1) -> DataFrame:
-    """A one-row request from a pick per level. Pass it through ``resolve_selection``."""
+    """A one-row request from a pick per level. Pass it through ``resolve_selection``.
+
+    A pick is a value, or a Column where its type needs a cast.
+    """
     columns = [F.lit(value).alias(level) for level, value in picks.items()]
     return spark.range(1).select(F.lit(request_id).cast("bigint").alias("request_id"), *columns)
 

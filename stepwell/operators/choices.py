@@ -52,12 +52,12 @@ def choices_for(
     above = index.levels[:-1]
     types = [index.schema[c].dataType.simpleString() for c in above]
 
-    def only_above(k: int, names: Sequence[str]) -> str:
+    def only_above(k: int, names: Sequence[str], prefix: str) -> list[str]:
         """The first k-1 of the names as keys, the other keys null."""
-        return ", ".join(
-            f"{name if i < k else f'CAST(NULL AS {kind})'} AS {{0}}_{i}"
+        return [
+            f"{name if i < k else f'CAST(NULL AS {kind})'} AS {prefix}_{i}"
             for i, (name, kind) in enumerate(zip(names, types), 1)
-        )
+        ]
 
     keys = index.keys(index.depth - 1)
     offered = reduce(
@@ -65,7 +65,7 @@ def choices_for(
         [
             index.choices(k).selectExpr(
                 f"{k} AS offered_level",
-                *only_above(k, keys).format("offered").split(", "),
+                *only_above(k, keys, "offered"),
                 "position",
                 f"CAST(key_{k} AS STRING) AS value",
             )
@@ -77,7 +77,7 @@ def choices_for(
     names = [quoted(c) for c in above]
     asked = ", ".join(
         f"CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in names[: k - 1])} "
-        f"THEN struct({k} AS level, {only_above(k, names).format('asked')}) END"
+        f"THEN struct({k} AS level, {', '.join(only_above(k, names, 'asked'))}) END"
         for k in range(2, index.depth + 1)
     )
     asked = requests.selectExpr(quoted(request_id), f"inline(array_compact(array({asked})))")

@@ -26,6 +26,7 @@ class LabelRule:
 
 
 def labels_up_to(prefix: str, size: int) -> LabelRule:
+    """Domain of labels for ``combination_grid``, with no table behind it."""
     return LabelRule(prefix, size)
 
 
@@ -94,16 +95,15 @@ def replicate_rows(df: DataFrame, n: int, partitions: int | None = None) -> Data
     """
     if n <= 0:
         return df.limit(0)
-    columns = [F.col(c) for c in df.columns]
     blocks = max(-(-n // COPIES_PER_STEP), 1 if partitions is None else min(4 * partitions, n))
     if blocks == 1:
-        return df.select(*columns, _repeat(F.lit(n))).drop("__copy")
+        return df.select("*", _repeat(F.lit(n))).drop("__copy")
     base, extra = divmod(n, blocks)
-    spread = df.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    spread = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
     if partitions is not None:
         spread = spread.repartition(partitions)
     size = F.lit(base) + (F.col("__block") < extra).cast("int")
-    return spread.select(*columns, _repeat(size)).drop("__copy")
+    return spread.select("*", _repeat(size)).drop("__block", "__copy")
 
 
 def _repeat(n: Column) -> Column:

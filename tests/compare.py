@@ -41,7 +41,7 @@ def as_rows(table: pa.Table) -> tuple[list, Counter]:
 def compare(spark, con, sf_dir: str, name: str) -> list[str]:
     """Differences between a query and its SQL, none if they agree."""
     got_types, got = as_rows(contract.queries()[name](spark, sf_dir).toArrow())
-    result = con.execute(contract.oracle_sql()[name]).to_arrow_table()
+    result = con.sql(contract.oracle_sql()[name]).to_arrow_table()
     want_types, want = as_rows(result)
     problems = []
     if got_types != want_types:

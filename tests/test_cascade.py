@@ -176,3 +176,30 @@ def test_wrong_types_and_names(spark):
     asked = spark.createDataFrame([(1, 5)], "request_id bigint, a int")
     with pytest.raises(ValueError, match="int in the requests"):
         sw.resolve_selection(asked, rows, ["a"])
+
+
+def test_odd_names_and_types(spark):
+    """Names that need quoting, a decimal, a date and a timestamp as levels."""
+    levels = ["a, b", "c.d", "e{f}", "g`h"]
+    rows = spark.sql("SELECT 1.50BD, DATE'2020-01-02', TIMESTAMP'2020-01-02 03:04:05', TRUE").toDF(*levels)
+    rows = rows.union(spark.sql("SELECT 2.25BD, DATE'2020-01-01', TIMESTAMP'2020-01-02 03:04:05', FALSE"))
+    index = sw.build_index(rows, levels)
+    asked = spark.sql("SELECT 7, 2.25BD, DATE'2020-01-02', NULL :: TIMESTAMP, TRUE").toDF("request_id", *levels)
+    settled = sw.resolve_selection(asked, index)
+    assert [str(v) for v in settled.first()] == ["7", "2.25", "2020-01-01", "2020-01-02 03:04:05", "False"]
+    offered = sw.choices_for(settled, index).orderBy("level").collect()
+    assert [tuple(r) for r in offered] == [
+        (7, 2, 1, "2020-01-01"),
+        (7, 3, 1, "2020-01-02 03:04:05"),
+        (7, 4, 1, "false"),
+    ]
+    assert sw.check_selection(asked, index).first()["first_invalid_level"] == 2
+    assert sw.cascade_trace(asked, index).count() == 3
+
+
+def test_default_pick_with_a_cast(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("x", 5)], "a string, b bigint")
+    asked = sw.default_selection(spark, {"a": "x", "b": F.lit(4).cast("bigint")})
+    assert sw.resolve_selection(asked, rows, ["a", "b"]).first()["b"] == 5
