@@ -45,11 +45,14 @@ class LevelIndex:
         combinations: DataFrame,
         group_limit: int = GROUP_LIMIT,
         measures: Sequence[int] | None = None,
+        path: str | None = None,
     ):
         self.levels = tuple(levels)
         self.combinations = combinations
         self.group_limit = group_limit
-        self.tables: dict[tuple[str, int], DataFrame] = {}
+        self.stored_at = path
+        self._tables: dict[tuple[str, int], DataFrame] = {}
+        self._opened: dict[str, DataFrame] = {}
         if measures is not None:
             self.measures = tuple(measures)
 
@@ -120,21 +123,31 @@ class LevelIndex:
         return f"fresh <= {k} AND {quoted(self.levels[k - 1])} IS NOT NULL"
 
     def _table(self, kind: str, k: int, prefix: int, compute) -> DataFrame:
-        if (kind, k) not in self.tables:
-            self.tables[kind, k] = compute(k)
-        table = self.tables[kind, k]
+        if (kind, k) not in self._tables:
+            self._tables[kind, k] = compute(k)
+        table = self._tables[kind, k]
         return F.broadcast(table) if self.is_small(prefix) else table
 
+    def _stored(self, kind: str, k: int, *columns: str) -> DataFrame:
+        """One level of a stored table, which is opened when first needed."""
+        if kind not in self._opened:
+            self._opened[kind] = self.combinations.sparkSession.read.parquet(f"{self.stored_at}/{kind}")
+        return self._opened[kind].filter(f"level = {k}").select(*columns)
+
     def _compute_node(self, k: int) -> DataFrame:
         values = [quoted(c) for c in self.levels]
         named = [f"{v} AS {'key' if i <= k else 'first'}_{i}" for i, v in enumerate(values, 1)]
         return self.combinations.filter(self._in_node(k)).selectExpr(f"{hash_of(values[:k])} AS hash", *named)
 
     def _compute_counts(self, k: int) -> DataFrame:
+        if self.stored_at:
+            return self._stored("counts", k, *self.keys(k - 1), "n_choices")
         counted = self._compute_node(k).groupBy(*self.keys(k - 1)).count()
         return counted.withColumnRenamed("count", "n_choices")
 
     def _compute_choices(self, k: int) -> DataFrame:
+        if self.stored_at:
+            return self._stored("choices", k, *self.keys(k), "position")
         *above, level = self.keys(k)
         largest = 0
         if self.measures[k - 1] > self.group_limit:
@@ -262,14 +275,8 @@ def read_index(spark: SparkSession, path: str) -> LevelIndex:
     """Open a stored index."""
     combinations = spark.read.parquet(f"{path}/combinations")
     levels = [c for c in combinations.columns if c not in OWN_COLUMNS]
-    index = LevelIndex(levels, combinations, measures=spark.read.parquet(f"{path}/measures").first())
-    if index.depth > 1:
-        counts, choices = (spark.read.parquet(f"{path}/{kind}") for kind in ("counts", "choices"))
-        for k in range(2, index.depth + 1):
-            at_level = f"level = {k}"
-            index.tables["counts", k] = counts.filter(at_level).select(*index.keys(k - 1), "n_choices")
-            index.tables["choices", k] = choices.filter(at_level).select(*index.keys(k), "position")
-    return index
+    measures = spark.read.parquet(f"{path}/measures").first()
+    return LevelIndex(levels, combinations, measures=measures, path=path)
 
 
 def as_index(source: DataFrame | LevelIndex, levels: Sequence[str] | None = None) -> LevelIndex:
