@@ -20,7 +20,7 @@ from stepwell.llm.common import Stored, column
 
 #: White space of the word pattern: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
-BLANK_RUN = "[\x20\x09-\x0d]+"
+BLANK_RUN = r"[\x20\x09-\x0d]+"
 SYMBOLS = "[#*$%&|<>]+"
 #: Low bits of a packed window: its position; a string has fewer than 2**30 words.
 PLACE_BITS = 30
