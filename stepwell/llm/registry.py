@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import license_scan, packing, quality_rules
+from stepwell.llm import bpe, license_scan, packing, quality_rules
 from stepwell.llm.common import table
 
 
@@ -19,11 +19,16 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality_rules.judge(docs, carry=["doc_id"])
     return judged.select(F.col("_row.doc_id").alias("doc_id"), *quality_rules.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {query.__name__: query for query in [op2_license_scan, op5_harmonic_packing, op9_quality_rules]}
+QUERIES = {query.__name__: query for query in [op2_license_scan, op5_harmonic_packing, op7_byte_bpe, op9_quality_rules]}
 ORACLE: dict[str, str] = {}
