@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import bpe, license_scan, packing, quality_rules
+from stepwell.llm import bpe, html_text, license_scan, packing, quality_rules, sharding
 from stepwell.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,38 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("_row.doc_id").alias("doc_id"), *quality_rules.MEASURES, "base_failed", "kept")
 
 
-QUERIES = {query.__name__: query for query in [op2_license_scan, op5_harmonic_packing, op7_byte_bpe, op9_quality_rules]}
-ORACLE: dict[str, str] = {}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = sharding.assign(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return sharded.select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "shard", "depth")
+
+
+QUERIES = {
+    query.__name__: query
+    for query in [
+        op1_html_extraction,
+        op2_license_scan,
+        op5_harmonic_packing,
+        op7_byte_bpe,
+        op9_quality_rules,
+        op10_sharding,
+    ]
+}
+ORACLE: dict[str, str] = {
+    # the least depth at which the prefix of a document's hash bits fits the limit
+    "op10_sharding": f"""
+        WITH k AS (
+            SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
+                   CAST('0x' || substr(md5(CAST(doc_id AS varchar)), 1, 10) AS bigint) AS h
+            FROM documents
+        ), sums AS (
+            SELECT d, h >> (40 - d) AS p, sum(n_bytes) AS b, count(*) AS n
+            FROM k, range(0, 41) AS t(d) GROUP BY ALL
+        )
+        SELECT k.doc_id, n_bytes,
+               substr(lpad(bin(h), 40, '0'), 1, CAST(min(d) AS bigint)) AS shard,
+               CAST(min(d) AS integer) AS depth
+        FROM k JOIN sums ON p = h >> (40 - d)
+        WHERE b <= {sharding.SHARD_BYTES} OR n = 1
+        GROUP BY k.doc_id, n_bytes, h
+    """,
+}
