@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import bpe, html_text, license_scan, packing, quality_rules, sharding
+from stepwell.llm import bpe, html_text, license_scan, packing, quality_model, quality_rules, sharding
 from stepwell.llm.common import table
 
 
@@ -18,6 +18,18 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = quality_model.scored(docs.select("doc_id", "text"), labels)
+    doc_id = F.col("_row.doc_id")
+    return rows.select(
+        doc_id.alias("doc_id"),
+        (quality_model.fold(doc_id) == quality_model.HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -44,6 +56,7 @@ QUERIES = {
     for query in [
         op1_html_extraction,
         op2_license_scan,
+        op4_quality_classifier,
         op5_harmonic_packing,
         op7_byte_bpe,
         op9_quality_rules,
