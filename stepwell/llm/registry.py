@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import bpe, html_text, license_scan, packing, quality_model, quality_rules, sharding
+from stepwell.llm import bpe, html_text, license_scan, neighbours, packing, quality_model, quality_rules, sharding
 from stepwell.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality_rules.judge(docs, carry=["doc_id"])
@@ -59,6 +63,7 @@ QUERIES = {
         op4_quality_classifier,
         op5_harmonic_packing,
         op7_byte_bpe,
+        op8_nearest_neighbours,
         op9_quality_rules,
         op10_sharding,
     ]
