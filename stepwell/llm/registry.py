@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import bpe, html_text, license_scan, neighbours, packing, quality_model, quality_rules, sharding
+from stepwell.llm import bpe, html_text, jaccard, license_scan, neighbours, packing, quality_model, quality_rules, sharding
 from stepwell.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = quality_model.scored(docs.select("doc_id", "text"), labels)
@@ -60,6 +64,7 @@ QUERIES = {
     for query in [
         op1_html_extraction,
         op2_license_scan,
+        op3_ngram_jaccard_join,
         op4_quality_classifier,
         op5_harmonic_packing,
         op7_byte_bpe,
