@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import bpe, html_text, jaccard, license_scan, neighbours, packing, quality_model, quality_rules, sharding
+from stepwell.llm import bpe, html_text, jaccard, license_scan, neighbours, packing, quality_model, quality_rules, repeats, sharding
 from stepwell.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -67,6 +71,7 @@ QUERIES = {
         op3_ngram_jaccard_join,
         op4_quality_classifier,
         op5_harmonic_packing,
+        op6_suffix_array_dedup,
         op7_byte_bpe,
         op8_nearest_neighbours,
         op9_quality_rules,
