@@ -1,10 +1,14 @@
-"""Corpus preparation: each stage works on all that its predecessor kept."""
+"""Corpus preparation: quality rules, quality classifier, near copies, repeated passages, packing.
+
+Each stage works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepwell.llm import quality_rules
+from stepwell.llm import jaccard, packing, quality_model, quality_rules, repeats
 from stepwell.llm.common import Stored, table
 
 
@@ -13,7 +17,34 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
-STAGES = [("quality rules", rules)]
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier takes for good."""
+    return quality_model.filter_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.keep_one(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that occur more than once."""
+    return repeats.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their place in the packed sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("quality classifier", classifier),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", passages),
+    ("packing", pack),
+]
+#: Trained scores, sketches and hashes are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -73,19 +73,23 @@ def _rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def sets_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, node (hash of its set), n (size of it), the compressed text and its size."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("size", pa.int64())])
+    """Per row: doc_id, node (hash of its set), n (size of it), the compressed text, its size and a hash of it."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("size", pa.int64()),
+         ("mark", pa.int64())]
+    )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _chunks(batches, 1):
             out = []
-            for (key,), body, hashes in zip(keys, texts, shingle_sets(texts)):
+            for (key, mark), body, hashes in zip(keys, texts, shingle_sets(texts)):
                 raw = body.encode("utf-8", "replace")
-                out.append((key, fingerprint(hashes), len(hashes), pa.compress(raw, codec="zstd", asbytes=True), len(raw)))
+                out.append((key, fingerprint(hashes), len(hashes), pa.compress(raw, codec="zstd", asbytes=True), len(raw), mark))
             yield _rows_of(schema, out)
 
-    cols = docs.select(column(doc_id).cast("bigint").alias("doc_id"), column(text).cast("string").alias("text"))
-    return cols.mapInArrow(work, "doc_id bigint, node bigint, n bigint, body binary, size bigint")
+    body = column(text).cast("string")
+    cols = docs.select(column(doc_id).cast("bigint").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("mark"))
+    return cols.mapInArrow(work, "doc_id bigint, node bigint, n bigint, body binary, size bigint, mark bigint")
 
 
 def _first_elements(rows: DataFrame, frequent: np.ndarray, counted: bool) -> DataFrame:
@@ -215,6 +219,39 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     no component unless all of it is null. No rows give no rows.
     """
     store = Stored(docs.sparkSession)
+    rows, labels = _groups(docs, doc_id, text, store)
+    return _with_components(rows, labels)
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group the row of smallest id stays.
+
+    Of a group without an id, or rows that repeat the smallest id, one text stays, once. Rows without
+    a shingle belong to no group and stay.
+    """
+    store = Stored(docs.sparkSession)
+    rows, labels = _groups(docs, doc_id, text, store)
+    full = rows.filter("n > 0").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # nulls last; the hash of the text tells rows of one id apart
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("mark").alias("c"))
+    best = full.groupBy("label").agg(F.min(order).alias("x")).select(F.col("x.b").alias("_b"), F.col("x.c").alias("_c"))
+    body = F.col("_text")
+    own = docs.select(
+        F.struct("*").alias("_row"), column(doc_id).cast("bigint").alias("_id"), column(text).cast("string").alias("_text")
+    ).withColumn("_mark", F.xxhash64(body))
+    same = F.col("_id").eqNullSafe(F.col("_b")) & (F.col("_mark") == F.col("_c"))
+    kept = own.join(best, same, "left_semi")
+    times = rows.filter("n > 0").groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    if not times.isEmpty():
+        kept = kept.dropDuplicates(["_id", "_mark"])
+    blank = rows.filter("n = 0").select(F.col("doc_id").alias("_b"), F.col("mark").alias("_c")).distinct()
+    if not blank.isEmpty():
+        kept = kept.unionByName(own.join(blank, same, "left_semi"))
+    return kept.select("_row.*")
+
+
+def _groups(docs: DataFrame, doc_id: str, text: str, store: Stored) -> tuple[DataFrame, DataFrame]:
+    """Rows with their node, and the component (node, label) of every linked node."""
     rows = store.keep(sets_of(docs, doc_id, text))
     members, texts = regions(rows, store)
     members = store.keep(members)
@@ -260,7 +297,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             open_members.join(chosen.select("h", F.col("p").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n")
         )
         store.drop(open_members, chosen, met)
-    return _with_components(rows, labels)
+    return rows, labels
 
 
 def _within_windows(pairs: DataFrame, first: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stepwell.llm.common import Stored, column
 from stepwell.llm.shingles import _power_tables, mixed
@@ -105,8 +106,6 @@ def rows_of(docs: DataFrame, doc_id: str, text: str, carry: bool) -> DataFrame:
         [("row", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sha", pa.string()),
          ("body", pa.binary())]
     )
-    own = docs.select(F.struct("*").alias("_row")) if carry else None
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = pyspark.TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -119,17 +118,29 @@ def rows_of(docs: DataFrame, doc_id: str, text: str, carry: bool) -> DataFrame:
                 out.append((number, key, node, len(raw), digest.hex(), packed))
                 number += 1
             made = _as_batch(schema, out)
-            if own is None:
+            if not carry:
                 yield made
             else:
                 yield pa.RecordBatch.from_arrays([*made.columns, batch.column(2)], names=[*schema.names, "_row"])
 
     picked = [column(doc_id).cast("bigint").alias("doc_id"), column(text).cast("string").alias("text")]
-    ddl = "row bigint, doc_id bigint, node bigint, size bigint, sha string, body binary"
-    if own is not None:
+    out = StructType.fromDDL("row bigint, doc_id bigint, node bigint, size bigint, sha string, body binary")
+    if carry:
         picked.append(F.struct("*").alias("_row"))
-        ddl += f", _row {own.schema['_row'].dataType.simpleString()}"
-    return docs.select(*picked).mapInArrow(work, ddl)
+        out = StructType([*out, docs.select(picked[-1]).schema["_row"]])
+    return docs.select(*picked).mapInArrow(work, out)
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut out of their text, and ``n_chars`` (if there) as it is then."""
+    cut = remove(docs, doc_id, text, with_text=True)
+    own = F.col("_row")
+    kept = F.when(own[text].isNotNull(), F.col("kept"))
+    columns = {text: kept.alias(text)}
+    if n_chars in docs.columns:
+        kind = docs.schema[n_chars].dataType
+        columns[n_chars] = F.when(own[n_chars].isNotNull(), F.length(F.coalesce(kept, F.lit("")))).cast(kind).alias(n_chars)
+    return cut.select(*[columns.get(c, own[c].alias(c)) for c in docs.columns])
 
 
 def _text(body: bytes, size: int) -> bytes:
@@ -166,8 +177,8 @@ def _send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield send(found)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated anchors of a task's hashes (KNOWN), and the number of places of those with very many (MANY)."""
+def _meet(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Repeated anchors of a task's hashes (KNOWN), and the number of places of those with more than ``most`` (MANY)."""
     parts = []
     for b in batches:
         kind = b.column(0).to_numpy()
@@ -186,7 +197,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.bincount(group, weights=np.where(kind == MANY, place, fresh)).astype(np.int64)
     use = (count > 1)[group] & (kind == ONE) & fresh
     yield _batch(_ANCHORS, np.full(use.sum(), KNOWN, np.int8), fp[use], node[use], place[use])
-    hot = np.flatnonzero(count > SHARD_SEGMENTS)
+    hot = np.flatnonzero(count > most)
     if len(hot):
         starts = np.flatnonzero(first)[hot]
         yield _batch(_ANCHORS, np.full(len(hot), MANY, np.int8), fp[starts], np.zeros(len(hot), np.int64), count[hot])
@@ -267,25 +278,25 @@ def _search(groups: list[list[tuple]]) -> Iterator[tuple]:
                 yield (ONE, fp, salt, shards, own[0], own[1], own[1], hashlib.blake2b(body[i : i + DEPTH], digest_size=16).digest())
 
 
-def _shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shard(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """Spans (KNOWN) found in the segments of one task, sorted by anchor and salt."""
     groups: list[list[tuple]] = []
     size, last = 0, None
     for batch in batches:
+        known: list[tuple] = []
         for row in zip(*[c.to_pylist() for c in batch.columns]):
             if row[0] == KNOWN:
-                groups.append([])
-                yield _as_batch(_PARTS, [row])
-                groups.pop()
+                known.append(row)
                 continue
             if row[1:3] != last:
-                if size > SHARD_BYTES:
+                if size > shard_bytes:
                     yield _as_batch(_PARTS, list(_search(groups)))
                     groups, size = [], 0
                 groups.append([])
                 last = row[1:3]
             groups[-1].append(row)
             size += len(row[7])
+        yield _as_batch(_PARTS, known)
     if groups:
         yield _as_batch(_PARTS, list(_search(groups)))
 
@@ -309,14 +320,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _as_batch(_PARTS, out)
 
 
-def spans(rows: DataFrame, store: Stored) -> DataFrame:
+def spans(rows: DataFrame, store: Stored, shard_segments: int, shard_bytes: int) -> DataFrame:
     """(node, lo, hi): runs of repeated starts of each text that occurs."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.filter(F.col("size") >= DEPTH).select("node", "size", "body").mapInArrow(_send_anchors, _ANCHORS_DDL)
     # known repeats need no meeting; they go along with their document
     key = F.when(F.col("kind") == KNOWN, F.col("node")).otherwise(F.col("fp"))
-    met = store.keep(sent.repartition(parts, key).mapInArrow(_meet, _ANCHORS_DDL))
-    hot = met.filter(F.col("kind") == MANY).select("fp", F.expr(f"int(1 + place div {SHARD_SEGMENTS})").alias("shards"))
+    met = store.keep(sent.repartition(parts, key).mapInArrow(lambda b: _meet(b, shard_segments), _ANCHORS_DDL))
+    hot = met.filter(F.col("kind") == MANY).select("fp", F.expr(f"int(1 + place div {shard_segments})").alias("shards"))
     repeated = met.filter(F.col("kind") == KNOWN).select("fp", "node", "place")
     repeated = repeated.join(hot, "fp", "left").select("node", "place", F.coalesce("shards", F.lit(1)).alias("shards"))
     by_node = repeated.groupBy("node").agg(F.collect_list(F.struct("place", "shards")).alias("found"))
@@ -326,31 +337,38 @@ def spans(rows: DataFrame, store: Stored) -> DataFrame:
     texts = rows.select("row", "node", "size", "body").join(wanted, "row").select("node", "size", "body", "found")
     segments = texts.mapInArrow(_send_segments, _PARTS_DDL)
     spread = segments.repartition(parts, "fp", "salt").sortWithinPartitions("fp", "salt")
-    searched = store.keep(spread.mapInArrow(_shard, _PARTS_DDL))
+    searched = store.keep(spread.mapInArrow(lambda b: _shard(b, shard_bytes), _PARTS_DDL))
     strings = searched.filter(F.col("kind") == ONE).repartition(parts, "fp", F.substring("body", 1, 2))
     merged = strings.mapInArrow(_merge, _PARTS_DDL)
     return searched.filter(F.col("kind") == KNOWN).unionByName(merged).select("node", "lo", "hi")
 
 
-def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and ``_row``, its columns, and ``kept``, its bytes).
+def remove(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    with_text: bool = False,
+    shard_segments: int = SHARD_SEGMENTS,
+    shard_bytes: int = SHARD_BYTES,
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and ``_row``, its columns, and ``kept``, its text).
 
-    Null or empty text: no bytes, nothing removed. Rows of equal text of ``DEPTH`` bytes or more are
+    A character that is removed in part is missing from ``kept``, which is text; the checksum is of the bytes. Null or empty text: no bytes, nothing removed. Rows of equal text of ``DEPTH`` bytes or more are
     removed whole, whatever their ids. Texts shorter than that stay. No rows give no rows.
     """
     store = Stored(docs.sparkSession)
     rows = store.keep(rows_of(docs, doc_id, text, with_text))
     copies = rows.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    found = store.keep(spans(rows, store))
+    found = store.keep(spans(rows, store, shard_segments, shard_bytes))
     # rows of a text that occurs twice go whole, so spans are joined to single rows only
     single = found.join(copies.select("node"), "node", "left_anti")
     by_node = single.groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
     marked = rows.join(copies, "node", "left").join(by_node, "node", "left")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-         ("kept_sha256", pa.string()), ("kept", pa.binary())]
+         ("kept_sha256", pa.string()), ("kept", pa.string())]
     )
-    ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
+    ddl = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = hashlib.sha256(b"").hexdigest()
@@ -358,10 +376,10 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_tex
             out = []
             for key, size, sha, copies, found, body in zip(*[batch.column(i).to_pylist() for i in range(6)]):
                 if copies and size >= DEPTH:
-                    out.append((key, size, size, 1, nothing, b"" if with_text else None))
+                    out.append((key, size, size, 1, nothing, "" if with_text else None))
                     continue
                 if not found:
-                    out.append((key, size, 0, 0, sha, _text(body, size) if with_text else None))
+                    out.append((key, size, 0, 0, sha, _text(body, size).decode() if with_text else None))
                     continue
                 raw, kept, at, removed, runs = _text(body, size), [], 0, 0, 0
                 end = -1
@@ -375,7 +393,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_tex
                     end = at = max(end, hi)
                 kept.append(raw[at:])
                 rest = b"".join(kept)
-                out.append((key, size, removed, runs, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
+                out.append((key, size, removed, runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else None))
             made = _as_batch(schema, out)
             if with_text:
                 yield pa.RecordBatch.from_arrays([*made.columns, batch.column(6)], names=[*schema.names, "_row"])
@@ -384,5 +402,5 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_tex
 
     names = ["doc_id", "size", "sha", "copies", "found", "body"]
     if with_text:
-        return marked.select(*names, "_row").mapInArrow(cut, f"{ddl}, _row {rows.schema['_row'].dataType.simpleString()}")
+        return marked.select(*names, "_row").mapInArrow(cut, StructType([*StructType.fromDDL(ddl), rows.schema["_row"]]))
     return marked.select(*names).mapInArrow(cut, ddl).drop("kept")
