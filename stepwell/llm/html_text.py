@@ -190,10 +190,12 @@ def extract(source: str) -> str:
     for node in range(1, n):
         sums[page.parents[node]] += dense[node]
     best = max(range(n), key=lambda i: (max(sums[i], 0.0 if any_child(i, page, chars) else dense[i]), -i)) if n > 1 else 0
-    path, node = [dense[best]], best
+    # characters outside links per tag: the composite density also grows with a node's size
+    plain = [(chars[i] - link_chars[i]) / max(1, tags[i]) for i in range(n)]
+    path, node = [plain[best]], best
     while node and page.tags[node] != "body":
         node = page.parents[node]
-        path.append(dense[node])
+        path.append(plain[node])
     threshold = min(path)
     # widen: an enclosing article or main, then any parent with another child of sufficient density
     node = best
@@ -205,7 +207,7 @@ def extract(source: str) -> str:
     for i in range(1, n):
         if chars[i]:
             children.setdefault(page.parents[i], []).append(i)
-    while best and any(i != best and dense[i] >= threshold for i in children.get(page.parents[best], ())):
+    while best and any(i != best and plain[i] >= threshold for i in children.get(page.parents[best], ())):
         best = page.parents[best]
     return "\n".join(_blocks(page, best, cut))
 
