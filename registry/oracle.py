@@ -18,7 +18,7 @@ from registry.queries import (
 
 PART_REQUESTS = """
 SELECT a.p_partkey AS request_id, a.p_brand, b.p_type, c.p_size
-FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 JOIN part c ON c.p_partkey = a.p_partkey + 2"""
+FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1 LEFT JOIN part c ON c.p_partkey = a.p_partkey + 2"""
 
 PART_REQUESTS_WITH_GAPS = f"""
 SELECT request_id, p_brand,
@@ -40,8 +40,7 @@ STREAM_REQUESTS = """
 SELECT p_partkey AS request_id, p_brand, p_type, CAST(51 - p_size AS INTEGER) AS p_size FROM part"""
 
 SUPPLIER_REQUESTS = """
-SELECT s_suppkey AS request_id, s_nationkey AS c_nationkey, 'BUILDING' AS c_mktsegment,
-       CAST(NULL AS BIGINT) AS c_custkey
+SELECT s_suppkey AS request_id, s_nationkey AS c_nationkey, 'BUILDING' AS c_mktsegment
 FROM supplier"""
 
 
@@ -224,7 +223,7 @@ ORACLE = {
     "choices_for_customers": all_choices(SUPPLIER_REQUESTS, "customer", CUSTOMER_LEVELS),
     "preview": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 6",
     "resolve_selection": cascade(PART_REQUESTS, "part", PART_LEVELS),
-    "keep_or_first": cascade(PART_REQUESTS, "part", PART_LEVELS, start=2),
+    "keep_or_first": cascade(PART_REQUESTS, "part", PART_LEVELS, start=1, only=2),
     "resolve_changed_level": cascade(PART_REQUESTS, "part", PART_LEVELS, start=2),
     "resolve_literal": cascade(RATE_REQUESTS, "lineitem", RATE_LEVELS, test_from={"l_tax": "l_discount"}),
     "resolve_skip_missing": cascade(PART_REQUESTS_WITH_GAPS, "part", PART_LEVELS, on_missing="skip"),
@@ -245,7 +244,7 @@ ORACLE = {
         PART_LEVELS,
     ),
     "absent_pairs": pairs_missing("part", PART_LEVELS),
-    "absent_pairs_lines": pairs_missing("lineitem", ["l_suppkey", "l_partkey", "l_tax"]),
+    "absent_pairs_lines": pairs_missing("lineitem", ["l_suppkey", "l_tax", "l_discount"]),
     "check_rules": broken_counts("part", PART_RULES),
     "structure": columns_of(
         "part",

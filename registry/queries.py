@@ -13,7 +13,7 @@ from stepwell.session import shared_dir
 PART_LEVELS = ["p_brand", "p_type", "p_size"]
 SUPPLY_LEVELS = ["l_suppkey", "l_partkey", "l_returnflag", "l_linestatus", "l_linenumber"]
 RATE_LEVELS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax"]
-CUSTOMER_LEVELS = ["c_nationkey", "c_mktsegment", "c_custkey"]
+CUSTOMER_LEVELS = ["c_nationkey", "c_mktsegment"]
 DEFAULT_PICKS = {"p_brand": "Brand#17", "p_type": "SMALL", "p_size": 50}
 ORDER_RULES = [
     sw.PairRule("o_orderstatus", "F", "o_orderpriority", "1-URGENT"),
@@ -43,12 +43,12 @@ def scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
 
 
 def part_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per part: its own brand, the type of the next part, the size of the one after."""
+    """Per part: its own brand, the type of the next part, the size of the one after; null where there is none."""
     part = table(spark, sf_dir, "part")
     own = part.select(F.col("p_partkey").alias("request_id"), "p_brand")
     next_type = part.select((F.col("p_partkey") - 1).alias("request_id"), "p_type")
     later_size = part.select((F.col("p_partkey") - 2).alias("request_id"), "p_size")
-    return own.join(next_type, "request_id").join(later_size, "request_id")
+    return own.join(next_type, "request_id", "left").join(later_size, "request_id", "left")
 
 
 def part_requests_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,12 +86,11 @@ def rate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per supplier: its nation and one market segment, no customer."""
+    """Per supplier: its nation and one market segment."""
     return table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("request_id"),
         F.col("s_nationkey").alias("c_nationkey"),
         F.lit("BUILDING").alias("c_mktsegment"),
-        F.lit(None).cast("bigint").alias("c_custkey"),
     )
 
 
@@ -213,7 +212,7 @@ def resolve_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_or_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sw.keep_or_first(part_requests(spark, sf_dir), part_index(spark, sf_dir), "p_size")
+    return sw.keep_or_first(part_requests(spark, sf_dir), part_index(spark, sf_dir), "p_type")
 
 
 def resolve_changed_level(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +292,7 @@ def absent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def absent_pairs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sw.absent_pairs(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey", "l_tax"])
+    return sw.absent_pairs(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_tax", "l_discount"])
 
 
 def check_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.functions import append_entry, join_lines, update_message
-from stepwell.plans.index import LevelIndex, as_index, hash_of, quoted
+from stepwell.functions.names import column, quoted
+from stepwell.plans.index import LevelIndex, as_index
+
+
+#: So many different top values of requests are looked up by a filter on the index.
+FEW_VALUES = 1_000
 
 
 def resolve_selection(
@@ -93,7 +98,7 @@ def cascade_trace(
         "array<struct<step:int,level:string,came_from:string,old_value:string,"
         "new_value:string,n_choices:bigint,kept:boolean>>"
     )
-    return settled.select(request_id, F.inline(F.array(*steps).cast(schema)))
+    return settled.select(column(request_id), F.inline(F.array(*steps).cast(schema)))
 
 
 def trace_text(trace: DataFrame, request_id: str = "request_id") -> DataFrame:
@@ -105,13 +110,13 @@ def trace_text(trace: DataFrame, request_id: str = "request_id") -> DataFrame:
     in_order = F.sort_array(F.collect_set(F.struct("step", "level")))
     lines = F.transform(in_order, lambda e: F.concat(F.lit("Update "), e["level"]))
     head = append_entry(F.array(F.lit("Order of events")), F.lit("Update start"))
-    return trace.groupBy(request_id).agg(join_lines(F.concat(head, lines)).alias("text"))
+    return trace.groupBy(column(request_id)).agg(join_lines(F.concat(head, lines)).alias("text"))
 
 
 def trace_messages(trace: DataFrame, prefix: str = "", request_id: str = "request_id") -> DataFrame:
     """The log line of each step; ``prefix`` goes before the level's label."""
     level = F.concat(F.lit(prefix), F.col("level"))
-    return trace.select(request_id, "step", update_message(level, F.col("came_from")).alias("message"))
+    return trace.select(column(request_id), "step", update_message(level, F.col("came_from")).alias("message"))
 
 
 def check_selection(
@@ -123,9 +128,10 @@ def check_selection(
     """First level of each request that is not valid under the values above it, else null."""
     index = as_index(source, levels)
     _check_types(requests, index)
+    node_of = _lookup(requests, index)
     found = requests
     for k in range(1, index.depth + 1):
-        known = index.node(k).selectExpr(*_keys(k, f"__key{k}"), f"TRUE AS __found_{k}")
+        known = node_of(k).selectExpr(*_keys(k, f"__key{k}"), f"TRUE AS __found_{k}")
         found = found.join(known, _match(map(quoted, index.levels[:k]), f"__key{k}"), "left")
     invalid = ", ".join(f"CASE WHEN __found_{k} IS NULL THEN {k} END" for k in range(1, index.depth + 1))
     return found.selectExpr(quoted(request_id), f"CAST(coalesce({invalid}, NULL) AS INT) AS first_invalid_level")
@@ -166,7 +172,8 @@ def _descend(
         raise ValueError(f"not a level: {sorted(unknown)}")
 
     path = index.path(start)
-    top = index.node(start).selectExpr(*_keys(start, "__top"), *[f"{c} AS __{c}" for c in path])
+    node_of = _lookup(requests, index)
+    top = node_of(start).selectExpr(*_keys(start, "__top"), *[f"{c} AS __{c}" for c in path])
     state = requests.join(top, _match(map(quoted, index.levels[:start]), "__top"), "left")
     columns = {c: quoted(c) for c in requests.columns}
     trace: list[str] = []
@@ -177,7 +184,7 @@ def _descend(
         if requests.schema[source].dataType != index.schema[level].dataType:
             tested = f"try_cast({tested} AS {index.schema[level].dataType.simpleString()})"
         path = index.path(k)
-        node = index.node(k).selectExpr(*_keys(k), *[f"{c} AS __hit_{c}" for c in path])
+        node = node_of(k).selectExpr(*_keys(k), *[f"{c} AS __hit_{c}" for c in path])
 
         def settled(value: str, fallback: str, name: str) -> str:
             unset = f"WHEN {quoted(source)} IS NULL THEN NULL " if on_missing == "skip" else ""
@@ -201,16 +208,31 @@ def _descend(
     return state
 
 
+def _lookup(requests: DataFrame, index: LevelIndex) -> Callable[[int], DataFrame]:
+    """Nodes by level, large ones reduced to the top values that the requests hold if these are few.
+
+    The top value of a request never changes in the cascade, so the rest of a node can match nothing. A filter
+    reaches the files of a stored index and leaves little to shuffle.
+    """
+    large = [k for k in range(1, index.depth + 1) if not index.is_small(k)]
+    if not large or requests.isStreaming:
+        return index.node
+    top = index.levels[0]
+    held = requests.select(column(top).alias("v")).distinct().limit(FEW_VALUES + 1).collect()
+    if len(held) > FEW_VALUES:
+        return index.node
+    values = [row["v"] for row in held if row["v"] is not None]
+    return lambda k: index.node(k).filter(F.col("key_1").isin(values)) if k in large else index.node(k)
+
+
 def _keys(k: int, name: str = "__key") -> list[str]:
-    """Projection that renames the hash and the keys of a node."""
-    return [f"hash AS {name}_hash", *[f"key_{i} AS {name}_{i}" for i in range(1, k + 1)]]
+    """Projection that renames the keys of a node."""
+    return [f"key_{i} AS {name}_{i}" for i in range(1, k + 1)]
 
 
 def _match(values: Iterable[str], name: str) -> Column:
     """Join condition between the values of a request and the renamed keys of a node."""
-    values = list(values)
-    same = [f"{value} = {name}_{i}" for i, value in enumerate(values, 1)]
-    return F.expr(" AND ".join([f"{hash_of(values)} = {name}_hash", *same]))
+    return F.expr(" AND ".join(f"{value} = {name}_{i}" for i, value in enumerate(values, 1)))
 
 
 def _check_types(requests: DataFrame, index: LevelIndex) -> None:

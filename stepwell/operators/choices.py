@@ -9,8 +9,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepwell.functions.names import column as col, quoted
 from stepwell.operators.filters import drill_down
-from stepwell.plans.index import LevelIndex, as_index, quoted
+from stepwell.plans.index import LevelIndex, as_index
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def row_count(df: DataFrame) -> DataFrame:
 
 def root_choices(df: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column, in no order; a null stays."""
-    return df.select(column).distinct()
+    return df.select(col(column)).distinct()
 
 
 def choices(df: DataFrame, levels: Sequence[str], values: Sequence[Any]) -> DataFrame:
@@ -28,8 +29,8 @@ def choices(df: DataFrame, levels: Sequence[str], values: Sequence[Any]) -> Data
     if len(values) >= len(levels):
         raise ValueError("the selection leaves no level to choose")
     level = levels[len(values)]
-    below = drill_down(df, levels, values).select(level)
-    return below.filter(F.col(level).isNotNull()).distinct().orderBy(level)
+    below = drill_down(df, levels, values).select(col(level))
+    return below.filter(col(level).isNotNull()).distinct().orderBy(col(level))
 
 
 def choices_for(
@@ -41,9 +42,10 @@ def choices_for(
     """Choices of the levels 2..n under the values each request holds above them.
 
     The rows are (request, level, position, value), one per choice. A request
-    becomes one key row per level, with nulls for the levels not above it, and
-    all levels meet their choices in a single join. Positions are counted once
-    per combination, not once per request.
+    becomes one key row per level, with nulls for the levels not above it. All
+    levels whose choices are small meet the requests in a single broadcast join; each
+    larger level is shuffled on its own, so the few hot keys of the upper levels
+    stay out of it. Positions are counted once per combination, not once per request.
     """
     index = as_index(source, levels)
     if index.depth == 1:
@@ -60,32 +62,39 @@ def choices_for(
         ]
 
     keys = index.keys(index.depth - 1)
-    offered = reduce(
-        DataFrame.union,
-        [
-            index.choices(k).selectExpr(
-                f"{k} AS offered_level",
-                *only_above(k, keys, "offered"),
-                "position",
-                f"CAST(key_{k} AS STRING) AS value",
-            )
-            for k in range(2, index.depth + 1)
-        ],
-    )
-    if index.all_choices_are_small():
-        offered = F.broadcast(offered)
     names = [quoted(c) for c in above]
-    asked = ", ".join(
-        f"CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in names[: k - 1])} "
-        f"THEN struct({k} AS level, {', '.join(only_above(k, names, 'asked'))}) END"
-        for k in range(2, index.depth + 1)
-    )
-    asked = requests.selectExpr(quoted(request_id), f"inline(array_compact(array({asked})))")
-    met = " AND ".join(f"asked_{i} <=> offered_{i}" for i in range(1, index.depth))
-    joined = asked.join(offered, F.expr(f"level = offered_level AND {met}"))
-    return joined.select(request_id, "level", "position", "value")
+
+    def met(levels: Sequence[int]) -> DataFrame:
+        offered = reduce(
+            DataFrame.union,
+            [
+                index.choices(k).selectExpr(
+                    f"{k} AS offered_level",
+                    *only_above(k, keys, "offered"),
+                    "position",
+                    f"CAST(key_{k} AS STRING) AS value",
+                )
+                for k in levels
+            ],
+        )
+        if all(index.is_small(k) for k in levels):
+            offered = F.broadcast(offered)  # each level is small by its measured bytes
+        asked = ", ".join(
+            f"CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in names[: k - 1])} "
+            f"THEN struct({k} AS level, {', '.join(only_above(k, names, 'asked'))}) END"
+            for k in levels
+        )
+        asked = requests.selectExpr(quoted(request_id), f"inline(array_compact(array({asked})))")
+        same = " AND ".join(f"asked_{i} <=> offered_{i}" for i in range(1, index.depth))
+        joined = asked.join(offered, F.expr(f"level = offered_level AND {same}"))
+        return joined.select(col(request_id), "level", "position", "value")
+
+    deeper = range(2, index.depth + 1)
+    small = [k for k in deeper if index.is_small(k)]
+    groups = [small] * bool(small) + [[k] for k in deeper if k not in small]
+    return reduce(DataFrame.union, map(met, groups))
 
 
 def preview(df: DataFrame, n: int = 6, order_by: Sequence[str] = ()) -> DataFrame:
     """First ``n`` rows. Without an order they are any ``n`` rows."""
-    return (df.orderBy(*order_by) if order_by else df).limit(n)
+    return (df.orderBy(*map(col, order_by)) if order_by else df).limit(n)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepwell.functions import is_true
+from stepwell.functions.names import column, quoted
 
 
 class PairRule(NamedTuple):
@@ -25,20 +26,20 @@ class PairRule(NamedTuple):
 
     @property
     def broken(self) -> Column:
-        return (F.col(self.col_a) == F.lit(self.value_a)) & (F.col(self.col_b) == F.lit(self.value_b))
+        return (column(self.col_a) == F.lit(self.value_a)) & (column(self.col_b) == F.lit(self.value_b))
 
 
-def where_equals(df: DataFrame, column: str, value: Any) -> DataFrame:
+def where_equals(df: DataFrame, name: str, value: Any) -> DataFrame:
     """Rows whose column equals a value; null never matches."""
-    return df.filter(F.col(column) == F.lit(value))
+    return df.filter(column(name) == F.lit(value))
 
 
 def drill_down(df: DataFrame, levels: Sequence[str], values: Sequence[Any]) -> DataFrame:
     """Rows matching a selection of the first ``len(values)`` levels."""
     if len(values) > len(levels):
         raise ValueError("more values than levels")
-    for column, value in zip(levels, values):
-        df = where_equals(df, column, value)
+    for level, value in zip(levels, values):
+        df = where_equals(df, level, value)
     return df
 
 
@@ -69,7 +70,7 @@ def exclude_pair_table(df: DataFrame, rules: DataFrame, col_a: str, col_b: str)
             )
         )
     ).distinct()
-    broken = df[col_a].eqNullSafe(tests["value_a"]) & df[col_b].eqNullSafe(tests["value_b"])
+    broken = df[quoted(col_a)].eqNullSafe(tests["value_a"]) & df[quoted(col_b)].eqNullSafe(tests["value_b"])
     return df.join(tests, broken, "left_anti")
 
 
@@ -77,5 +78,5 @@ def is_member(requests: DataFrame, domain: DataFrame, column: str, name: str = "
     """Flag each request whose value occurs in the domain's first column; null does not."""
     known = domain.toDF(*["__value", *domain.columns[1:]]).select("__value").distinct()
     known = known.withColumn("__known", F.lit(True))
-    joined = requests.join(known, requests[column] == known["__value"], "left")
-    return joined.select(*[requests[c] for c in requests.columns], is_true(F.col("__known")).alias(name))
+    joined = requests.join(known, requests[quoted(column)] == known["__value"], "left")
+    return joined.select(*[requests[quoted(c)] for c in requests.columns], is_true(F.col("__known")).alias(name))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stepwell.functions import size_line
+from stepwell.functions.names import column
 from stepwell.operators.choices import preview, row_count
 from stepwell.operators.filters import PairRule
 from stepwell.plans.positions import GROUP_LIMIT, dense_positions
+from stepwell.session import stored
 from stepwell.sources.tables import scan, storage_size
 
 SLICE_WIDTH = 4_096
@@ -29,13 +31,14 @@ def absent_pairs(
     written out. In a domain wider than ``slice_width``, gaps are looked for
     slice by slice, and slices with nothing seen are found as gaps between
     slices, so no task handles a whole domain for one value. Combinations and
-    values are cached, as they are used several times.
+    values are stored in the shared folder, as they are used several times.
     """
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    combinations = df.select(*cols).distinct().persist()
-    cells = [F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols]
-    values = combinations.select(F.inline(F.array(*cells))).dropna().distinct().persist()
+    combinations = df.select(*map(column, cols)).distinct()
+    cells = [F.struct(F.lit(c).alias("col"), column(c).cast("string").alias("value")) for c in cols]
+    combinations, _ = stored(combinations)
+    values, _ = stored(combinations.select(F.inline(F.array(*cells))).dropna().distinct())
     # one row per column
     sizes = {row["col"]: row["count"] for row in values.groupBy("col").count().collect()}
     if len(sizes) < 2:
@@ -86,9 +89,9 @@ def _value_pairs(combinations: DataFrame, pairs: list[tuple[str, str]]) -> DataF
     cells = [
         F.struct(
             F.lit(a).alias("col_a"),
-            F.col(a).cast("string").alias("value_a"),
+            column(a).cast("string").alias("value_a"),
             F.lit(b).alias("col_b"),
-            F.col(b).cast("string").alias("value_b"),
+            column(b).cast("string").alias("value_b"),
         )
         for a, b in pairs
     ]
@@ -122,7 +125,7 @@ def structure(df: DataFrame, n: int = 6, order_by: Sequence[str] = (), missing:
     numbered = head.withColumn("__row", F.row_number().over(in_order))
     samples = []
     for position, field in enumerate(df.schema, 1):
-        shown = F.coalesce(F.col(f"`{field.name}`").cast("string"), F.lit(missing))
+        shown = F.coalesce(column(field.name).cast("string"), F.lit(missing))
         listed = F.sort_array(F.collect_list(F.struct(F.col("__row").alias("row"), shown.alias("value"))))
         samples.append(
             F.struct(

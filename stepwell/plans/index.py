@@ -11,31 +11,26 @@ a filter over the combinations, with no aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import json
+from collections.abc import Sequence
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from stepwell.functions.names import quoted
 from stepwell.plans.positions import GROUP_LIMIT, positions_in_group
-from stepwell.session import shared_dir
+from stepwell.session import remove_folder, stored
 from stepwell.sources.tables import write_table
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 ONE_TASK_ROWS = 50_000
+SLICE_ROWS = 1_000_000
 OWN_COLUMNS = ["n_rows", "fresh"]
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def hash_of(values: Iterable[str]) -> str:
-    return f"xxhash64({', '.join(values)})"
-
-
 class LevelIndex:
     """Index of one table on an ordered list of level columns; see ``build_index`` and ``read_index``."""
 
@@ -46,6 +41,7 @@ class LevelIndex:
         group_limit: int = GROUP_LIMIT,
         measures: Sequence[int] | None = None,
         path: str | None = None,
+        folders: Sequence[str] = (),
     ):
         self.levels = tuple(levels)
         self.combinations = combinations
@@ -53,6 +49,7 @@ class LevelIndex:
         self.stored_at = path
         self._tables: dict[tuple[str, int], DataFrame] = {}
         self._opened: dict[str, DataFrame] = {}
+        self._folders = list(folders)
         if measures is not None:
             self.measures = tuple(measures)
 
@@ -66,13 +63,15 @@ class LevelIndex:
 
     @cached_property
     def measures(self) -> tuple[int, ...]:
-        """Rows of each node, and the bytes of the widest combination."""
+        """Rows of each node, then the bytes of the values in each node."""
         return tuple(self.measure().first())
 
     def measure(self) -> DataFrame:
-        nodes = [f"count_if({self._in_node(k)}) AS rows_{k}" for k in range(1, self.depth + 1)]
+        each = range(1, self.depth + 1)
         width = " + ".join(f"coalesce(octet_length(CAST({quoted(c)} AS STRING)), 0)" for c in self.levels)
-        return self.combinations.selectExpr(*nodes, f"CAST(coalesce(max({width}), 0) AS BIGINT) AS width")
+        rows = [f"count_if({self._in_node(k)}) AS rows_{k}" for k in each]
+        size = [f"CAST(coalesce(sum(CASE WHEN {self._in_node(k)} THEN {width} END), 0) AS BIGINT) AS bytes_{k}" for k in each]
+        return self.combinations.selectExpr(*rows, *size)
 
     def number_of(self, level: str | int) -> int:
         """1-based number of a level given by name or number."""
@@ -89,11 +88,7 @@ class LevelIndex:
         return [f"first_{j}" for j in range(k + 1, self.depth + 1)]
 
     def node(self, k: int) -> DataFrame:
-        """Columns ``hash`` (of the keys), ``key_1 .. key_k`` and the first path below them.
-
-        Joining on the hash ahead of the keys lets a sort compare one number
-        where it would compare the equal first keys of many rows.
-        """
+        """Columns ``key_1 .. key_k`` and the first path below them."""
         return self._table("node", k, k, self._compute_node)
 
     def counts(self, k: int) -> DataFrame:
@@ -104,20 +99,16 @@ class LevelIndex:
         """Columns ``key_1 .. key_k`` and the ``position`` of the last among the choices under the others."""
         return self._table("choices", k, k, self._compute_choices)
 
-    def fits(self, n_rows: int) -> bool:
-        """Whether a table of that many combinations is small enough to broadcast, each as wide as the widest."""
-        return n_rows * (self.measures[-1] + 24 * (self.depth + 1)) <= BROADCAST_BYTES
-
     def is_small(self, k: int) -> bool:
-        """Whether a table with a row per prefix of length ``k`` may be broadcast, by its measured size."""
-        return self.fits(self.measures[k - 1])
-
-    def all_choices_are_small(self) -> bool:
-        """Whether the choices of all levels together may be broadcast."""
-        return self.fits(sum(self.measures[1:-1]))
+        """Whether a table with a row per prefix of length ``k`` may be broadcast, by its measured bytes."""
+        rows, size = self.measures[k - 1], self.measures[self.depth + k - 1]
+        return size + rows * 24 * (self.depth + 1) <= BROADCAST_BYTES
 
     def unpersist(self) -> None:
-        self.combinations.unpersist()
+        """Delete the files that ``build_index`` has made for this index; a stored index stays."""
+        for folder in self._folders:
+            remove_folder(self.combinations.sparkSession, folder)
+        self._folders = []
 
     def _in_node(self, k: int) -> str:
         return f"fresh <= {k} AND {quoted(self.levels[k - 1])} IS NOT NULL"
@@ -131,13 +122,20 @@ class LevelIndex:
     def _stored(self, kind: str, k: int, *columns: str) -> DataFrame:
         """One level of a stored table, which is opened when first needed."""
         if kind not in self._opened:
-            self._opened[kind] = self.combinations.sparkSession.read.parquet(f"{self.stored_at}/{kind}")
+            reader = self.combinations.sparkSession.read.schema(self._stored_schema(kind))
+            self._opened[kind] = reader.parquet(f"{self.stored_at}/{kind}")
         return self._opened[kind].filter(f"level = {k}").select(*columns)
 
+    def _stored_schema(self, kind: str) -> StructType:
+        """Schema of stored counts or choices, which may be empty."""
+        last, number = (self.depth - 1, "n_choices bigint") if kind == "counts" else (self.depth, "position int")
+        keys = [StructField(f"key_{i}", self.schema[c].dataType) for i, c in enumerate(self.levels[:last], 1)]
+        return StructType([*keys, *StructType.fromDDL(f"{number}, level int")])
+
     def _compute_node(self, k: int) -> DataFrame:
         values = [quoted(c) for c in self.levels]
         named = [f"{v} AS {'key' if i <= k else 'first'}_{i}" for i, v in enumerate(values, 1)]
-        return self.combinations.filter(self._in_node(k)).selectExpr(f"{hash_of(values[:k])} AS hash", *named)
+        return self.combinations.filter(self._in_node(k)).selectExpr(*named)
 
     def _compute_counts(self, k: int) -> DataFrame:
         if self.stored_at:
@@ -163,13 +161,14 @@ def build_index(
 
     The table is read once, for its level columns only, and its rows are counted
     per combination, partly before the shuffle. Values below a null cannot be
-    reached and become null. The combinations are computed here and kept in the
-    Spark cache (memory, then disk; lost blocks are computed again), and their
-    nodes are counted, so that a lookup is broadcast only if it is small.
-
-    Up to ``one_task_rows`` combinations are sorted by one task, and the cache
-    recognises them when the same table is indexed again. More are sorted in
-    slices, anew at each call: build such an index once, and store it.
+    reached and become null. The combinations are computed here and kept as files in
+    the shared folder, where a lost executor does not matter and no other call finds
+    them, and their nodes are measured, so that a lookup is broadcast only if it is
+    small. Every call reads the table as it is then: to share an index pass it on,
+    and ``unpersist`` it in the end.
+
+    Up to ``one_task_rows`` combinations are sorted by one task, more are sorted in
+    slices; the result is the same.
     Choices are ranked by a window, or in slices where one combination has more
     than ``group_limit`` of them.
     """
@@ -182,14 +181,16 @@ def build_index(
         reachable.append(f"CASE WHEN {above} THEN {name} END AS {name}")
     counted = df.selectExpr(*reachable).groupBy(*names).agg(F.count("*").alias("n_rows"))
 
-    combinations = _compared_in_one(counted, names)
-    if not combinations.storageLevel.useMemory:
-        counted.persist()
-        if counted.count() > one_task_rows:
-            combinations = _compared_in_slices(counted, names)
-    index = LevelIndex(levels, combinations.persist(), group_limit=group_limit)
-    index.measures  # noqa: B018 - computes and caches the combinations
-    counted.unpersist()
+    counted, folder = stored(counted)
+    n_rows = counted.count()
+    compared, folders = (
+        (_compared_in_one(counted, names), []) if n_rows <= one_task_rows else _compared_in_slices(counted, names, n_rows)
+    )
+    combinations, kept = stored(compared)
+    for used in [folder, *folders]:
+        remove_folder(df.sparkSession, used)
+    index = LevelIndex(levels, combinations, group_limit=group_limit, folders=[kept])
+    index.measures  # noqa: B018 - measured once, here
     return index
 
 
@@ -200,28 +201,26 @@ def _compared_in_one(counted: DataFrame, names: Sequence[str]) -> DataFrame:
     return compared.selectExpr(*names, "n_rows", f"CASE WHEN before IS NULL THEN 1 ELSE {_fresh(names)} END AS fresh")
 
 
-def _compared_in_slices(counted: DataFrame, names: Sequence[str]) -> DataFrame:
+def _compared_in_slices(counted: DataFrame, names: Sequence[str], n_rows: int) -> tuple[DataFrame, list[str]]:
     """The same for many combinations, sorted in slices.
 
     The slices come from range partitioning on all levels, so a frequent value
     is cut into several of them. Each combination is compared with the one before
     it in its slice; the first of a slice, with the last before it. Where the
-    slices begin depends on a sample, so they are checkpointed before they are
+    slices begin depends on a sample, so they are stored before they are
     used more than once.
     """
     spark = counted.sparkSession
-    shared_dir(spark)
     order = _order(names)
-    n_slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // SLICE_ROWS))
     in_order = Window.partitionBy("slice").orderBy(*order)
     columns = [*names, "n_rows"]
-    sliced = (
+    sliced, folder = stored(
         counted.repartitionByRange(n_slices, *order)
         .withColumn("slice", F.spark_partition_id())
         .withColumn("before", F.lag(F.struct(*names)).over(in_order))
         .withColumn("last", F.lead("slice").over(in_order).isNull())
         .selectExpr(*columns, "slice", "last", f"CASE WHEN before IS NOT NULL THEN {_fresh(names)} END AS fresh")
-        .checkpoint()
     )
     # one row per slice that is not empty
     lasts = sliced.filter("last").select(
@@ -229,7 +228,7 @@ def _compared_in_slices(counted: DataFrame, names: Sequence[str]) -> DataFrame:
     )
     firsts = sliced.filter("fresh IS NULL").drop("fresh").join(lasts, "slice", "left")
     firsts = firsts.selectExpr(*columns, f"CASE WHEN before IS NULL THEN 1 ELSE {_fresh(names)} END AS fresh")
-    return sliced.filter("fresh IS NOT NULL").select(*columns, "fresh").union(firsts)
+    return sliced.filter("fresh IS NOT NULL").select(*columns, "fresh").union(firsts), [folder]
 
 
 def _order(names: Sequence[str]) -> list[Column]:
@@ -258,11 +257,14 @@ def write_index(index: LevelIndex, path: str) -> None:
     """Store an index, so that later jobs and streams only read it.
 
     Combinations are laid out by the level at which they are fresh: the lookup
-    of a level reads only the folders of that level and those above it. Counts
-    and choices are laid out by level.
+    of a level reads only the folders of that level and those above it, and
+    files are in order, so the lookup of a few values reads few row groups. Counts
+    and choices are laid out by level. The schema is stored along, so an empty index
+    opens too.
     """
-    write_table(index.combinations, f"{path}/combinations", ["fresh"])
-    write_table(index.measure(), f"{path}/measures")
+    write_table(index.combinations, f"{path}/combinations", ["fresh"], sort_by=index.levels)
+    schema = index.combinations.select(*map(quoted, [*index.levels, *OWN_COLUMNS])).schema.json()
+    write_table(index.measure().withColumn("schema", F.lit(schema)), f"{path}/measures")
     if index.depth == 1:
         return
     for kind in ("counts", "choices"):
@@ -273,14 +275,14 @@ def write_index(index: LevelIndex, path: str) -> None:
 
 def read_index(spark: SparkSession, path: str) -> LevelIndex:
     """Open a stored index."""
-    combinations = spark.read.parquet(f"{path}/combinations")
+    *measures, schema = spark.read.parquet(f"{path}/measures").first()
+    combinations = spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{path}/combinations")
     levels = [c for c in combinations.columns if c not in OWN_COLUMNS]
-    measures = spark.read.parquet(f"{path}/measures").first()
     return LevelIndex(levels, combinations, measures=measures, path=path)
 
 
 def as_index(source: DataFrame | LevelIndex, levels: Sequence[str] | None = None) -> LevelIndex:
-    """Take a ready index as it is; build one (or share the cached one) for a table."""
+    """Take a ready index as it is; build one for a table."""
     if isinstance(source, LevelIndex):
         if levels is not None and tuple(levels) != source.levels:
             raise ValueError(f"the index has levels {source.levels}, not {tuple(levels)}")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stepwell.session import shared_dir
+from stepwell.functions.names import column, quoted
+from stepwell.session import stored
 
-BUCKETS = 256
+SLICE_ROWS = 1_000_000
 GROUP_LIMIT = 1_000_000
 
 
@@ -24,24 +25,14 @@ def dense_positions(
 ) -> DataFrame:
     """Number the values of each group 0, 1, 2, ...; values must not be null and not repeat.
 
-    Groups known to be no larger than ``group_limit`` are numbered in the order
-    of their values by one window. Otherwise the order is arbitrary: values are
-    spread over hash buckets, numbered inside their bucket, and shifted by the
-    sizes of the buckets before it. Then no task sees more than one bucket of a
-    group, and the shift is summed over at most ``BUCKETS`` rows.
+    The numbers follow the order of the values whatever the size: groups known to be
+    no larger than ``group_limit`` are numbered by one window, others in slices by value.
     """
-    group = list(group)
-    if largest_group is not None and largest_group <= group_limit:
-        place = F.row_number().over(Window.partitionBy(*group).orderBy(value))
-        return df.select(*group, value, (place.cast("bigint") - 1).alias(name))
-    cells = [*group, "__bucket"]
-    bucketed = df.select(*group, value).withColumn("__bucket", F.pmod(F.xxhash64(value), F.lit(BUCKETS)))
-    in_bucket = Window.partitionBy(*cells).orderBy(value)
-    numbered = bucketed.withColumn("__place", F.row_number().over(in_bucket))
-    sizes = bucketed.groupBy(*cells).agg(F.count("*").alias("__size"))
-    return _shift(numbered, sizes, group, "__bucket").select(
-        *group, value, (F.col("__shift") + F.col("__place") - 1).alias(name)
-    )
+    if largest_group is None:
+        largest_group = group_limit + 1
+    values = df.select(*map(quoted, [*group, value]))
+    ranked = _ranked(values, list(group), value, name, largest_group, group_limit)
+    return ranked.withColumn(name, column(name) - 1)
 
 
 def positions_in_group(
@@ -58,30 +49,31 @@ def positions_in_group(
     group is too large for that, the table is range-partitioned on group and
     value instead, so a large group is cut into slices by value: rows are ranked
     in their slice and shifted by the sizes of the slices before it. The slice
-    numbers come from a sampled partitioning, so they are checkpointed before
-    they are used twice.
+    numbers come from a sampled partitioning, so they are stored before they are used
+    twice. A group has 2**31 - 1 rows at most.
     """
-    group = list(group)
+    ranked = _ranked(df, list(group), value, name, largest_group, group_limit)
+    return ranked.withColumn(name, column(name).cast("int"))
+
+
+def _ranked(df: DataFrame, group: list[str], value: str, name: str, largest_group: int, group_limit: int) -> DataFrame:
+    """``df`` with the rank of each row in its group as a bigint."""
+    keys, values = [quoted(c) for c in group], quoted(value)
     if largest_group <= group_limit:
-        ranked = F.row_number().over(Window.partitionBy(*group).orderBy(value))
-        return df.withColumn(name, ranked)
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(values)).cast("bigint"))
     spark = df.sparkSession
-    shared_dir(spark)
-    n_slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = (
-        df.repartitionByRange(n_slices, *group, value)
-        .withColumn("__slice", F.spark_partition_id())
-        .checkpoint()
-    )
-    in_slice = Window.partitionBy(*group, "__slice").orderBy(value)
+    n_slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-largest_group // SLICE_ROWS))
+    sliced, _ = stored(df.repartitionByRange(n_slices, *keys, values).withColumn("__slice", F.spark_partition_id()))
+    in_slice = Window.partitionBy(*keys, "__slice").orderBy(values)
     numbered = sliced.withColumn("__place", F.row_number().over(in_slice))
-    sizes = sliced.groupBy(*group, "__slice").agg(F.count("*").alias("__size"))
+    sizes = sliced.groupBy(*keys, "__slice").agg(F.count("*").alias("__size"))
     shifted = _shift(numbered, sizes, group, "__slice")
-    return shifted.select(*df.columns, (F.col("__shift") + F.col("__place")).cast("int").alias(name))
+    return shifted.select(*map(quoted, df.columns), (F.col("__shift") + F.col("__place")).alias(name))
 
 
 def _shift(numbered: DataFrame, sizes: DataFrame, group: list[str], part: str) -> DataFrame:
     """Add to each row the number of rows in the earlier parts of its group."""
-    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*group, part, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
+    keys = [quoted(c) for c in group]
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*keys, part, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
     return numbered.join(shifts, [*group, part])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app_name: str = "stepwell", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -27,8 +31,8 @@ def local_session(app_name: str = "stepwell", cpus: int | str = "*", **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
-    machine-local folder would be lost with its machine, so that is an error.
+    Only a session in one process may fall back to a temporary folder, which is removed when it ends:
+    with executors of their own a machine-local folder would be lost to the others, so that is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,8 +42,25 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="stepwell-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return folder
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write a table to a folder of its own in the shared folder; the table as read back, and the folder.
+
+    Nothing is shared by accident: a later call on the same plan reads its sources again.
+    """
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/stepwell-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``stored`` has made."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.functions import label
+from stepwell.functions.names import column, quoted
 from stepwell.plans.positions import dense_positions
+from stepwell.session import stored
 
 MAX_LITERAL_VALUES = 10_000
 MAX_ROWS = 2**63 - 1
@@ -47,10 +49,10 @@ def combination_grid(
     Each row is therefore computed from its own number: the work splits evenly
     over ``partitions`` and no product of tables is planned. A domain given as
     a one-column DataFrame stands for its distinct non-null values: they are
-    cached, numbered, and joined on their digit. ``position`` names a column that
+    stored, numbered in their order, and joined on their digit, and so is a long list. ``position`` names a column that
     keeps the row number.
     """
-    parts = [_domain(name, values) for name, values in domains.items()]
+    parts = [_domain(spark, name, values) for name, values in domains.items()]
     total = reduce(lambda a, b: a * b, (size for size, _, _ in parts), 1)
     if total > MAX_ROWS:
         raise ValueError(f"grid of {total} rows does not fit a 64-bit row number")
@@ -59,28 +61,29 @@ def combination_grid(
     rows = rows.withColumnRenamed("id", number)
     stride = 1
     for name, (size, value_at, table) in zip(domains, parts):
-        digit = F.expr(f"(`{number}` div {stride}L) % {max(size, 1)}L")
+        digit = F.expr(f"({quoted(number)} div {stride}L) % {max(size, 1)}L")
         if table is None:
             rows = rows.withColumn(name, value_at(digit))
         else:
             rows = rows.withColumn("__digit", digit).join(table, "__digit").drop("__digit")
         stride *= max(size, 1)
-    return rows.select(*([position] if position else []), *domains)
+    return rows.select(*map(quoted, [*([position] if position else []), *domains]))
 
 
-def _domain(name: str, values):
+def _domain(spark: SparkSession, name: str, values):
     """(size, digit -> Column or None, numbered table or None) of one domain."""
     if isinstance(values, LabelRule):
         return values.size, lambda digit: label(values.prefix, digit + 1), None
     if isinstance(values, DataFrame):
-        known = values.toDF(name).dropna().distinct().persist()
+        known, _ = stored(values.toDF(name).filter(column(name).isNotNull()).distinct())
         size = known.count()
         return size, None, dense_positions(known, [], name, "__digit", size)
     values = list(values)
-    if len(values) > MAX_LITERAL_VALUES:
-        raise ValueError(f"{len(values)} literal values for {name!r}: pass a DataFrame or a label rule")
     if len(set(values)) < len(values):
         raise ValueError(f"repeated value in the domain of {name!r}")
+    if len(values) > MAX_LITERAL_VALUES:
+        numbered = spark.createDataFrame(list(enumerate(values)), ["__digit", name])
+        return len(values), None, numbered
     literals = F.array(*[F.lit(v) for v in values])
     return len(values), lambda digit: F.get(literals, digit.cast("int")), None
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepwell.functions.names import column
+
 
 def scan(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """Lazy table: a storage path, or a catalog name when it has no slash."""
@@ -20,24 +22,32 @@ def write_table(
     path: str,
     partition_by: Sequence[str] = (),
     format: str = "parquet",
+    sort_by: Sequence[str] = (),
 ) -> None:
     """Write a whole table, replacing what the path holds.
 
     ``partition_by`` lays the files out by column value, so an equality filter
     on that column reads only its folder. Rows of a value are then brought
     together first, or every task would write a small file per value; a value
-    that holds much of the table is split over several tasks again.
+    that holds much of the table is split over several tasks again. ``sort_by``
+    puts the rows of each file in order, so that readers can skip row groups.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
+    if sort_by:
+        df = df.sortWithinPartitions(*[column(c).asc_nulls_last() for c in [*partition_by, *sort_by]])
     df.write.mode("overwrite").format(format).partitionBy(*partition_by).save(path)
 
 
 def storage_size(spark: SparkSession, path: str) -> DataFrame:
     """Number of files under a path and their total bytes, as one row.
 
-    Only path and length are selected, so no file content is read.
+    Only path and length are selected, so no file content is read. A name without a
+    slash is a catalog table, as in ``scan``.
     """
+    if "/" not in path:
+        described = spark.sql(f"DESCRIBE TABLE EXTENDED {path}")
+        path = described.filter("col_name = 'Location'").first()["data_type"]
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_entry_has_rows(spark):
-    assert contract.entry(spark).count() == 198
+    assert contract.entry(spark).count() == 200
 
 
 def test_every_query_has_sql():

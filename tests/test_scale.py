@@ -24,6 +24,8 @@ def part_requests(spark):
 
 def test_library_has_no_udf_and_no_local_checkpoint():
     for source in PACKAGE.rglob("*.py"):
+        if "llm" in source.parts:  # an optional part with rules of its own
+            continue
         text = source.read_text()
         assert not re.search(r"\b(udf|pandas_udf|applyInPandas|mapInPandas|toPandas|localCheckpoint|crossJoin|rdd)\b", text)
 
@@ -33,18 +35,17 @@ def test_index_reads_the_table_once_and_only_its_levels(spark):
     index = sw.build_index(parts, LEVELS)
     plan = plan_of(sw.resolve_selection(sw.default_selection(spark, {"p_brand": "x", "p_type": "y", "p_size": 1}), index))
     scans = set(re.findall(r"ReadSchema: (\S+)", plan))
-    assert scans == {"struct<p_brand:string,p_type:string,p_size:int>"}
-    # every lookup reads the cache; the scan is shown below it only as its origin
-    assert plan.count("InMemoryTableScan") >= len(LEVELS)
+    # lookups read the index's own files, never the table
+    assert scans and all("fresh" in s and "p_partkey" not in s for s in scans)
     index.unpersist()
 
 
 def test_lookups_of_a_ready_index_do_not_shuffle_requests(spark):
     index = sw.build_index(sw.scan(spark, PART), LEVELS)
     assert index.is_small(3)
-    above_cache = re.split(r"InMemoryRelation", plan_of(sw.resolve_selection(part_requests(spark), index)))[0]
-    assert "BroadcastHashJoin" in above_cache
-    assert "Exchange hashpartitioning" not in above_cache
+    plan = plan_of(sw.resolve_selection(part_requests(spark), index))
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
 
 
 def test_large_nodes_are_not_broadcast(spark, monkeypatch):
@@ -92,7 +93,8 @@ def test_sliced_index_of_many_combinations(spark):
     exact = lines.select(*[F.count_distinct(*SUPPLY[:k]) for k in range(1, 6)]).first()
     whole = sw.build_index(lines, SUPPLY, one_task_rows=10**6)
     sliced = sw.build_index(lines.repartition(7), SUPPLY, one_task_rows=0)
-    assert whole.measures[:-1] == sliced.measures[:-1] == tuple(exact)
+    assert whole.measures == sliced.measures
+    assert whole.measures[:5] == tuple(exact)
     assert whole.combinations.exceptAll(sliced.combinations).count() == 0
     assert sliced.combinations.exceptAll(whole.combinations).count() == 0
     for index in (whole, sliced):
@@ -108,12 +110,115 @@ def test_ranks_of_a_large_group_in_slices(spark):
     assert sliced.choices(2).exceptAll(whole.choices(2)).count() == 0
 
 
-def test_calls_on_one_table_share_the_cache(spark):
-    first = sw.build_index(sw.scan(spark, PART), LEVELS)
-    second = sw.build_index(sw.scan(spark, PART), LEVELS)
-    assert second.combinations.storageLevel.useMemory
+@pytest.mark.parametrize("one_task_rows", [10**6, 0])
+def test_an_index_follows_the_files(spark, tmp_path, one_task_rows):
+    path = str(tmp_path / "t")
+    ask = spark.createDataFrame([(1, "A2", "B9")], "request_id bigint, a string, b string")
+
+    def build():
+        return sw.build_index(spark.read.parquet(path), ["a", "b"], one_task_rows=one_task_rows)
+
+    spark.createDataFrame([("A1", "B1"), ("A1", "B2")], "a string, b string").write.parquet(path)
+    first = build()
+    assert sw.resolve_selection(ask, first).first()["b"] is None
+    spark.createDataFrame([("A2", "B8"), ("A2", "B9")], "a string, b string").write.mode("append").parquet(path)
+    second = build()
+    assert second.combinations.count() == 4
+    assert sw.resolve_selection(ask, second).first()["b"] == "B9"
     first.unpersist()
-    assert not second.combinations.storageLevel.useMemory
+    assert second.combinations.count() == 4
+    second.unpersist()
+
+
+def test_reports_and_grids_follow_the_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("x1", "y1"), ("x2", "y2")], "a string, b string").write.parquet(path)
+
+    def answers():
+        df = spark.read.parquet(path)
+        grid = sw.combination_grid(spark, {"a": df.select("a"), "b": df.select("b")})
+        return sw.absent_pairs(df, ["a", "b"]).count(), grid.count()
+
+    assert answers() == (2, 4)
+    spark.createDataFrame([("x1", "y2"), ("x2", "y1"), ("x3", "y1")], "a string, b string").write.mode("append").parquet(path)
+    assert answers() == (1, 6)
+
+
+def test_numbers_follow_the_values_at_any_size(spark):
+    from stepwell.plans.positions import dense_positions
+
+    values = spark.createDataFrame([(c,) for c in "hgfedcba"], "v string")
+    for limit in (100, 3):
+        rows = dense_positions(values, [], "v", largest_group=8, group_limit=limit).orderBy("position").collect()
+        assert [(r["v"], r["position"]) for r in rows] == [(c, i) for i, c in enumerate("abcdefgh")]
+
+
+def test_long_literal_domains(spark):
+    grid = sw.combination_grid(spark, {"a": list(range(10_500)), "b": ["x", "y"]}, position="place")
+    assert grid.count() == 21_000
+    assert grid.filter("place <> a + IF(b = 'y', 10500, 0)").count() == 0
+
+
+def test_empty_and_null_indexes_are_stored(spark, tmp_path):
+    ask = spark.createDataFrame([(1, "A", "B")], "request_id bigint, a string, b string")
+    cases = {"empty": [], "null": [("A", None)], "one": [("A", "C")]}
+    for name, rows in cases.items():
+        path = str(tmp_path / name)
+        index = sw.build_index(spark.createDataFrame(rows, "a string, b string"), ["a", "b"])
+        sw.write_index(index, path)
+        stored = sw.read_index(spark, path)
+        for operator in (sw.resolve_selection, sw.cascade_trace, sw.check_selection, sw.choices_for):
+            assert operator(ask, stored).collect() == operator(ask, index).collect()
+        index.unpersist()
+
+
+def test_few_requests_read_few_rows_of_a_large_index(spark, tmp_path, monkeypatch):
+    """A request for one supplier filters the stored nodes by it, and only what is left is shuffled."""
+    built = sw.build_index(sw.scan(spark, LINES), SUPPLY)
+    sw.write_index(built, str(tmp_path / "index"))
+    ask = sw.scan(spark, LINES).selectExpr("l_orderkey AS request_id", *SUPPLY).filter("l_suppkey = 3").limit(5)
+    ask = spark.createDataFrame(ask.collect(), ask.schema)
+    want = sw.resolve_selection(ask, built, changed_level=2).collect()
+    monkeypatch.setattr("stepwell.plans.index.BROADCAST_BYTES", 0)
+    index = sw.read_index(spark, str(tmp_path / "index"))
+    settled = sw.resolve_selection(ask, index, changed_level=2)
+    assert sorted(settled.collect()) == sorted(want)
+    filters = re.findall(r"PushedFilters: \[([^\]]*)\]", plan_of(settled))
+    assert filters and all("EqualTo(l_suppkey,3)" in f or "In(l_suppkey, [3])" in f for f in filters)
+    built.unpersist()
+
+
+def test_collated_levels(spark):
+    df = spark.sql("SELECT 'A1' COLLATE UTF8_LCASE AS a, 'B2' COLLATE UTF8_LCASE AS b")
+    ask = spark.sql("SELECT 1L AS request_id, 'a1' COLLATE UTF8_LCASE AS a, 'b2' COLLATE UTF8_LCASE AS b")
+    assert sw.check_selection(ask, df, ["a", "b"]).first()["first_invalid_level"] is None
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([("A1", "B1"), ("A1", "B2"), ("A2", "B1")], "`x.a` string, `y.b` string")
+    ask = spark.createDataFrame([(1, "A2", "B2")], "`my.id` bigint, `x.a` string, `y.b` string")
+    levels = ["x.a", "y.b"]
+    assert sw.where_equals(df, "x.a", "A1").count() == 2
+    assert sw.exclude_pairs(df, [("x.a", "A1", "y.b", "B1")]).count() == 2
+    assert [r[0] for r in sw.choices(df, levels, ["A1"]).collect()] == ["B1", "B2"]
+    assert sw.root_choices(df, "x.a").count() == 2
+    assert sw.absent_pairs(df, levels).count() == 1
+    assert sw.check_rules(df, [("x.a", "A1", "y.b", "B1")]).first()["n_rows"] == 1
+    assert sw.is_member(ask, df.select("`x.a`"), "x.a").first()["ok"]
+    assert sw.choices_for(ask, df, levels, request_id="my.id").count() == 1
+    assert sw.check_selection(ask, df, levels, request_id="my.id").first()["first_invalid_level"] == 2
+    trace = sw.cascade_trace(ask, df, levels, request_id="my.id")
+    assert sw.trace_text(trace, request_id="my.id").count() == 1
+    assert sw.combination_grid(spark, {"x.a": df.select("`x.a`"), "y.b": ["B1", "B2"]}).count() == 4
+
+
+def test_size_of_a_catalog_table(spark):
+    spark.range(5).write.mode("overwrite").saveAsTable("size_t")
+    try:
+        assert sw.storage_size(spark, "size_t").first()["bytes"] > 0
+        assert sw.summary(spark, "size_t").first()["n_rows"] == 5
+    finally:
+        spark.sql("DROP TABLE size_t")
 
 
 def test_hot_requests_are_split(spark):
@@ -134,7 +239,7 @@ def test_hot_requests_are_split(spark):
         spark.conf.set(key, value)
     try:
         index = sw.build_index(rows, levels)
-        index.measures = (10**9, 10**9, 100)
+        index.measures = (10**9, 10**9, 10**11, 10**11)
         settled = sw.resolve_selection(requests, index)
         counted = settled.groupBy("a", "b").count()
         kept = {(r["a"], r["b"]): r["count"] for r in counted.collect()}
