@@ -20,7 +20,7 @@ from registry import queries as registered  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-COPIES = int(os.environ.get("BENCH_COPIES", "10000"))
+COPIES = int(os.environ.get("BENCH_COPIES", "100000"))
 RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 
 HEADLINE = [
