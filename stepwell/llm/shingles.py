@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 SHINGLE = 5
+#: Bytes whose words are hashed at once, which bounds the memory beside the text.
+PIECE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -23,7 +27,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2**64."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, PIECE + 1)
         inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
         for i, base in enumerate((_ODD, inverse)):
             steps = np.full(size, base, np.uint64)
@@ -32,14 +36,35 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _pieces(body: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of about ``PIECE`` bytes that end at a blank; a longer word stays whole."""
+    at = 0
+    while at < len(body):
+        end = min(len(body), at + PIECE)
+        if end < len(body):
+            blanks = np.flatnonzero(_BLANK[body[at:end]])
+            if len(blanks):
+                end = at + int(blanks[-1]) + 1
+            else:
+                while end < len(body) and not _BLANK[body[end]]:
+                    end += 1
+        yield at, end
+        at = end
+
+
 def _word_hashes(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word."""
-    blank = np.r_[True, _BLANK[body], True]
-    edges = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _power_tables(len(body) + 1)
-    sums = np.r_[np.uint64(0), np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)])]
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at, stop in _pieces(body):
+        piece = body[at:stop]
+        blank = np.r_[True, _BLANK[piece], True]
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        up, down = _power_tables(len(piece) + 1)
+        sums = np.r_[np.uint64(0), np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)])]
+        hashes.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        places.append(starts + at)
+    return np.concatenate(hashes), np.concatenate(places)
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
