@@ -10,7 +10,8 @@ documents consist of such passages.
 
 In each region the node of least hash is the pivot, and nodes are first compared with the pivots they share most
 regions with. Nodes within 0.25 of one pivot are connected through it, so a large group of near
-copies costs one comparison each. What is left joins recursively: in a region whose nodes are not yet
+copies costs one comparison each. Large regions are joined as a whole, in blocks: first with some pivots, then with all
+nodes that these leave outside the largest component. What is left joins recursively: in a region whose nodes are not yet
 connected, those outside its largest component are the next pivots, and every node of
 another component is compared with them, unless the triangle inequality rules it out: the distances of two linked nodes to any
 third one differ by 0.25 at most. A pivot that has met all of its region leaves it. When no region
@@ -39,24 +40,33 @@ FREQUENT, MOST_FREQUENT = 16, 400_000
 LOCAL = 32
 #: Pivots that a node is compared with at first; pivots per region and round after that.
 FIRST_PIVOTS, ROUND_PIVOTS = 2, 32
-CHUNK_BYTES = 8 << 20
+#: Regions of more nodes are joined in blocks: so many nodes, and pivots, per task; pivots of the first of two passes.
+SMALL_REGION, BLOCK, BLOCK_PIVOTS, SCOUTS = 64, 512, 1024, 256
+CHUNK_BYTES = 1 << 20
 
-_TOKENS = pa.schema([("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("kind", pa.int8())])
-_TOKENS_DDL = "h bigint, node bigint, n bigint, kind tinyint"
+_MESSAGE = pa.schema([("owner", pa.int32()), ("kind", pa.int8()), ("size", pa.int64()), ("h", pa.binary()), ("node", pa.binary())])
+_MESSAGE_DDL = "owner int, kind tinyint, size bigint, h binary, node binary"
+_FOUND = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
+_FOUND_DDL = "kind tinyint, key bigint, n bigint"
+#: Kinds of messages and findings: elements with their nodes; frequent elements with counts; nodes with counts.
+PLACES, ELEMENTS, NODES = 0, 1, 2
 
 
-def _unsqueeze(body: bytes, size: int) -> str:
-    return pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True).decode() if size else ""
+def _zip(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tuple[list, list[str]]]:
-    """Rows (as tuples, without their text) and texts, in chunks of bounded size."""
+def _unzip(body: bytes, size: int) -> bytes:
+    return pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], text_of) -> Iterator[tuple[list, list[str]]]:
+    """First columns of the rows (as tuples) and texts, in chunks of bounded size; the text is last, or made by ``text_of``."""
     rows, texts, size = [], [], 0
     for batch in batches:
-        columns = [c for i, c in enumerate(batch.columns) if i != text_column]
-        keys = zip(*[c.to_pylist() for c in columns])
-        for key, body in zip(keys, batch.column(text_column)):
-            text = body.as_py() or ""
+        keys = zip(*[c.to_pylist() for c in batch.columns[:-1]]) if batch.num_columns > 1 else [()] * batch.num_rows
+        for key, body in zip(keys, batch.columns[-1]):
+            text = text_of(key, body.as_py())
             if texts and size + len(text) > CHUNK_BYTES:
                 yield rows, texts
                 rows, texts, size = [], [], 0
@@ -67,118 +77,166 @@ def _chunks(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tup
         yield rows, texts
 
 
+def _plain(key: tuple, body: str | None) -> str:
+    return body or ""
+
+
+def _zipped(key: tuple, body: bytes) -> str:
+    return _unzip(body, key[-1]).decode()
+
+
 def _rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
 
 
-def sets_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, node (hash of its set), n (size of it), the compressed text, its size and a hash of it."""
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("body", pa.binary()), ("size", pa.int64()),
-         ("mark", pa.int64())]
-    )
+def sets_of(docs: DataFrame) -> DataFrame:
+    """Per row of (doc_id, mark, text): doc_id, mark, node (hash of its set), n (size of it)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _chunks(batches, 1):
-            out = []
-            for (key, mark), body, hashes in zip(keys, texts, shingle_sets(texts)):
-                raw = body.encode("utf-8", "replace")
-                out.append((key, fingerprint(hashes), len(hashes), pa.compress(raw, codec="zstd", asbytes=True), len(raw), mark))
-            yield _rows_of(schema, out)
+        for keys, texts in _chunks(batches, _plain):
+            yield _rows_of(schema, [(*k, fingerprint(h), len(h)) for k, h in zip(keys, shingle_sets(texts))])
 
-    body = column(text).cast("string")
-    cols = docs.select(column(doc_id).cast("bigint").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("mark"))
-    return cols.mapInArrow(work, "doc_id bigint, node bigint, n bigint, body binary, size bigint, mark bigint")
+    return docs.mapInArrow(work, "doc_id bigint, mark bigint, node bigint, n bigint")
 
 
-def _first_elements(rows: DataFrame, frequent: np.ndarray, counted: bool) -> DataFrame:
-    """First elements of each node's set, frequent ones last: (h, node, n, kind).
+def _first(hashes: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` elements in the order of their hashes, frequent ones last."""
+    if len(frequent):
+        place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        often = frequent[place] == hashes
+        hashes = np.r_[hashes[~often], hashes[often]]
+    return hashes[:n]
 
-    With ``counted`` an element that one task meets often is sent as its count (kind 1, ``n`` the count), and the nodes that
-    hold it as themselves (kind 2).
+
+def _sent(docs: DataFrame, text_of, frequent: np.ndarray, owners: int) -> DataFrame:
+    """Messages with the first elements of every set, by the owner of their hash.
+
+    An element that a chunk meets often goes as its count, and the nodes that hold such ones as their number.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def texts(batches):
-            for b in batches:
-                bodies = [_unsqueeze(x.as_py(), s) for x, s in zip(b.column(1), b.column(2).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bodies, pa.string())], names=["node", "text"])
-
-        for keys, bodies in _chunks(texts(batches), 1):
-            firsts, nodes, sizes = [], [], []
-            for (node,), hashes in zip(keys, shingle_sets(bodies)):
-                n = prefix_length(len(hashes))
-                if len(frequent):
-                    place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                    often = frequent[place] == hashes
-                    hashes = np.r_[hashes[~often], hashes[often]]
-                firsts.append(hashes[:n])
-                nodes.append(np.full(n, node))
-                sizes.append(np.full(n, len(hashes)))
-            h = np.concatenate(firsts).view(np.int64)
-            node, size = np.concatenate(nodes).astype(np.int64), np.concatenate(sizes).astype(np.int64)
-            kind = np.zeros(len(h), np.int8)
-            if counted and len(h):
-                values, back, count = np.unique(h, return_inverse=True, return_counts=True)
-                often = count[back] >= LOCAL
-                holders = np.unique(node[often])
-                many = count >= LOCAL
-                h = np.r_[h[~often], values[many], holders]
-                size = np.r_[size[~often], count[many], np.ones(len(holders), np.int64)]
-                kind = np.r_[np.zeros((~often).sum(), np.int8), np.ones(many.sum(), np.int8), np.full(len(holders), 2, np.int8)]
-                node = np.r_[node[~often], values[many], holders]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node), pa.array(size), pa.array(kind)], schema=_TOKENS)
-
-    return rows.filter("n > 0").select("node", "body", "size").mapInArrow(work, _TOKENS_DDL)
+        for _, texts in _chunks(batches, text_of):
+            firsts, nodes = [], []
+            for node, hashes in {fingerprint(h): h for h in shingle_sets(texts) if len(h)}.items():
+                own = _first(hashes, frequent, prefix_length(len(hashes)) + spare(len(hashes)))
+                firsts.append(own)
+                nodes.append(np.full(len(own), node, np.int64))
+            if not firsts:
+                continue
+            h, node = np.concatenate(firsts), np.concatenate(nodes)
+            values, back, count = np.unique(h, return_inverse=True, return_counts=True)
+            many = count >= LOCAL
+            often = many[back]
+            holders, held = np.unique(node[often], return_counts=True)
+            kinds = [(PLACES, h[~often], node[~often]), (ELEMENTS, values[many], count[many]), (NODES, holders.view(np.uint64), held)]
+            out = []
+            for kind, keys, other in kinds:
+                owner = (keys % np.uint64(owners)).astype(np.int32)
+                order = np.argsort(owner, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+                    if len(part):
+                        body = _zip(keys[part].tobytes()), _zip(other[part].astype(np.int64).tobytes())
+                        out.append((int(owner[part[0]]), kind, len(part), *body))
+            yield _rows_of(_MESSAGE, out)
+
+    return docs.mapInArrow(work, _MESSAGE_DDL)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the elements of one task: nodes that share one (kind 2), and frequent elements with their count (kind 1)."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    t = pa.Table.from_batches(parts)
-    h, node, n, kind = (t[c].to_numpy() for c in ("h", "node", "n", "kind"))
-    holders = [node[kind == 2]]
-    use = kind < 2
-    h, node, n, kind = h[use], node[use], n[use], kind[use]
+    """Nodes with the number of their elements that others share, and frequent elements with their count."""
+    got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {PLACES: [], ELEMENTS: [], NODES: []}
+    for batch in batches:
+        for _, kind, n, h, other in zip(*[c.to_pylist() for c in batch.columns]):
+            got[kind].append((np.frombuffer(_unzip(h, 8 * n), np.uint64), np.frombuffer(_unzip(other, 8 * n), np.int64)))
+
+    def both(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        parts = got.pop(kind)
+        if not parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+    h, node = both(PLACES)
+    element, times = both(ELEMENTS)
     order = np.lexsort((node, h))
-    h, node, n, kind = h[order], node[order], n[order], kind[order]
-    if len(h):
-        first = np.r_[True, h[1:] != h[:-1]]
-        fresh = first | np.r_[True, node[1:] != node[:-1]]
-        group = np.cumsum(first) - 1
-        weight = np.where(kind == 1, n, fresh)
-        count = np.bincount(group, weights=weight).astype(np.int64)
-        together = (count >= 2)[group]
-        holders.append(node[together & (kind == 0)])
-        many = count >= FREQUENT
-        starts = np.flatnonzero(first)[many]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h[starts]), pa.array(h[starts]), pa.array(count[many]), pa.array(np.ones(len(starts), np.int8))], schema=_TOKENS
-        )
-    held = np.unique(np.concatenate(holders))
-    one = np.ones(len(held), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(held), pa.array(one), pa.array(np.full(len(held), 2, np.int8))], schema=_TOKENS)
+    h, node = h[order], node[order]
+    fresh = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])][: len(h)]
+    h, node = h[fresh], node[fresh]
+    values, back, count = np.unique(np.r_[h, element], return_inverse=True, return_counts=True)
+    total = np.bincount(back, weights=np.r_[np.ones(len(h)), times], minlength=len(values)).astype(np.int64)
+    shared = (total >= 2)[back[: len(h)]]
+    holders, held = np.unique(node[shared], return_counts=True)
+    more, also = both(NODES)
+    many = total >= FREQUENT
+    kind = np.r_[np.full(many.sum(), ELEMENTS), np.full(len(holders) + len(more), NODES)].astype(np.int8)
+    key = np.r_[values[many].view(np.int64), holders, more.view(np.int64)]
+    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.r_[total[many], held, also])], schema=_FOUND)
+
+
+def spare(n: int) -> int:
+    """Elements that a set takes beyond its ``prefix_length``: linked sets then share ``n // 16`` of their first ones.
+
+    Each shares with the other one more than its own spare ones, or than those of the smaller set; of two sizes
+    that can link, these differ by less than what the larger overlap adds, but for rounding by one.
+    """
+    return n // 16
 
 
-def regions(rows: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
-    """Members of regions with two nodes or more (h, node, n), and the texts of their nodes."""
+def regions(docs: DataFrame, rows: DataFrame, store: Stored) -> tuple[DataFrame, DataFrame]:
+    """Members of the regions (h, node), and the texts of the nodes in them (node, size, body)."""
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frequent = np.zeros(0, np.uint64)
+    # one row stands for all rows of its set
+    order = F.struct("doc_id", "mark")
+    nodes = store.keep(rows.filter("n > 0").groupBy("node", "n").agg(F.min(order).alias("x")).select("node", "n", "x.*"))
+    texts = None
     for _ in range(2):
-        found = _first_elements(rows, frequent, counted=True).repartition(parts, "h").mapInArrow(_shared, _TOKENS_DDL)
-        found = store.keep(found)
-        top = found.filter("kind = 1").orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").toPandas()
-        frequent = np.union1d(frequent, top["h"].to_numpy(np.int64).view(np.uint64))
-        nodes = found.filter("kind = 2").select("node").distinct()
-        kept = store.keep(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+        source, text_of = (docs.select("text"), _plain) if texts is None else (texts.select("size", "body"), _zipped)
+        sent = _sent(source, text_of, frequent, parts).repartition(parts, "owner")
+        found = store.keep(sent.mapInArrow(_shared, _FOUND_DDL))
+        top = found.filter(F.col("kind") == ELEMENTS).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").toPandas()
+        frequent = np.union1d(frequent, top["key"].to_numpy(np.int64).view(np.uint64))
+        shared = found.filter(F.col("kind") == NODES).groupBy(F.col("key").alias("node")).agg(F.sum("n").alias("c"))
+        nodes = store.keep(nodes.join(shared, "node").filter(F.expr("c >= greatest(1, n div 16)")).drop("c"))
+        if texts is None:
+            named = nodes.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("e"), "mark", "node")
+            zipped = _zipped_texts(docs).select(
+                F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("e"), "mark", "size", "body"
+            )
+            joined = zipped.join(named, ["k", "e", "mark"]).dropDuplicates(["k", "e", "mark"])
+            texts = store.keep(joined.select("node", "size", "body"))
+        else:
+            kept = store.keep(texts.join(nodes.select("node"), "node", "left_semi"))
+            store.drop(texts)
+            texts = kept
         store.drop(found)
-        rows = kept
-    members = _first_elements(rows, frequent, counted=False).select("h", "node", "n")
-    return members, rows
+    return _members(texts, frequent), texts
+
+
+def _zipped_texts(docs: DataFrame) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("size", pa.int64()), ("body", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in _chunks(batches, _plain):
+            raw = [t.encode("utf-8", "replace") for t in texts]
+            yield _rows_of(schema, [(*k, len(r), _zip(r)) for k, r in zip(keys, raw)])
+
+    return docs.mapInArrow(work, "doc_id bigint, mark bigint, size bigint, body binary")
+
+
+def _members(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(h, node): the first elements of every node's set."""
+    schema = pa.schema([("h", pa.int64()), ("node", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, bodies in _chunks(batches, _zipped):
+            firsts = [_first(h, frequent, prefix_length(len(h))) for h in shingle_sets(bodies)]
+            node = np.repeat(np.array([k[0] for k in keys], np.int64), [len(f) for f in firsts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(node)], schema=schema)
+
+    return texts.select("node", "size", "body").mapInArrow(work, "h bigint, node bigint")
 
 
 def _distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -193,7 +251,7 @@ def _distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for nodes, body, size in ((a, batch.column(1), batch.column(2)), (b, batch.column(4), batch.column(5))):
                 for i, node in enumerate(nodes):
                     if node not in known and node not in need:
-                        need[node] = _unsqueeze(body[i].as_py(), size[i].as_py())
+                        need[node] = _unzip(body[i].as_py(), size[i].as_py()).decode()
             known |= dict(zip(need, shingle_sets(list(need.values())))) if need else {}
             out = [(x, y, *similar(known[x], known[y])) for x, y in zip(a, b)]
             yield _rows_of(schema, out)
@@ -252,54 +310,134 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 def _groups(docs: DataFrame, doc_id: str, text: str, store: Stored) -> tuple[DataFrame, DataFrame]:
     """Rows with their node, and the component (node, label) of every linked node."""
-    rows = store.keep(sets_of(docs, doc_id, text))
-    members, texts = regions(rows, store)
+    body = column(text).cast("string")
+    own = docs.select(column(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("mark"), body.alias("text"))
+    rows = store.keep(sets_of(own))
+    members, texts = regions(own, rows, store)
     members = store.keep(members)
-    tested, labels = None, None
+    sizes = store.keep(rows.join(texts.select("node"), "node", "left_semi").groupBy("node").agg(F.max("n").alias("n")))
+    tested, labels, in_blocks = None, None, None
+
+    def label() -> None:
+        nonlocal labels
+        links = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        labels = store.keep(components(links if in_blocks is None else links.unionByName(in_blocks), store))
 
     def check(pairs: DataFrame) -> None:
-        nonlocal tested, labels
+        nonlocal tested
         found = store.keep(_distances(pairs, texts))
         tested = found if tested is None else tested.unionByName(found)
-        labels = store.keep(components(tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), store))
-
-    # first round: every node with the pivots of most of its regions
-    by_hash = F.struct(F.xxhash64("node").alias("o"), F.col("node").alias("p"), F.col("n").alias("pn"))
-    pivots = members.groupBy("h").agg(F.min(by_hash).alias("x"), F.max("node").alias("_max"), F.min("node").alias("_min"))
-    pivots = pivots.filter("_max <> _min").select("h", "x.p", "x.pn")
-    pairs = members.join(pivots, "h").filter(F.expr(f"node <> p and {_comparable('n', 'pn')}"))
-    shared = pairs.groupBy("node", "p").agg(F.count(F.lit(1)).alias("c"))
+        label()
+
+    # first round: every node with the pivots of most of its regions; nodes are hashes, so the least is any of them
+    pivots = members.groupBy("h").agg(F.min("node").alias("p"), F.max("node").alias("_max")).filter("p <> _max")
+    pairs = members.join(pivots.select("h", "p"), "h")
+    shared = pairs.groupBy("node", "p").agg(F.count(F.lit(1)).alias("c")).filter("node <> p")
     order = Window.partitionBy("node").orderBy(F.desc("c"), "p")
     first = shared.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= FIRST_PIVOTS)
     check(first.select(F.col("p").alias("a"), F.col("node").alias("b")))
     first_tested = tested
 
+    # large regions: all that they connect is one cluster, joined in blocks by its pivots
+    sized = store.keep(members.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("p")).filter("c > 1"))
+    large = members.join(sized.filter(F.col("c") > SMALL_REGION).select("h", "p"), "h")
+    clusters = store.keep(components(large.select(F.col("node").alias("u"), F.col("p").alias("v")).distinct(), store))
+    for scouts in (True, False) if not clusters.isEmpty() else ():
+        found = store.keep(_block_links(clusters, labels, texts, scouts))
+        in_blocks = found if in_blocks is None else in_blocks.unionByName(found)
+        label()
+    members = store.keep(members.join(sized.filter(F.col("c") <= SMALL_REGION).select("h"), "h"))
+
     while True:
-        own = labels.select("node", "label")
-        open_members = members.join(own, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = sizes.join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("label"))
+        open_members = members.join(labelled, "node")
         spread = open_members.groupBy("h").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"))
         spread = spread.filter("_lo <> _hi").select("h")
         open_members = store.keep(open_members.join(spread, "h").select("h", "node", "n", "label"))
         largest = open_members.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c"))
         largest = largest.groupBy("h").agg(F.max(F.struct("c", "label")).alias("x")).select("h", F.col("x.label").alias("main"))
         outside = open_members.join(largest, "h").filter("label <> main")
-        least = Window.partitionBy("h").orderBy(F.xxhash64("node"), "node")
+        least = Window.partitionBy("h").orderBy("node")
         chosen = outside.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= ROUND_PIVOTS)
         chosen = store.keep(chosen.select("h", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")))
         if chosen.isEmpty():
             break
-        met = open_members.join(chosen, "h").filter(F.expr(f"node <> p and label <> pl and {_comparable('n', 'pn')}"))
+        met = open_members.join(chosen, "h").filter(F.expr(f"label <> pl and {_comparable('n', 'pn')}"))
         met = met.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         met = store.keep(met.join(done, ["a", "b"], "left_anti"))
         check(_within_windows(met, first_tested))
         members = store.keep(
-            open_members.join(chosen.select("h", F.col("p").alias("node")), ["h", "node"], "left_anti").select("h", "node", "n")
+            open_members.join(chosen.select("h", F.col("p").alias("node")), ["h", "node"], "left_anti").select("h", "node")
         )
         store.drop(open_members, chosen, met)
     return rows, labels
 
 
+def _block_links(clusters: DataFrame, labels: DataFrame, texts: DataFrame, scouts: bool) -> DataFrame:
+    """Links (u, v) that connect each cluster (node, label) as all links of its pivots do.
+
+    Pivots are the ``SCOUTS`` least nodes of a cluster first, then all nodes outside its largest component: a pair
+    without a pivot is connected already. Every task compares a block of nodes with a block of pivots, as sorted sets; what it
+    returns is a spanning forest of the links it found, one row per node at most.
+    """
+    own = clusters.select("node", F.col("label").alias("cluster"))
+    known = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = known.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
+    totals = sizes.groupBy("cluster").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("x"))
+    totals = totals.select("cluster", "total", F.col("x.label").alias("main"))
+    joined = known.join(totals, "cluster")
+    if scouts:
+        least = Window.partitionBy("cluster").orderBy("node")
+        chosen = joined.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= SCOUTS).drop("_r")
+    else:
+        chosen = joined.filter("label <> main")
+    counts = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("pivots"))
+    blocks, rows = F.expr(f"1 + total div {BLOCK}"), F.expr(f"1 + pivots div {BLOCK_PIVOTS}")
+    bodies = texts.select("node", "size", "body")
+
+    def spread(side: DataFrame, own_block: str, over: str) -> DataFrame:
+        other = "q" if own_block == "b" else "b"
+        laid = side.join(counts, "cluster").withColumns({"blocks": blocks, "rows": rows})
+        laid = laid.withColumn(own_block, F.expr(f"pmod(xxhash64(node), {'blocks' if own_block == 'b' else 'rows'})"))
+        laid = laid.join(bodies, "node").withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(over) - 1)))
+        return laid.select(*[F.col(c).alias(c) for c in ("cluster", "b", "q", "node", "label", "size", "body")])
+
+    links = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def compare(nodes: pa.Table, pivots: pa.Table) -> pa.Table:
+        def sets(t: pa.Table) -> tuple[list[int], np.ndarray, list[np.ndarray]]:
+            bodies = [_unzip(x, n).decode() for x, n in zip(t["body"].to_pylist(), t["size"].to_pylist())]
+            return t["node"].to_pylist(), t["label"].to_numpy().copy(), shingle_sets(bodies) if bodies else []
+
+        keys, label, own = sets(nodes)
+        pivot_keys, pivot_label, others = sets(pivots)
+        if not own or not others:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        sizes = np.array(list(map(len, own)))
+        every, owner = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        out = []
+        for i, (key, x) in enumerate(zip(pivot_keys, others)):
+            lo, hi = np.searchsorted(every, x, "left"), np.searchsorted(every, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(own))
+            linked = np.flatnonzero((100 * both >= 75 * (len(x) + sizes - both)) & (label != pivot_label[i]))
+            # one link to each component; they are one from then on
+            for old, first in zip(*np.unique(label[linked], return_index=True)):
+                out.append((key, keys[linked[first]]))
+                label[label == old] = pivot_label[i]
+                pivot_label[pivot_label == old] = pivot_label[i]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))], schema=links)
+
+    left = spread(joined.select("cluster", "node", "label", "total"), "b", "rows")
+    right = spread(chosen.select("cluster", "node", "label", "total"), "q", "blocks")
+    grouped = left.groupBy("cluster", "b", "q").cogroup(right.groupBy("cluster", "b", "q"))
+    return grouped.applyInArrow(compare, "u bigint, v bigint").distinct()
+
+
 def _within_windows(pairs: DataFrame, first: DataFrame) -> DataFrame:
     """Pairs that the triangle inequality does not rule out by their distances to one of their first pivots.
 
