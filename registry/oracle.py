@@ -124,6 +124,30 @@ def all_choices(requests: str, table: str, levels: Sequence[str]) -> str:
     return f"WITH requests AS ({requests})\n" + "\nUNION ALL ".join(rows)
 
 
+def ranges_missing(table: str, cols: Sequence[str]) -> str:
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    values = "\nUNION ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value FROM {table} WHERE {c} IS NOT NULL" for c in cols)
+    seen = "\nUNION ".join(
+        f"SELECT '{a}' AS col_a, CAST({a} AS VARCHAR) AS value_a, '{b}' AS col_b, CAST({b} AS VARCHAR) AS value_b "
+        f"FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+        for a, b in pairs
+    )
+    marks = "\nUNION ALL ".join(f"SELECT col, value, '{b}', -1 FROM places WHERE col = '{a}'" for a, b in pairs)
+    return f"""WITH domain_values AS ({values}),
+places AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY value) - 1 AS place,
+           count(*) OVER (PARTITION BY col) AS size FROM domain_values),
+seen AS ({seen}),
+marked AS (SELECT col_a, value_a, col_b, place FROM seen JOIN places ON col = col_b AND value = value_b
+           UNION ALL {marks}),
+gaps AS (SELECT col_a, value_a, col_b, place + 1 AS lo, coalesce(
+           lead(place) OVER (PARTITION BY col_a, value_a, col_b ORDER BY place),
+           (SELECT max(size) FROM places WHERE col = col_b)) - 1 AS hi FROM marked)
+SELECT g.col_a, g.value_a, g.col_b, f.value AS first_value, l.value AS last_value,
+       CAST(hi - lo + 1 AS BIGINT) AS n_values
+FROM gaps g JOIN places f ON f.col = g.col_b AND f.place = lo JOIN places l ON l.col = g.col_b AND l.place = hi
+WHERE hi >= lo"""
+
+
 def first_invalid(requests: str, table: str, levels: Sequence[str]) -> str:
     tests = []
     for k in range(1, len(levels) + 1):
@@ -244,7 +268,8 @@ ORACLE = {
         PART_LEVELS,
     ),
     "absent_pairs": pairs_missing("part", PART_LEVELS),
-    "absent_pairs_lines": pairs_missing("lineitem", ["l_suppkey", "l_tax", "l_discount"]),
+    "absent_ranges": ranges_missing("lineitem", ["l_suppkey", "l_partkey", "l_tax"]),
+    "absent_pairs_lines": pairs_missing("lineitem", ["l_partkey", "l_tax", "l_discount"]),
     "check_rules": broken_counts("part", PART_RULES),
     "structure": columns_of(
         "part",

@@ -292,7 +292,11 @@ def absent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def absent_pairs_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sw.absent_pairs(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_tax", "l_discount"])
+    return sw.absent_pairs(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_tax", "l_discount"])
+
+
+def absent_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sw.absent_ranges(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey", "l_tax"])
 
 
 def check_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,6 +366,7 @@ ALL = [
     default_selection,
     absent_pairs,
     absent_pairs_lines,
+    absent_ranges,
     check_rules,
     structure,
     summary,

@@ -9,11 +9,12 @@ from stepwell.operators.cascade import (
 )
 from stepwell.operators.choices import choices, choices_for, preview, root_choices, row_count
 from stepwell.operators.filters import drill_down, exclude_pair_table, exclude_pairs, is_member, where_equals
-from stepwell.operators.quality import PairRule, absent_pairs, check_rules, structure, summary
+from stepwell.operators.quality import PairRule, absent_pairs, absent_ranges, check_rules, structure, summary
 
 __all__ = [
     "PairRule",
     "absent_pairs",
+    "absent_ranges",
     "cascade_trace",
     "check_rules",
     "check_selection",

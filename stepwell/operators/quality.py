@@ -17,6 +17,7 @@ from stepwell.session import stored
 from stepwell.sources.tables import scan, storage_size
 
 SLICE_WIDTH = 4_096
+PAIR_KEYS = ["col_a", "value_a", "col_b"]
 
 
 def absent_pairs(
@@ -33,6 +34,46 @@ def absent_pairs(
     slices, so no task handles a whole domain for one value. Combinations and
     values are stored in the shared folder, as they are used several times.
     """
+    known = _numbered(df, cols, group_limit)
+    if known is None:
+        return df.sparkSession.createDataFrame([], "col_a string, value_a string, col_b string, value_b string")
+    seen, marks, partners, place_of_b, size, largest = known
+    if largest <= slice_width:
+        missing = _gaps(seen.unionByName(marks), PAIR_KEYS, "place", size)
+    else:
+        missing = _gaps_by_slice(seen, partners, PAIR_KEYS, size, F.lit(-1).cast("bigint"), slice_width)
+    return missing.join(place_of_b, ["col_b", "place"]).select(*PAIR_KEYS, "value_b")
+
+
+def absent_ranges(df: DataFrame, cols: Sequence[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """``absent_pairs`` as ranges: (col_a, value_a, col_b, first_value, last_value, n_values).
+
+    A range holds consecutive values of ``col_b``, in the order of their text, none of which occurs with the
+    value. There is at most one range more than values seen, so the result grows with what occurs
+    and not with the product of the domains.
+    """
+    known = _numbered(df, cols, group_limit)
+    if known is None:
+        empty = "col_a string, value_a string, col_b string, first_value string, last_value string, n_values bigint"
+        return df.sparkSession.createDataFrame([], empty)
+    seen, marks, _, place_of_b, size, _ = known
+    after = Window.partitionBy(*PAIR_KEYS).orderBy("place")
+    until = F.coalesce(F.lead("place").over(after), size)
+    gaps = seen.unionByName(marks).withColumns({"first": F.col("place") + 1, "last": until - 1}).filter("first <= last")
+
+    def value_at(place: str) -> DataFrame:
+        return place_of_b.select("col_b", F.col("place").alias(place), F.col("value_b").alias(f"{place}_value"))
+
+    named = gaps.join(value_at("first"), ["col_b", "first"]).join(value_at("last"), ["col_b", "last"])
+    return named.select(*PAIR_KEYS, "first_value", "last_value", (F.col("last") - F.col("first") + 1).alias("n_values"))
+
+
+def _numbered(df: DataFrame, cols: Sequence[str], group_limit: int):
+    """Numbered values of all column pairs, None if fewer than two columns have any.
+
+    The places of ``col_b`` seen with each value of ``col_a``, a mark before the first place of each, the pairs of
+    a value and a column, the places, the number of places by column, and the largest of these.
+    """
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     combinations = df.select(*map(column, cols)).distinct()
@@ -42,26 +83,21 @@ def absent_pairs(
     # one row per column
     sizes = {row["col"]: row["count"] for row in values.groupBy("col").count().collect()}
     if len(sizes) < 2:
-        return df.sparkSession.createDataFrame([], "col_a string, value_a string, col_b string, value_b string")
+        return None
     largest = max(sizes.values())
     places = dense_positions(values, ["col"], "value", "place", largest, group_limit)
     place_of_b = places.withColumnsRenamed({"col": "col_b", "value": "value_b"})
     size = F.create_map(*[F.lit(x) for item in sizes.items() for x in item])[F.col("col_b")]
 
-    keys = ["col_a", "value_a", "col_b"]
-    seen = _value_pairs(combinations, pairs).join(place_of_b, ["col_b", "value_b"]).select(*keys, "place")
+    seen = _value_pairs(combinations, pairs).join(place_of_b, ["col_b", "value_b"]).select(*PAIR_KEYS, "place")
     partners = F.create_map(*[x for c in cols for x in (F.lit(c), _array([b for a, b in pairs if a == c]))])
     partners = values.select(
         F.col("col").alias("col_a"), F.col("value").alias("value_a"), F.explode(partners[F.col("col")]).alias("col_b")
     )
     partners = partners.filter(F.col("col_b").isin(list(sizes)))
     # a mark before the first number also catches values that were seen with nothing
-    mark = F.lit(-1).cast("bigint")
-    if largest <= slice_width:
-        missing = _gaps(seen.unionByName(partners.withColumn("place", mark)), keys, "place", size)
-    else:
-        missing = _gaps_by_slice(seen, partners, keys, size, mark, slice_width)
-    return missing.join(place_of_b, ["col_b", "place"]).select(*keys, "value_b")
+    marks = partners.withColumn("place", F.lit(-1).cast("bigint"))
+    return seen, marks, partners, place_of_b, size, largest
 
 
 def _gaps_by_slice(seen, partners, keys, size, mark, width: int) -> DataFrame:

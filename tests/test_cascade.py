@@ -203,3 +203,19 @@ def test_default_pick_with_a_cast(spark):
     rows = spark.createDataFrame([("x", 5)], "a string, b bigint")
     asked = sw.default_selection(spark, {"a": "x", "b": F.lit(4).cast("bigint")})
     assert sw.resolve_selection(asked, rows, ["a", "b"]).first()["b"] == 5
+
+
+def test_absent_ranges_hold_the_absent_pairs(spark):
+    rows = brute.random_rows("ranges", 60, [9, 8, 7, 1], nulls=0.2, hot=0.3)
+    rows.append(("only", None, None, None))
+    df = table(spark, rows)
+    places = {}
+    for i, c in enumerate(LEVELS):
+        places[c] = sorted({str(r[i]) for r in rows if r[i] is not None})
+    got = set()
+    for r in sw.absent_ranges(df, LEVELS).collect():
+        values = places[r["col_b"]]
+        own = values[values.index(r["first_value"]) : values.index(r["last_value"]) + 1]
+        assert len(own) == r["n_values"]
+        got |= {(r["col_a"], r["value_a"], r["col_b"], v) for v in own}
+    assert got == brute.absent(rows, LEVELS)
