@@ -43,6 +43,8 @@ FIRST_PIVOTS, ROUND_PIVOTS = 2, 32
 #: Regions of more nodes are joined in blocks: so many nodes, and pivots, per task; pivots of the first of two passes.
 SMALL_REGION, BLOCK, BLOCK_PIVOTS, SCOUTS = 64, 512, 1024, 256
 CHUNK_BYTES = 1 << 20
+#: Pairs whose sets a task holds at once.
+PAIRS = 256
 
 _MESSAGE = pa.schema([("owner", pa.int32()), ("kind", pa.int8()), ("size", pa.int64()), ("h", pa.binary()), ("node", pa.binary())])
 _MESSAGE_DDL = "owner int, kind tinyint, size bigint, h binary, node binary"
@@ -245,7 +247,7 @@ def _distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(i, PAIRS) for b in batches for i in range(0, b.num_rows, PAIRS)):
             a, b = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             need: dict[int, str] = {}
             for nodes, body, size in ((a, batch.column(1), batch.column(2)), (b, batch.column(4), batch.column(5))):

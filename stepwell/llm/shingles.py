@@ -73,13 +73,27 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     Words are runs of anything but U+0009 to U+000D and space; A-Z count as a-z. A text of fewer words
     is one shingle, its whole sequence; one without words has none.
     """
-    bodies = [t.encode("utf-8", "replace").lower() for t in texts]
+    out, some, size = [], [], 0
+    for text in texts:
+        body = text.encode("utf-8", "replace").lower()
+        if some and size + len(body) > PIECE:
+            out += _sets(some)
+            some, size = [], 0
+        some.append(body)
+        size += len(body)
+    return out + _sets(some) if some else out
+
+
+def _sets(bodies: list[bytes]) -> list[np.ndarray]:
     lengths = np.array([len(b) + 1 for b in bodies])
     words, starts = _word_hashes(np.frombuffer(b" ".join(bodies), np.uint8))
     bounds = np.searchsorted(starts, np.r_[0, np.cumsum(lengths)])
     if len(words) >= SHINGLE:
         span = len(words) - SHINGLE + 1
-        every = mixed(sum(words[k : k + span] * _SEEDS[5, k] for k in range(SHINGLE)))
+        every = words[:span] * _SEEDS[5, 0]
+        for k in range(1, SHINGLE):
+            every += words[k : k + span] * _SEEDS[5, k]
+        every = mixed(every)
     out = []
     for first, last in zip(bounds[:-1], bounds[1:]):
         n = last - first
