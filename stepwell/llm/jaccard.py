@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,10 +47,12 @@ CHUNK_BYTES = 1 << 20
 #: Pairs whose sets a task holds at once.
 PAIRS = 256
 
-_MESSAGE = pa.schema([("owner", pa.int32()), ("kind", pa.int8()), ("size", pa.int64()), ("h", pa.binary()), ("node", pa.binary())])
-_MESSAGE_DDL = "owner int, kind tinyint, size bigint, h binary, node binary"
-_FOUND = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("n", pa.int64())])
-_FOUND_DDL = "kind tinyint, key bigint, n bigint"
+_MESSAGE = pa.schema(
+    [("owner", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int8()), ("size", pa.int64()), ("h", pa.binary()),
+     ("node", pa.binary())]
+)
+_MESSAGE_DDL = "owner int, chunk bigint, kind tinyint, size bigint, h binary, node binary"
+_FREQUENT = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 #: Kinds of messages and findings: elements with their nodes; frequent elements with counts; nodes with counts.
 PLACES, ELEMENTS, NODES = 0, 1, 2
 
@@ -115,11 +118,14 @@ def _first(hashes: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
 def _sent(docs: DataFrame, text_of, frequent: np.ndarray, owners: int) -> DataFrame:
     """Messages with the first elements of every set, by the owner of their hash.
 
-    An element that a chunk meets often goes as its count, and the nodes that hold such ones as their number.
+    An element that a chunk meets often goes as its count, and the nodes that hold such ones as their number. Answers go
+    back to the chunk.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = pyspark.TaskContext.get().partitionId() << 32
         for _, texts in _chunks(batches, text_of):
+            chunk += 1
             firsts, nodes = [], []
             for node, hashes in {fingerprint(h): h for h in shingle_sets(texts) if len(h)}.items():
                 own = _first(hashes, frequent, prefix_length(len(hashes)) + spare(len(hashes)))
@@ -140,40 +146,70 @@ def _sent(docs: DataFrame, text_of, frequent: np.ndarray, owners: int) -> DataFr
                 for part in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
                     if len(part):
                         body = _zip(keys[part].tobytes()), _zip(other[part].astype(np.int64).tobytes())
-                        out.append((int(owner[part[0]]), kind, len(part), *body))
+                        out.append((int(owner[part[0]]), chunk, kind, len(part), *body))
             yield _rows_of(_MESSAGE, out)
 
     return docs.mapInArrow(work, _MESSAGE_DDL)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes with the number of their elements that others share, and frequent elements with their count."""
-    got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {PLACES: [], ELEMENTS: [], NODES: []}
+def _shared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Per chunk its nodes with the number of their elements that others share; and the most frequent elements."""
+    got: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {PLACES: [], ELEMENTS: [], NODES: []}
     for batch in batches:
-        for _, kind, n, h, other in zip(*[c.to_pylist() for c in batch.columns]):
-            got[kind].append((np.frombuffer(_unzip(h, 8 * n), np.uint64), np.frombuffer(_unzip(other, 8 * n), np.int64)))
+        for _, chunk, kind, n, h, other in zip(*[c.to_pylist() for c in batch.columns]):
+            keys, values = np.frombuffer(_unzip(h, 8 * n), np.uint64), np.frombuffer(_unzip(other, 8 * n), np.int64)
+            got[kind].append((keys, values, np.full(n, chunk)))
 
-    def both(kind: int) -> tuple[np.ndarray, np.ndarray]:
+    def columns(kind: int) -> list[np.ndarray]:
         parts = got.pop(kind)
-        if not parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+        return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate(("u8", "i8", "i8"))]
 
-    h, node = both(PLACES)
-    element, times = both(ELEMENTS)
+    h, node, chunk = columns(PLACES)
+    element, times, _ = columns(ELEMENTS)
     order = np.lexsort((node, h))
-    h, node = h[order], node[order]
-    fresh = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])][: len(h)]
-    h, node = h[fresh], node[fresh]
-    values, back, count = np.unique(np.r_[h, element], return_inverse=True, return_counts=True)
-    total = np.bincount(back, weights=np.r_[np.ones(len(h)), times], minlength=len(values)).astype(np.int64)
+    fresh = np.ones(len(h), bool)
+    fresh[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (node[order[1:]] != node[order[:-1]])
+    values, back = np.unique(np.r_[h, element], return_inverse=True)
+    total = np.bincount(back, weights=np.r_[fresh, times], minlength=len(values)).astype(np.int64)
     shared = (total >= 2)[back[: len(h)]]
-    holders, held = np.unique(node[shared], return_counts=True)
-    more, also = both(NODES)
-    many = total >= FREQUENT
-    kind = np.r_[np.full(many.sum(), ELEMENTS), np.full(len(holders) + len(more), NODES)].astype(np.int8)
-    key = np.r_[values[many].view(np.int64), holders, more.view(np.int64)]
-    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.r_[total[many], held, also])], schema=_FOUND)
+    more, also, of_chunk = columns(NODES)
+    node = np.r_[node[shared], more.view(np.int64)]
+    chunk, weight = np.r_[chunk[shared], of_chunk], np.r_[np.ones(shared.sum(), np.int64), also]
+    order = np.lexsort((node, chunk))
+    node, chunk, weight = node[order], chunk[order], weight[order]
+    first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (chunk[1:] != chunk[:-1])][: len(node)])
+    held = np.add.reduceat(weight, first) if len(first) else weight
+    node, chunk = node[first], chunk[first]
+    out = []
+    for part in np.split(np.arange(len(node)), np.flatnonzero(np.diff(chunk)) + 1):
+        if len(part):
+            out.append((0, int(chunk[part[0]]), NODES, len(part), _zip(node[part].tobytes()), _zip(held[part].tobytes())))
+    often = np.flatnonzero(total >= FREQUENT)
+    often = often[np.argsort(-total[often], kind="stable")[:most]]
+    if len(often):
+        out.append((0, -1, ELEMENTS, len(often), _zip(values[often].tobytes()), _zip(total[often].tobytes())))
+    yield _rows_of(_MESSAGE, out)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per node of a chunk the number of its shared elements, from the answers of all owners."""
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in batches:
+        for _, chunk, _, n, h, other in zip(*[c.to_pylist() for c in batch.columns]):
+            pair = np.frombuffer(_unzip(h, 8 * n), np.int64), np.frombuffer(_unzip(other, 8 * n), np.int64)
+            parts.setdefault(chunk, []).append(pair)
+    for found in parts.values():
+        keys, back = np.unique(np.concatenate([a for a, _ in found]), return_inverse=True)
+        count = np.bincount(back, weights=np.concatenate([b for _, b in found])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(count)], schema=_FREQUENT)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent elements, a row each."""
+    for batch in batches:
+        for _, _, _, n, h, other in zip(*[c.to_pylist() for c in batch.columns]):
+            pair = np.frombuffer(_unzip(h, 8 * n), np.int64), np.frombuffer(_unzip(other, 8 * n), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pair], schema=_FREQUENT)
 
 
 def spare(n: int) -> int:
@@ -197,10 +233,13 @@ def regions(docs: DataFrame, rows: DataFrame, store: Stored) -> tuple[DataFrame,
     for _ in range(2):
         source, text_of = (docs.select("text"), _plain) if texts is None else (texts.select("size", "body"), _zipped)
         sent = _sent(source, text_of, frequent, parts).repartition(parts, "owner")
-        found = store.keep(sent.mapInArrow(_shared, _FOUND_DDL))
-        top = found.filter(F.col("kind") == ELEMENTS).orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").toPandas()
+        found = store.keep(sent.mapInArrow(lambda b: _shared(b, 2 * MOST_FREQUENT // parts), _MESSAGE_DDL))
+        often = found.filter(F.col("kind") == ELEMENTS).mapInArrow(_listed, "key bigint, n bigint")
+        top = often.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").toPandas()
         frequent = np.union1d(frequent, top["key"].to_numpy(np.int64).view(np.uint64))
-        shared = found.filter(F.col("kind") == NODES).groupBy(F.col("key").alias("node")).agg(F.sum("n").alias("c"))
+        answers = found.filter(F.col("kind") == NODES).repartition(parts, "chunk").mapInArrow(_summed, "key bigint, n bigint")
+        # a set that several chunks hold is counted whole in each
+        shared = answers.groupBy(F.col("key").alias("node")).agg(F.max("n").alias("c"))
         nodes = store.keep(nodes.join(shared, "node").filter(F.expr("c >= greatest(1, n div 16)")).drop("c"))
         if texts is None:
             named = nodes.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("e"), "mark", "node")
