@@ -60,7 +60,7 @@ if __name__ == "__main__":
     from stepwell import local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(contract.queries())
+    names = sys.argv[2:] or list(contract.oracle_sql())
     spark = local_session(cpus=8)
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
