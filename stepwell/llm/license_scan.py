@@ -1,12 +1,13 @@
 """Licence scan by a positional index of rare words.
 
-The licence templates below are indexed by word and position. Each document looks up its
-own licence words of highest inverse document frequency (counted over all documents);
-every licence word of a document then votes for the template at the relative position
-``place in document - place in template``. A template is found where enough of its words
-stand at their places, at least one rare word among them, and all of its mandatory key
-phrase. One scan of the texts; what leaves it is one row per document with the places of
-licence words, which ordinary prose hardly has.
+The licence templates below are indexed by word and position. Each template is reached by the
+word of its mandatory key phrase with the highest inverse document frequency (counted over all
+documents): without that word a document cannot hold the template, with it all licence words of
+the document vote for the template at the relative position ``place in document - place in
+template``. So no template that stands in a text is missed, however many others stand there. A
+template is found where enough of its words stand at their places, and all of its key phrase.
+One scan of the texts; what leaves it is one row per document with the places of licence words,
+which ordinary prose hardly has.
 
 Column expressions, joins and aggregates only.
 """
@@ -52,8 +53,6 @@ COMMON = frozenset("a and any are as by for in into is it may no not of on or th
 SEPARATORS = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 KELVIN = "\u212a"
 
-#: A document looks up so many of its licence words, rarest first.
-RAREST = 6
 #: Share of a template's words that must stand at their places.
 SHARE = 0.6
 
@@ -158,33 +157,38 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     )
 
 
+def rarest(index: list[tuple[int, str, str, int, bool]], frequency: dict[str, int]) -> dict[int, str]:
+    """Template -> the word of its key phrase in the fewest documents."""
+    found: dict[int, tuple[int, str]] = {}
+    for number, _, word, _, in_key in index:
+        if in_key:
+            own = (frequency.get(word, 0), word)
+            found[number] = min(found.get(number, own), own)
+    return {number: word for number, (_, word) in found.items()}
+
+
 def aligned(scanned: DataFrame, index: list[tuple[int, str, str, int, bool]]) -> DataFrame:
     """Templates found per row: _row, _found (labels), _share (largest share of words in place)."""
     spark = scanned.sparkSession
     some = scanned.filter(F.size("_posts") > 0)
     distinct = F.array_distinct(F.transform("_posts", lambda p: p["w"]))
     # one row per template word at most, whatever the corpus holds
-    counted = some.select(F.explode(distinct).alias("w")).groupBy("w").count().collect()
-    pairs = [x for row in counted for x in (F.lit(row["w"]), F.lit(row["count"]))]
-    frequency = F.create_map(*pairs) if pairs else F.create_map(F.lit(""), F.lit(0))
-    # least document frequency is highest IDF
-    ranked = F.sort_array(F.transform(distinct, lambda w: F.struct(frequency[w].alias("n"), w.alias("w"))))
-    rare = F.transform(F.slice(ranked, 1, RAREST), lambda x: x["w"])
-    posts = some.withColumn("_rare", rare).select("_row", "_rare", F.explode("_posts").alias("x"))
-    posts = posts.select("_row", F.col("x.w").alias("w"), F.col("x.p").alias("p"), F.array_contains("_rare", F.col("x.w")).alias("is_rare"))
-    templates = spark.createDataFrame(index, "t int, label string, w string, q int, in_key boolean")
+    frequency = {r["w"]: r["count"] for r in some.select(F.explode(distinct).alias("w")).groupBy("w").count().collect()}
+    anchors = rarest(index, frequency)
+    posts = some.select("_row", distinct.alias("_distinct"), F.explode("_posts").alias("x"))
+    posts = posts.select("_row", "_distinct", F.col("x.w").alias("w"), F.col("x.p").alias("p"))
+    templates = spark.createDataFrame(
+        [(*entry, anchors[entry[0]]) for entry in index], "t int, label string, w string, q int, in_key boolean, anchor string"
+    )
     sizes = {t: (sum(r[0] == t for r in index), sum(r[0] == t and r[4] for r in index)) for t, *_ in index}
     needed = spark.createDataFrame([(t, a, b) for t, (a, b) in sizes.items()], "t int, n_all int, n_key int")
     votes = (
         posts.join(F.broadcast(templates), "w")  # fixed size: the templates above
+        .filter(F.array_contains("_distinct", F.col("anchor")))
         .groupBy("_row", "t", "label", (F.col("p") - F.col("q")).alias("at"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if("in_key").alias("k"),
-            F.count_if("is_rare").alias("r"),
-        )
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("in_key").alias("k"))
         .join(F.broadcast(needed), "t")
-        .filter((F.col("k") == F.col("n_key")) & (F.col("r") > 0) & (F.col("n") >= SHARE * F.col("n_all")))
+        .filter((F.col("k") == F.col("n_key")) & (F.col("n") >= SHARE * F.col("n_all")))
     )
     return votes.groupBy("_row").agg(
         F.collect_set("label").alias("_found"), F.max(F.col("n") / F.col("n_all")).alias("_share")

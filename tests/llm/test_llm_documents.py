@@ -49,6 +49,23 @@ def test_licence_templates(spark):
     assert found[4].base_labels == "mit" and found[4].first_word == 2
 
 
+def test_several_licences_in_one_file(spark):
+    texts = {" ".join(labels): [t for label, t, _ in license_scan.TEMPLATES if label in labels] for labels in (
+        ["bsd", "mit", "proprietary"], ["apache", "mpl", "proprietary"], ["isc", "gpl", "lgpl", "unlicense", "cc0", "proprietary"],
+    )}
+    rows = [(i, " x y ".join(t)) for i, t in enumerate(texts.values())]
+    rows.append((10, " \n".join(t for _, t, _ in license_scan.TEMPLATES)))
+    rows.append((11, "copy free person charge domain distribute binary, all rights reserved"))
+    rows.append((12, "rights all reserved"))
+    # every other word is in fewer documents than those of "all rights reserved"
+    rows += [(100 + i, "all rights reserved") for i in range(20)]
+    found = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [found[i].split(",") for i in range(3)] == [sorted(names.split()) for names in texts]
+    assert found[10].split(",") == sorted({label for label, _, _ in license_scan.TEMPLATES})
+    assert found[11] == "proprietary" and found[12] == ""
+    assert all(found[100 + i] == "proprietary" for i in range(20))
+
+
 def test_quality_measures(docs, texts):
     got = counted(quality_rules.judge(docs, carry=["doc_id"]).select("_row.doc_id", *quality_rules.MEASURES, "base_failed"), "*")
     want = Counter()
