@@ -25,12 +25,15 @@ SYMBOLS = "[#*$%&|<>]+"
 #: Low bits of a packed window: its position; a string has fewer than 2**30 words.
 PLACE_BITS = 30
 
-#: Ratio -> least distance between the median and the limit. A group in which a ratio
-#: hardly varies would otherwise reject documents for a difference of no meaning.
+#: Ratio -> distance between the median and the limit where the quantiles tell none: a ratio that is
+#: zero in a tenth of the group is cut off at zero, so what lies below its median says nothing about it.
 RATIOS = {"symbol_ratio": 0.15, "dup_line_ratio": 0.4, "repeat_ratio": 0.25, "capital_ratio": 0.3, "bang_ratio": 0.15}
-#: A limit lies so many times as far above the median as the 90 % quantile does.
+#: Elsewhere a limit lies so many times as far above the median as the 10 % quantile lies below it. Junk has
+#: high ratios: it takes up quantiles above the median first and, up to half of a group, none below it.
 REACH = 4.0
-UPPER = 0.9
+LOWER = 0.1
+#: Share of the distance in RATIOS that is the least one; a smaller difference has no meaning.
+LEAST = 0.1
 MIN_GROUP = 100
 SKETCH_K = 400
 
@@ -153,8 +156,9 @@ def limits(measured: DataFrame) -> DataFrame:
             .otherwise(F.col(f"w.{ratio}"))
         )
         middle = F.kll_sketch_get_quantile_double(sketch, F.lit(0.5))
-        upper = F.kll_sketch_get_quantile_double(sketch, F.lit(UPPER))
-        return (middle + F.greatest(F.lit(REACH) * (upper - middle), F.lit(spread))).alias(f"max_{ratio}")
+        lower = F.kll_sketch_get_quantile_double(sketch, F.lit(LOWER))
+        least = F.when(lower > 0, F.lit(LEAST * spread)).otherwise(F.lit(spread))
+        return (middle + F.greatest(F.lit(REACH) * (middle - lower), least)).alias(f"max_{ratio}")
 
     return joined.select(
         F.col("s._lang").alias("_lang"), F.col("s._source").alias("_source"), *[limit(r, d) for r, d in RATIOS.items()]

@@ -86,6 +86,32 @@ def test_quality_thresholds_follow_the_source(spark):
     assert not kept & {2000, 2001}
 
 
+@pytest.mark.parametrize("n_junk", [30, 80])
+def test_junk_does_not_move_its_own_limit(spark, n_junk):
+    words = [f"w{i}" for i in range(80)]
+    clean = [(i, " ".join(words[i % 7 :] + [str(i)]), "en", "spam") for i in range(200 - n_junk)]
+    symbols = [(1000 + i, " ".join(w + "#" * (j % 2) for j, w in enumerate(words)) + str(i), "en", "spam") for i in range(n_junk)]
+    # three lines stand twice, and with them less than half of the words
+    lines = [" ".join(words[k * 8 : k * 8 + 8]) for k in range(10)]
+    repeats = [(2000 + i, "\n".join([*lines, *lines[:3]]) + f"\n{i}", "de", "spam") for i in range(n_junk)]
+    german = [(3000 + i, "\n".join(lines) + f"\n{i}", "de", "spam") for i in range(200 - n_junk)]
+    df = spark.createDataFrame(clean + symbols + repeats + german, "doc_id bigint, text string, lang string, source string")
+    judged = {r.doc_id: r for r in quality_rules.judge(df, carry=["doc_id"]).select("_row.doc_id", "base_failed", "kept").collect()}
+    assert not any(r.base_failed for r in judged.values())
+    assert {key for key, r in judged.items() if r.kept} == {row[0] for row in clean + german}
+
+
+def test_quality_limits_are_tighter_where_a_source_varies_little(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
+
+    def text(i, n):
+        return " ".join(w.capitalize() if j < n else w for j, w in enumerate(words)) + f" {i}"
+
+    rows = [(i, text(i, 10 + i % 5), "en", "plain") for i in range(150)] + [(1000, text(1000, 60), "en", "plain")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert {r.doc_id for r in quality_rules.filter_documents(df).collect()} == set(range(150))
+
+
 def test_near_copies(docs, texts):
     got = counted(jaccard.join(docs), "doc_id", "n_shingles", "component_id")
     assert got == Counter(cases.components(texts))
