@@ -4,8 +4,9 @@ Every page becomes a tree. Each node gets its characters per tag, adjusted for l
 that is mostly links counts little. The sum of the densities of a node's children is
 largest at the node that directly holds the article's paragraphs. The least density on
 the path from there to the body is the page's threshold; the subtree is widened to the
-parent as long as a sibling reaches it. Elements that are never article text by their tag,
-role, class or id (menus, adverts, forms, comments and so on) are cut out before.
+parent as long as a sibling reaches it. Elements that are never article text by their tag or
+role are cut out before, and those named as menus, adverts, comments and so on by class or id,
+unless they wrap the article: a name may also say what a wrapper has beside the text.
 
 Pages are independent: one scan, no shuffle, one page in memory at a time.
 """
@@ -29,7 +30,7 @@ TAG = re.compile(
     r"|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$))",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,35 +55,42 @@ NOISE_NAMES = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments replies reply respond disqus widget pagination pager toolbar search form".split()
 )
+#: Names that articles have too: cut only where the text is thinner than that of the page.
+AMBIGUOUS = frozenset("share sharing social related recommended notice notices alert search form menu reply respond sponsor subscription".split())
 KEPT = frozenset("html body article main".split())
-#: A form that holds more of the page's text than this wraps the page.
+#: An element that holds more of the page's unlinked text than this wraps the page.
 WRAPS = 0.5
+#: How an element is noise: not, by its tag, role or state, by its name, by a name that articles have too.
+CLEAN, SURE, NAMED, MAYBE = range(4)
 
 
-def _is_noise(tag: str, attributes: str, inside: bool) -> bool:
-    """Never article text. ``inside``: within an article or main element, where a header is a heading."""
+def _noise(tag: str, attributes: str, inside: bool) -> int:
+    """How the element is noise. ``inside``: within an article or main element, where a header is a heading."""
     if tag in NOISE_TAGS or (tag == "header" and not inside):
-        return True
+        return SURE
     if not attributes or tag in KEPT:
-        return False
+        return CLEAN
+    kind, parts = CLEAN, set()
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name in ("class", "id"):
-            parts = {p.lower() for p in NAME_PART.findall(value)}
-            if parts & NOISE_NAMES or ("header" in parts and not inside):
-                return True
-        elif (name == "role" and value.lower() in NOISE_ROLES) or (
-            name == "style" and "display:none" in value.replace(" ", "").lower()
+            parts |= {p.lower() for p in NAME_PART.findall(value)}
+        elif (
+            name == "hidden"
+            or (name == "role" and value.lower() in NOISE_ROLES)
+            or (name == "style" and "display:none" in value.replace(" ", "").lower())
         ):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes))
+            kind = SURE
+    if kind == CLEAN and (parts & NOISE_NAMES or ("header" in parts and not inside)):
+        kind = NAMED if parts & (NOISE_NAMES - AMBIGUOUS) or "header" in parts else MAYBE
+    return kind
 
 
 class Page:
-    """Tree in page order: of each node its tag, parent and whether it is noise; and the texts with their node."""
+    """Tree in page order: of each node its tag, parent and how it is noise; and the texts with their node."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.noise = ["#root"], [0], [False]
+        self.tags, self.parents, self.noise = ["#root"], [0], [CLEAN]
         self.texts: list[tuple[int, str]] = []
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) at a block's border
         self._read(source)
@@ -108,7 +116,7 @@ class Page:
             node = len(self.tags)
             self.tags.append(tag)
             self.parents.append(stack[-1])
-            self.noise.append(_is_noise(tag, attributes, inside > 0))
+            self.noise.append(_noise(tag, attributes, inside > 0))
             if tag in BLOCK:
                 self.events.append((node, None))
             elif tag == "br":
@@ -151,14 +159,11 @@ def extract(source: str) -> str:
     for node, text in page.events:
         if text is not None:
             own[node] += len("".join(text.split()))
-    everything = own[:]
-    for node in range(n - 1, 0, -1):
-        everything[page.parents[node]] += everything[node]
-    # a noise element takes all below it along; a form around the whole page does not count
+    # a noise element takes all below it along; what wraps the page does not count
+    wraps = _wrappers(page, own)
     cut = [False] * n
     for node in range(1, n):
-        wraps = page.tags[node] == "form" and everything[node] > WRAPS * everything[0]
-        cut[node] = cut[page.parents[node]] or (page.noise[node] and not wraps)
+        cut[node] = cut[page.parents[node]] or (page.noise[node] != CLEAN and not wraps[node])
     chars = [0 if cut[i] else own[i] for i in range(n)]
     tags = [0 if cut[i] else 1 for i in range(n)]
     link = [page.tags[i] == "a" for i in range(n)]
@@ -212,6 +217,40 @@ def extract(source: str) -> str:
     return "\n".join(_blocks(page, best, cut))
 
 
+def _wrappers(page: Page, own: list[int]) -> list[bool]:
+    """Which noise elements are kept: around every article or main element, around most of the unlinked text
+    with no article beside, or of an ambiguous name and no thinner than the page. By tag, only forms around most of it."""
+    n = len(page.tags)
+    gone, linked, text, nodes, landmarks = [False] * n, [False] * n, [0] * n, [1] * n, [0] * n
+    above, within = [0] * n, [False] * n
+    for node in range(1, n):
+        up, tag = page.parents[node], page.tags[node]
+        gone[node] = gone[up] or (page.noise[node] == SURE and tag != "form")
+        linked[node] = linked[up] or tag == "a"
+        landmarks[node] = int(tag in ("article", "main") and not gone[node])
+        above[node] = above[up] + landmarks[node]
+        within[node] = within[up] or tag == "article"
+    for node in range(n):
+        text[node] = 0 if gone[node] or linked[node] else own[node]
+    for node in range(n - 1, 0, -1):
+        up = page.parents[node]
+        text[up] += text[node]
+        nodes[up] += nodes[node]
+        landmarks[up] += landmarks[node]
+
+    def keeps(node: int) -> bool:
+        most = text[node] > WRAPS * text[0]
+        if page.noise[node] == SURE:
+            return page.tags[node] == "form" and most
+        # articles within an article are mostly comments
+        if not within[node] and landmarks[node] and landmarks[node] + above[node] == landmarks[0]:
+            return True
+        beside = landmarks[0] - landmarks[node] - above[node] > 0
+        return (most and not beside) or (page.noise[node] == MAYBE and text[node] * nodes[0] >= text[0] * nodes[node] > 0)
+
+    return [page.noise[node] != CLEAN and keeps(node) for node in range(n)]
+
+
 def any_child(i: int, page: Page, chars: list[int]) -> bool:
     """Whether node ``i`` has an element after it that is its child; nodes are in page order."""
     return i + 1 < len(page.tags) and page.parents[i + 1] == i

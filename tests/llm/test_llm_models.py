@@ -43,6 +43,31 @@ def test_main_text(source):
     assert html_text.extract(source) == PAGES[source]
 
 
+PROSE = "<p>First long part of the article, with words.</p><p>Second long part of it, with more words.</p>"
+WRAPPED = {
+    f"<nav><a href=x>home</a></nav><div class='site-content has-sidebar'>{PROSE}<div class=sidebar>side</div></div>": True,
+    f"<div id='with-menu'><div class=menu><a href=x>one</a><a href=y>two</a></div>{PROSE}</div>": True,
+    f"<section class='share-price'>{PROSE}</section>": True,
+    f"<div class='search-results related'><article>{PROSE}</article></div><p>{'other ' * 60}</p>": True,
+    f"<script>{'var x;' * 200}</script><div class='page with-ads'>{PROSE}</div>": True,
+    f"<article>{PROSE}<div class=share><a href=x>tell a friend</a></div></article>": True,
+    f"<article>{PROSE}</article><div id=comments><article>{'nice one ' * 60}</article></div>": True,
+    f"<article>{PROSE}<div id=comments><article>nice one</article></div></article>": True,
+    f"<div class='hidden-gems' title='a hidden gem' data-hidden='x'>{PROSE}</div>": True,
+    f"<div hidden>{PROSE}</div>": False,
+    f"<div HIDDEN=until-found class=x>{PROSE}</div>": False,
+    f"<nav class=content>{PROSE}</nav>": False,
+}
+
+
+@pytest.mark.parametrize("source", WRAPPED)
+def test_wrappers_with_names_of_noise(source):
+    got = html_text.extract(f"<body>{source}</body>")
+    prose = "First long part of the article, with words.\nSecond long part of it, with more words."
+    assert (prose in got) == WRAPPED[source]
+    assert "side" not in got and "friend" not in got and "nice" not in got and "two" not in got
+
+
 def test_pages_table(spark):
     rows = [(i, f"u{i}", s, "x") for i, s in enumerate(PAGES)] + [(None, None, None, "x"), (0, "u0", "<p>again", "x")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
