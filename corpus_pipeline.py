@@ -44,7 +44,8 @@ STAGES = [
     ("suffix-array dedup", passages),
     ("packing", pack),
 ]
-#: Trained scores, sketches and hashes are beyond SQL; the stages are tested against brute force.
+#: Trained scores, sketches and hashes are beyond SQL. Near copies, the digests of passages and packing are tested against
+#: plain versions, each on its own; the text that ``passages`` leaves and the rows of ``run`` are not.
 ORACLE_SQL = None
 
 
