@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.llm import bpe, html_text, jaccard, license_scan, neighbours, packing, quality_model, quality_rules, repeats, sharding
+from stepwell.llm import (
+    bpe,
+    html_text,
+    jaccard,
+    lexical_search,
+    license_scan,
+    multi_index,
+    neighbours,
+    packing,
+    periodic_runs,
+    quality_model,
+    quality_rules,
+    repeats,
+    sharding,
+)
 from stepwell.llm.common import table
 
 
@@ -63,6 +77,50 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "shard", "depth")
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: of a tenth of the documents, chosen by id, the words go on with a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", h.alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.array_remove(F.split("text", r"[ \t-\r]+"), ""))
+    )
+    words = words.withColumn("n", F.size("words").cast("bigint")).withColumn("g", F.expr("h div 10"))
+    words = words.withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    words = words.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    planted = F.expr(
+        "array_join(concat(slice(words, 1, int(a)), slice(flatten(array_repeat(slice(words, int(a) + 1, int(p)),"
+        " int((n - a) div p + 1))), 1, int(n - a))), ' ')"
+    )
+    return words.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = periodic_runs.detect(with_planted_runs(table(spark, sf_dir, "documents")))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter")))
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = rows.withColumn("best", longest)
+    length, period = F.col("best.length"), -F.col("best.shorter")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.expr("1000 * best.length div -best.shorter").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     query.__name__: query
     for query in [
@@ -76,6 +134,9 @@ QUERIES = {
         op8_nearest_neighbours,
         op9_quality_rules,
         op10_sharding,
+        op11_embedding_near_dedup,
+        op12_periodic_runs,
+        op13_ranked_lexical_search,
     ]
 }
 ORACLE: dict[str, str] = {
@@ -96,4 +157,47 @@ ORACLE: dict[str, str] = {
         WHERE b <= {sharding.SHARD_BYTES} OR n = 1
         GROUP BY k.doc_id, n_bytes, h
     """,
+    # all pairs of a label, and the smallest id by steps along links
+    "op11_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS double[]) AS e FROM embeddings
+        ), l AS (
+            SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), r AS (
+            SELECT vec_id, vec_id AS c FROM v
+            UNION
+            SELECT l.u, r.c FROM r JOIN l ON l.w = r.vec_id WHERE r.c < l.u
+        ), n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+        SELECT r.vec_id, CAST(coalesce(any_value(n.n), 0) AS bigint) AS n_links, min(c) AS component_id, r.vec_id = min(c) AS kept
+        FROM r LEFT JOIN n ON n.u = r.vec_id GROUP BY r.vec_id
+    """,
+    "op13_ranked_lexical_search": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL
+        ), dl AS (SELECT doc_id, CAST(sum(tf) AS bigint) AS n FROM tf GROUP BY ALL
+        ), total AS (SELECT count(*) AS nn, CAST(sum(n) AS bigint) AS ll FROM dl
+        ), asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2.0::double * nn + 2) / (2.0::double * count(*) + 1))) AS bigint) AS w
+            FROM tf, total WHERE term IN (SELECT term FROM asked) GROUP BY term, nn
+        ), scored AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll)))) AS bigint) AS score
+            FROM asked JOIN tf USING (term) JOIN w USING (term) JOIN dl USING (doc_id), total
+            GROUP BY ALL HAVING score > 0
+        ), ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS integer) AS rank,
+                   doc_id, score
+            FROM scored
+        )
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
 }
