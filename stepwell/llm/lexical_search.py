@@ -28,6 +28,8 @@ from stepwell.llm.common import Stored, column
 
 #: A block is closed when it holds so many bytes of text or so many documents.
 BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 8192
+#: Terms by which the documents of a block are put in order.
+TELLING = 24
 #: Items that one search of a block takes at a time.
 PACK = 512
 
@@ -36,6 +38,8 @@ _TERM_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 _BITS = np.array([bin(i).count("1") for i in range(16)], np.int64)
+#: By bits of a cell and quarter: place of the quarter among those that are not empty, or -1.
+_PLACE = np.array([[_BITS[m & ((1 << q) - 1)] if m >> q & 1 else -1 for q in range(4)] for m in range(16)], np.int64)
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -65,6 +69,15 @@ class Treap:
         self.height, self.masks, self.most = height, masks, most
         #: place of the first quarter of every cell on the level below
         self.first = [np.r_[0, np.cumsum(_BITS[m])[:-1]] if len(m) else np.zeros(0, np.int64) for m in masks]
+        self.ids: list[np.ndarray] = []
+
+    def name(self, ids: np.ndarray) -> None:
+        """Take the documents of the columns; of every range of columns the smallest is held."""
+        far = np.full((1 << self.height) - len(ids) if len(ids) < 1 << self.height else 0, np.iinfo(np.int64).max)
+        levels = [np.r_[ids, far]]
+        for _ in range(self.height):
+            levels.append(levels[-1].reshape(-1, 2).min(1))
+        self.ids = levels[::-1]
 
     @classmethod
     def build(cls, rows: np.ndarray, columns: np.ndarray, impacts: np.ndarray, n_rows: int, n_columns: int) -> Treap:
@@ -105,31 +118,34 @@ class Treap:
         return cls(height, levels, most)
 
     def best(self, rows: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-        """(score, column) in falling order of the scores, equal ones from left to right, as long as a score above 0 and of
-        at least ``least`` can come. The caller sends the new least score to the generator.
+        """(score, document) in falling order of the scores, equal ones by ascending document, as long as a score above 0
+        and of at least ``least`` can come. The caller sends the new least score to the generator.
         """
         if not len(self.most[0]) or not len(rows):
             return
-        # bound, first column, level: of equal bounds the range further left comes first
-        heap = [(-int(weights.sum() * self.most[0][0]), 0, 0, rows, weights, np.zeros(len(rows), np.int64))]
+        sides = [((rows >> (self.height - 1 - level)) & 1) << 1 for level in range(self.height)]
+        every = np.arange(len(rows))
+        # bound, smallest document, level, place: of equal bounds the range of the smaller document comes first
+        heap = [(-int(weights.sum() * self.most[0][0]), int(self.ids[0][0]), 0, 0, every, np.zeros(len(rows), np.int64))]
         while heap:
-            bound, place, level, rows, weights, cells = heapq.heappop(heap)
+            bound, smallest, level, place, own, cells = heapq.heappop(heap)
             if -bound <= 0 or -bound < least:
                 return
             if level == self.height:
-                least = (yield -bound, place) or least
+                least = (yield -bound, smallest) or least
                 continue
-            masks, firsts, below = self.masks[level][cells], self.first[level][cells], self.most[level + 1]
-            depth = self.height - 1 - level
-            side = ((rows >> depth) & 1) << 1
+            ranks = _PLACE[self.masks[level][cells]]
+            firsts, below, side = self.first[level][cells], self.most[level + 1], sides[level][own]
+            line = np.arange(len(own))
             for half in (0, 1):
-                quarter = side | half
-                there = (masks >> quarter) & 1 == 1
-                if there.any():
-                    child = (firsts + _BITS[masks & ((1 << quarter) - 1)])[there]
-                    bound = int((weights[there] * below[child]).sum())
+                rank = ranks[line, side + half]
+                there = np.flatnonzero(rank >= 0)
+                if len(there):
+                    child, mine = (firsts + rank)[there], own[there]
+                    bound = int(weights[mine] @ below[child])
                     if bound >= least:
-                        heapq.heappush(heap, (-bound, place + (half << depth), level + 1, rows[there], weights[there], child))
+                        at = 2 * place + half
+                        heapq.heappush(heap, (-bound, int(self.ids[level + 1][at]), level + 1, at, mine, child))
 
 
 _BLOCK = pa.schema(
@@ -143,14 +159,27 @@ _BLOCK_DDL = (
 )
 
 
+def _order(rows: np.ndarray, columns: np.ndarray, n_rows: int, n_columns: int) -> np.ndarray:
+    """Columns with like frequent terms side by side, so that a range has few of the terms that others have."""
+    held = np.bincount(rows, minlength=n_rows)
+    telling = np.argsort(np.abs(held - n_columns / 4), kind="stable")[:TELLING]
+    bit = np.full(n_rows, -1)
+    bit[telling] = np.arange(len(telling))
+    own = bit[rows] >= 0
+    marks = np.zeros(n_columns, np.int64)
+    np.bitwise_or.at(marks, columns[own], np.int64(1) << (TELLING - 1 - bit[rows[own]]))
+    return np.argsort(marks, kind="stable")
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (doc_id, text) as blocks of counted terms, columns in order of doc_id."""
+    """Documents (doc_id, text) as blocks of counted terms, columns in order of the frequent terms they have."""
     number = TaskContext.get().partitionId() << 32
     names: dict[bytes, int] = {}
     ids, sizes, rows, counts, widths, size = [], [], [], [], [], 0
 
     def closed() -> pa.RecordBatch:
-        row, order = np.array(rows, np.int64), np.argsort(np.array(ids, np.int64), kind="stable")
+        row = np.array(rows, np.int64)
+        order = _order(row, np.repeat(np.arange(len(ids)), widths), len(names), len(ids))
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
         values = [number, sum(s > 0 for s in sizes), sum(sizes), [t.decode() for t in names]]
@@ -231,7 +260,7 @@ def _searcher(k: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 treap = Treap.load(*(batch.column(name)[i].as_py() for name in ("height", "masks", "gaps")))
-                ids = _unpack(batch.column("ids")[i].as_py(), "<i8")
+                treap.name(_unpack(batch.column("ids")[i].as_py(), "<i8"))
                 asked = batch.column("asked")[i].values
                 item, row, weight = (asked.field(name).to_numpy() for name in ("item", "row", "weight"))
                 order = np.argsort(item, kind="stable")
@@ -240,7 +269,7 @@ def _searcher(k: int):
                 out = []
                 for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)]):
                     own = leasts.setdefault(int(item[s]), [])
-                    found = _search(treap, ids, row[s:e], weight[s:e], own, k)
+                    found = _search(treap, row[s:e], weight[s:e], own, k)
                     out += [(int(item[s]), doc, score) for score, doc in found]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
@@ -248,18 +277,15 @@ def _searcher(k: int):
     return work
 
 
-def _search(treap: Treap, ids: np.ndarray, rows: np.ndarray, weights: np.ndarray, seen: list[int], k: int) -> list[tuple[int, int]]:
-    """The ``k`` best documents of a block that can matter; ``seen`` is a heap of the best scores of other blocks so far.
-
-    Columns are in order of ids, so equal scores come by ascending id.
-    """
+def _search(treap: Treap, rows: np.ndarray, weights: np.ndarray, seen: list[int], k: int) -> list[tuple[int, int]]:
+    """The ``k`` best documents of a block that can matter; ``seen`` is a heap of the best scores of other blocks so far."""
     least = seen[0] if len(seen) == k else 1
     found: list[tuple[int, int]] = []
     walk = treap.best(rows, weights, least)
     step = next(walk, None)
     while step is not None:
-        score, place = step
-        found.append((score, int(ids[place])))
+        score = step[0]
+        found.append(step)
         if len(seen) < k:
             heapq.heappush(seen, score)
         else:
