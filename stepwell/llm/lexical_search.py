@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 from stepwell.llm.common import Stored, column
 
 #: A block is closed when it holds so many bytes of text or so many documents.
-BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 8192
+BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 16384
 #: Terms by which the documents of a block are put in order.
 TELLING = 24
+#: Ranges that are halved at a time.
+TOGETHER = 64
 #: Items that one search of a block takes at a time.
 PACK = 512
 
@@ -37,9 +40,9 @@ PACK = 512
 _TERM_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
-_BITS = np.array([bin(i).count("1") for i in range(16)], np.int64)
+_BITS = np.array([bin(i).count("1") for i in range(16)], np.int32)
 #: By bits of a cell and quarter: place of the quarter among those that are not empty, or -1.
-_PLACE = np.array([[_BITS[m & ((1 << q) - 1)] if m >> q & 1 else -1 for q in range(4)] for m in range(16)], np.int64)
+_PLACE = np.array([[_BITS[m & ((1 << q) - 1)] if m >> q & 1 else -1 for q in range(4)] for m in range(16)], np.int32)
 
 
 def terms_of(text: bytes) -> list[bytes]:
@@ -63,33 +66,36 @@ def _spread(x: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Treap:
-    """Grid of impacts, read by rows that descend together."""
+    """Grid of impacts, read by rows that descend together. Cells of all levels are numbered in level order."""
 
     def __init__(self, height: int, masks: list[np.ndarray], most: list[np.ndarray]):
-        self.height, self.masks, self.most = height, masks, most
-        #: place of the first quarter of every cell on the level below
-        self.first = [np.r_[0, np.cumsum(_BITS[m])[:-1]] if len(m) else np.zeros(0, np.int64) for m in masks]
-        self.ids: list[np.ndarray] = []
+        self.height, self.levels, self.maxima = height, masks, most
+        self.masks, self.most = np.concatenate([*masks, np.zeros(len(most[-1]), np.uint8)]), np.concatenate(most)
+        #: number of the first quarter of every cell
+        counts = _BITS[self.masks]
+        self.first = 1 + np.cumsum(counts, dtype=np.int32) - counts
+        self.smallest = np.zeros(0, np.int64)
 
     def name(self, ids: np.ndarray) -> None:
-        """Take the documents of the columns; of every range of columns the smallest is held."""
-        far = np.full((1 << self.height) - len(ids) if len(ids) < 1 << self.height else 0, np.iinfo(np.int64).max)
+        """Take the documents of the columns; of every range of columns the smallest is held, in level order."""
+        far = np.full((1 << self.height) - len(ids), np.iinfo(np.int64).max)
         levels = [np.r_[ids, far]]
         for _ in range(self.height):
             levels.append(levels[-1].reshape(-1, 2).min(1))
-        self.ids = levels[::-1]
+        self.smallest = np.concatenate(levels[::-1])
 
     @classmethod
     def build(cls, rows: np.ndarray, columns: np.ndarray, impacts: np.ndarray, n_rows: int, n_columns: int) -> Treap:
         height = max(1, int(max(n_rows, n_columns) - 1).bit_length())
         code = (_spread(rows, height) << 1) | _spread(columns, height)
         order = np.argsort(code, kind="stable")
-        code, most = code[order], impacts[order].astype(np.int64)
+        code, most = code[order], impacts[order].astype(np.int32)
         masks, maxima = [], [most]
         for _ in range(height):
             above = code >> 2
             cuts = np.flatnonzero(np.r_[True, above[1:] != above[:-1]]) if len(above) else np.zeros(0, np.int64)
-            masks.append(np.add.reduceat(1 << (code & 3), cuts) if len(cuts) else np.zeros(0, np.int64))
+            bits = (1 << (code & 3)).astype(np.uint8)
+            masks.append(np.bitwise_or.reduceat(bits, cuts) if len(cuts) else bits)
             most = np.maximum.reduceat(most, cuts) if len(cuts) else most
             maxima.append(most)
             code = above[cuts]
@@ -97,15 +103,15 @@ class Treap:
 
     def dump(self) -> dict[str, bytes]:
         """Bits of the cells and differences of the maxima, each level after the one above."""
-        gaps = [self.most[0]]
+        gaps = [self.maxima[0]]
         for level in range(self.height):
-            above = np.repeat(self.most[level], _BITS[self.masks[level]])
-            gaps.append(above - self.most[level + 1])
-        return {"masks": _pack(np.concatenate(self.masks), "u1"), "gaps": _pack(np.concatenate(gaps), "<i4")}
+            above = np.repeat(self.maxima[level], _BITS[self.levels[level]])
+            gaps.append(above - self.maxima[level + 1])
+        return {"masks": _pack(np.concatenate(self.levels), "u1"), "gaps": _pack(np.concatenate(gaps), "<i4")}
 
     @classmethod
     def load(cls, height: int, masks: bytes, gaps: bytes) -> Treap:
-        bits, gap = _unpack(masks, "u1").astype(np.int64), _unpack(gaps, "<i4").astype(np.int64)
+        bits, gap = _unpack(masks, "u1"), _unpack(gaps, "<i4")
         levels, most = [], [gap[:1]]
         at, seen = 0, min(1, len(gap))
         for _ in range(height):
@@ -121,31 +127,49 @@ class Treap:
         """(score, document) in falling order of the scores, equal ones by ascending document, as long as a score above 0
         and of at least ``least`` can come. The caller sends the new least score to the generator.
         """
-        if not len(self.most[0]) or not len(rows):
+        if not len(self.most) or not len(rows):
             return
-        sides = [((rows >> (self.height - 1 - level)) & 1) << 1 for level in range(self.height)]
-        every = np.arange(len(rows))
         # bound, smallest document, level, place: of equal bounds the range of the smaller document comes first
-        heap = [(-int(weights.sum() * self.most[0][0]), int(self.ids[0][0]), 0, 0, every, np.zeros(len(rows), np.int64))]
+        bound, every = int(weights.sum()) * int(self.most[0]), np.arange(len(rows))
+        heap = [(-bound, int(self.smallest[0]), 0, 0, every, np.zeros(len(rows), np.int64))]
         while heap:
-            bound, smallest, level, place, own, cells = heapq.heappop(heap)
-            if -bound <= 0 or -bound < least:
+            # the best ranges are halved together; a document is told once nothing better is open
+            taken: list[tuple] = []
+            while heap and len(taken) < TOGETHER and -heap[0][0] >= max(least, 1):
+                if heap[0][2] == self.height:
+                    if taken:
+                        break
+                    told = heapq.heappop(heap)
+                    least = (yield -told[0], told[1]) or least
+                else:
+                    taken.append(heapq.heappop(heap))
+            if not taken:
                 return
-            if level == self.height:
-                least = (yield -bound, smallest) or least
+            for entry in self._halved(taken, rows, weights, least):
+                heapq.heappush(heap, entry)
+
+    def _halved(self, taken: list[tuple], rows: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple]:
+        sizes = [len(entry[4]) for entry in taken]
+        own, cells = np.concatenate([e[4] for e in taken]), np.concatenate([e[5] for e in taken])
+        node = np.repeat(np.arange(len(taken)), sizes)
+        levels, places = np.array([e[2] for e in taken]), np.array([e[3] for e in taken])
+        ranks, firsts = _PLACE[self.masks[cells]], self.first[cells]
+        side = ((rows[own] >> (self.height - 1 - levels[node])) & 1) << 1
+        line = np.arange(len(own))
+        for half in (0, 1):
+            rank = ranks[line, side + half]
+            there = np.flatnonzero(rank >= 0)
+            if not len(there):
                 continue
-            ranks = _PLACE[self.masks[level][cells]]
-            firsts, below, side = self.first[level][cells], self.most[level + 1], sides[level][own]
-            line = np.arange(len(own))
-            for half in (0, 1):
-                rank = ranks[line, side + half]
-                there = np.flatnonzero(rank >= 0)
-                if len(there):
-                    child, mine = (firsts + rank)[there], own[there]
-                    bound = int(weights[mine] @ below[child])
-                    if bound >= least:
-                        at = 2 * place + half
-                        heapq.heappush(heap, (-bound, int(self.ids[level + 1][at]), level + 1, at, mine, child))
+            child, mine, of = (firsts + rank)[there], own[there], node[there]
+            starts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1]
+            bounds = np.add.reduceat(weights[mine] * self.most[child], starts)
+            ends, of = np.r_[starts[1:], len(of)], of[starts]
+            at = 2 * places[of] + half
+            smallest = self.smallest[(2 << levels[of]) - 1 + at]
+            for i in np.flatnonzero(bounds >= least).tolist():
+                s, e = starts[i], ends[i]
+                yield -int(bounds[i]), int(smallest[i]), int(levels[of[i]]) + 1, int(at[i]), mine[s:e], child[s:e]
 
 
 _BLOCK = pa.schema(
@@ -175,16 +199,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (doc_id, text) as blocks of counted terms, columns in order of the frequent terms they have."""
     number = TaskContext.get().partitionId() << 32
     names: dict[bytes, int] = {}
-    ids, sizes, rows, counts, widths, size = [], [], [], [], [], 0
+    ids, sizes, rows, counts, widths, size = [], [], array("i"), array("i"), [], 0
 
     def closed() -> pa.RecordBatch:
-        row = np.array(rows, np.int64)
+        row = np.frombuffer(rows, np.int32) if rows else np.zeros(0, np.int32)
         order = _order(row, np.repeat(np.arange(len(ids)), widths), len(names), len(ids))
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
         values = [number, sum(s > 0 for s in sizes), sum(sizes), [t.decode() for t in names]]
         values += [np.bincount(row, minlength=len(names)).tolist(), _pack(np.array(ids)[order], "<i8"), _pack(np.array(sizes)[order], "<i8")]
-        values += [_pack(row, "<i4"), _pack(np.repeat(place, widths), "<i4"), _pack(counts, "<i4")]
+        values += [_pack(row, "<i4"), _pack(np.repeat(place, widths), "<i4"), _pack(np.array(counts, np.int32), "<i4")]
         return pa.RecordBatch.from_pylist([dict(zip(_BLOCK.names, values))], schema=_BLOCK)
 
     for batch in batches:
@@ -193,11 +217,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield closed()
                 number += 1
                 names = {}
-                ids, sizes, rows, counts, widths, size = [], [], [], [], [], 0
+                ids, sizes, rows, counts, widths, size = [], [], array("i"), array("i"), [], 0
             words = terms_of(text)
             found = Counter(words)
-            rows += [names.setdefault(t, len(names)) for t in found]
-            counts += found.values()
+            rows.extend([names.setdefault(t, len(names)) for t in found])
+            counts.extend(found.values())
             widths.append(len(found))
             ids.append(doc_id)
             sizes.append(len(words))
