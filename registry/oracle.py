@@ -39,6 +39,18 @@ FROM lineitem"""
 STREAM_REQUESTS = """
 SELECT p_partkey AS request_id, p_brand, p_type, CAST(51 - p_size AS INTEGER) AS p_size FROM part"""
 
+ORDER_REQUESTS = """
+SELECT o_orderkey AS request_id, o_custkey % 120 AS l_suppkey, o_orderkey % 2000 AS l_partkey, 'R' AS l_returnflag,
+       o_orderstatus AS l_linestatus, CAST(o_orderkey % 7 + 1 AS INTEGER) AS l_linenumber
+FROM orders"""
+
+LINES_NOW = """(
+SELECT l_returnflag, l_linestatus, l_linenumber, l_discount, l_tax FROM lineitem
+WHERE NOT (l_linestatus = 'F' AND l_discount > CAST(0.04 AS DOUBLE))
+UNION ALL
+SELECT l_returnflag, l_linestatus, CAST(l_linenumber + 4 AS INTEGER), l_discount, l_tax + 1 FROM lineitem
+WHERE l_returnflag = 'A')"""
+
 SUPPLIER_REQUESTS = """
 SELECT s_suppkey AS request_id, s_nationkey AS c_nationkey, 'BUILDING' AS c_mktsegment
 FROM supplier"""
@@ -221,10 +233,21 @@ MESSAGE = "'Getting unique ' || {level} || ' to set selectInput choices: coming
 ORACLE = {
     "scan": "SELECT * FROM supplier",
     "write_table": "SELECT * FROM part",
+    "write_table_again": "SELECT *, 'before' AS state FROM part UNION ALL "
+    "SELECT *, 'after' AS state FROM part WHERE p_size > 25",
     "storage_size": f"SELECT count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM ({PART_FILE})",
     "label_domain": "SELECT 'O' || CAST(i AS VARCHAR) AS label "
     "FROM (SELECT unnest(range(1, (SELECT count(*) FROM orders) + 1)) AS i)",
     "combination_grid": PART_GRID,
+    "allowed_grid": f"""
+WITH b AS (SELECT *, row_number() OVER (ORDER BY p_brand) - 1 AS i, count(*) OVER () AS n
+           FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL)),
+t AS (SELECT *, row_number() OVER (ORDER BY p_type) - 1 AS i, count(*) OVER () AS n
+      FROM (SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL)),
+s AS (SELECT *, row_number() OVER (ORDER BY p_size) - 1 AS i
+      FROM (SELECT DISTINCT p_size FROM part WHERE p_size IS NOT NULL))
+SELECT CAST(b.i + b.n * (t.i + t.n * s.i) AS BIGINT) AS position, p_brand, p_type, p_size
+FROM b CROSS JOIN t CROSS JOIN s WHERE {rules_hold(PART_RULES)}""",
     "replicate_rows": f"SELECT c.* FROM customer c CROSS JOIN range({COPIES})",
     "stack_tables": "SELECT c_custkey, c_name AS name, c_nationkey AS nationkey, c_acctbal, c_mktsegment, "
     "CAST(NULL AS BIGINT) AS s_suppkey, CAST(NULL AS DOUBLE) AS s_acctbal FROM customer UNION ALL "
@@ -254,8 +277,13 @@ ORACLE = {
     "resolve_fill_missing": cascade(PART_REQUESTS_WITH_GAPS, "part", PART_LEVELS),
     "resolve_sparse": cascade(SUPPLY_REQUESTS, "lineitem", SUPPLY_LEVELS),
     "resolve_stored_index": cascade(PART_REQUESTS, "part", PART_LEVELS),
+    "resolve_buckets": cascade(ORDER_REQUESTS, "lineitem", SUPPLY_LEVELS),
+    "resolve_stream_buckets": cascade(ORDER_REQUESTS, "lineitem", SUPPLY_LEVELS),
+    "refresh_index": trace(RATE_REQUESTS, LINES_NOW, RATE_LEVELS),
+    "update_index": f"SELECT {', '.join(RATE_LEVELS)}, count(*) AS n_rows FROM {LINES_NOW} GROUP BY ALL",
     "resolve_stream": cascade(STREAM_REQUESTS, "part", PART_LEVELS),
     "cascade_trace": trace(PART_REQUESTS, "part", PART_LEVELS),
+    "cascade_trace_sparse": trace(SUPPLY_REQUESTS, "lineitem", SUPPLY_LEVELS),
     "trace_text": "SELECT request_id, array_to_string(['Order of events', 'Update start', "
     f"'Update p_type', 'Update p_size'], chr(10)) AS text FROM ({PART_REQUESTS})",
     "trace_messages": f"SELECT request_id, step, {MESSAGE.format(level='level', came_from='came_from')} AS message "
@@ -269,6 +297,7 @@ ORACLE = {
     ),
     "absent_pairs": pairs_missing("part", PART_LEVELS),
     "absent_ranges": ranges_missing("lineitem", ["l_suppkey", "l_partkey", "l_tax"]),
+    "absent_ranges_wide": ranges_missing("lineitem", ["l_tax", "l_partkey"]),
     "absent_pairs_lines": pairs_missing("lineitem", ["l_partkey", "l_tax", "l_discount"]),
     "check_rules": broken_counts("part", PART_RULES),
     "structure": columns_of(

@@ -85,6 +85,28 @@ def rate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_requests(orders: DataFrame) -> DataFrame:
+    """Per order: values that follow from its keys; some suppliers, parts and states do not occur."""
+    return orders.selectExpr(
+        "o_orderkey AS request_id",
+        "o_custkey % 120 AS l_suppkey",
+        "o_orderkey % 2000 AS l_partkey",
+        "'R' AS l_returnflag",
+        "o_orderstatus AS l_linestatus",
+        "CAST(o_orderkey % 7 + 1 AS INT) AS l_linenumber",
+    )
+
+
+def changed_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines that come, with another line number and tax, and lines that go."""
+    added = lines.filter("l_returnflag = 'A'").select(
+        *[c for c in RATE_LEVELS if c not in ("l_linenumber", "l_tax")],
+        (F.col("l_linenumber") + 4).alias("l_linenumber"),
+        (F.col("l_tax") + 1).alias("l_tax"),
+    )
+    return added, lines.filter("l_linestatus = 'F' AND l_discount > 0.04")
+
+
 def supplier_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per supplier: its nation and one market segment."""
     return table(spark, sf_dir, "supplier").select(
@@ -111,6 +133,16 @@ def write_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sw.scan(spark, path)
 
 
+def write_table_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is replaced by some of its own rows, under a reader."""
+    path = scratch(spark, sf_dir, f"write_table_again-{uuid4().hex}")
+    sw.write_table(table(spark, sf_dir, "part"), path)
+    before = sw.scan(spark, path)
+    sw.write_table(before.filter("p_size > 25"), path, partition_by=["p_type"])
+    after = sw.scan(spark, path).withColumn("state", F.lit("after"))
+    return before.withColumn("state", F.lit("before")).unionByName(after)
+
+
 def storage_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sw.storage_size(spark, f"{sf_dir}/part.parquet")
 
@@ -128,6 +160,12 @@ def combination_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sw.combination_grid(spark, {c: part.select(c) for c in PART_LEVELS})
 
 
+def allowed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid without what the rules exclude, numbered as the whole grid."""
+    part = table(spark, sf_dir, "part")
+    return sw.allowed_grid(spark, {c: part.select(c) for c in PART_LEVELS}, PART_RULES, position="position")
+
+
 def replicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sw.replicate_rows(table(spark, sf_dir, "customer"), COPIES, partitions=8)
 
@@ -141,7 +179,8 @@ def stack_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid, exclusion, replication and write, as the sample table is built."""
     path = scratch(spark, sf_dir, "build_table")
-    allowed = sw.exclude_pairs(combination_grid(spark, sf_dir), PART_RULES)
+    part = table(spark, sf_dir, "part")
+    allowed = sw.allowed_grid(spark, {c: part.select(c) for c in PART_LEVELS}, PART_RULES)
     sw.write_table(sw.replicate_rows(allowed, COPIES), path)
     return sw.scan(spark, path)
 
@@ -248,6 +287,47 @@ def resolve_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sw.resolve_selection(part_requests(spark, sf_dir), sw.read_index(spark, path))
 
 
+def supply_index_in_buckets(spark: SparkSession, sf_dir: str) -> sw.LevelIndex:
+    """Stored, with every level in buckets and none to be broadcast."""
+    path = scratch(spark, sf_dir, f"supply_index-{uuid4().hex}")
+    built = sw.build_index(table(spark, sf_dir, "lineitem"), SUPPLY_LEVELS, broadcast_bytes=0)
+    sw.write_index(built, path)
+    built.unpersist()
+    return sw.read_index(spark, path, broadcast_bytes=0)
+
+
+def resolve_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index too large to be broadcast stays where it is stored."""
+    requests = order_requests(table(spark, sf_dir, "orders"))
+    return sw.resolve_selection(requests, supply_index_in_buckets(spark, sf_dir))
+
+
+def resolve_stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for requests that arrive as a stream."""
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    requests = order_requests(sw.request_stream(spark, sf_dir, schema, "orders.parquet"))
+    name = f"resolve_stream_buckets-{uuid4().hex}"
+    answers = scratch(spark, sf_dir, name)
+    sw.answer_requests(requests, supply_index_in_buckets(spark, sf_dir), answers, name).awaitTermination()
+    return sw.scan(spark, answers)
+
+
+def refresh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps under an index that has followed lines that came and lines that went."""
+    lines = table(spark, sf_dir, "lineitem")
+    index = sw.refresh_index(sw.build_index(lines, RATE_LEVELS), *changed_lines(lines))
+    return sw.cascade_trace(rate_requests(spark, sf_dir), index)
+
+
+def update_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per combination in a stored index that was brought up to date in its place."""
+    lines = table(spark, sf_dir, "lineitem")
+    path = scratch(spark, sf_dir, f"update_index-{uuid4().hex}")
+    sw.write_index(sw.build_index(lines, RATE_LEVELS), path)
+    sw.update_index(spark, path, *changed_lines(lines))
+    return sw.read_index(spark, path).combinations.select(*RATE_LEVELS, "n_rows")
+
+
 def resolve_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests read as a stream of files: each part asks for its brand and type, the size turned round."""
     schema = spark.read.parquet(f"{sf_dir}/part.parquet").schema
@@ -268,6 +348,11 @@ def cascade_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sw.cascade_trace(part_requests(spark, sf_dir), part_index(spark, sf_dir))
 
 
+def cascade_trace_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """So many combinations that choices are counted in slices."""
+    return sw.cascade_trace(supply_requests(spark, sf_dir), table(spark, sf_dir, "lineitem"), SUPPLY_LEVELS)
+
+
 def trace_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sw.trace_text(cascade_trace(spark, sf_dir))
 
@@ -299,6 +384,11 @@ def absent_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sw.absent_ranges(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey", "l_tax"])
 
 
+def absent_ranges_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few values against a wide domain, whose gaps are found in slices."""
+    return sw.absent_ranges(table(spark, sf_dir, "lineitem"), ["l_tax", "l_partkey"], slice_width=256)
+
+
 def check_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sw.check_rules(table(spark, sf_dir, "part"), PART_RULES)
 
@@ -333,9 +423,11 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = [
     scan,
     write_table,
+    write_table_again,
     storage_size,
     label_domain,
     combination_grid,
+    allowed_grid,
     replicate_rows,
     stack_tables,
     build_table,
@@ -358,8 +450,13 @@ ALL = [
     resolve_fill_missing,
     resolve_sparse,
     resolve_stored_index,
+    resolve_buckets,
+    resolve_stream_buckets,
+    refresh_index,
+    update_index,
     resolve_stream,
     cascade_trace,
+    cascade_trace_sparse,
     trace_text,
     trace_messages,
     check_selection,
@@ -367,6 +464,7 @@ ALL = [
     absent_pairs,
     absent_pairs_lines,
     absent_ranges,
+    absent_ranges_wide,
     check_rules,
     structure,
     summary,

@@ -4,6 +4,6 @@ from stepwell import sample  # noqa: F401
 from stepwell.functions import *  # noqa: F401,F403
 from stepwell.operators import *  # noqa: F401,F403
 from stepwell.plans import *  # noqa: F401,F403
-from stepwell.session import local_session, shared_dir  # noqa: F401
+from stepwell.session import local_session, scratch, shared_dir, sweep  # noqa: F401
 from stepwell.sources import *  # noqa: F401,F403
 from stepwell.streaming import *  # noqa: F401,F403

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from stepwell.functions import append_entry, join_lines, update_message
 from stepwell.functions.names import column, quoted
 from stepwell.plans.index import LevelIndex, as_index
+from stepwell.session import stored
 
 
 #: So many different top values of requests are looked up by a filter on the index.
 FEW_VALUES = 1_000
+#: So many requests are hashed, for a join with a node in buckets, rather than the node sorted.
+HASHED_REQUESTS = 100_000
 
 
 def resolve_selection(
@@ -128,11 +131,11 @@ def check_selection(
     """First level of each request that is not valid under the values above it, else null."""
     index = as_index(source, levels)
     _check_types(requests, index)
-    node_of = _lookup(requests, index)
+    node_of, hashed = _lookup(requests, index, 1)
     found = requests
     for k in range(1, index.depth + 1):
         known = node_of(k).selectExpr(*_keys(k, f"__key{k}"), f"TRUE AS __found_{k}")
-        found = found.join(known, _match(map(quoted, index.levels[:k]), f"__key{k}"), "left")
+        found = hashed(found).join(known, _match(map(quoted, index.levels[:k]), f"__key{k}"), "left")
     invalid = ", ".join(f"CASE WHEN __found_{k} IS NULL THEN {k} END" for k in range(1, index.depth + 1))
     return found.selectExpr(quoted(request_id), f"CAST(coalesce({invalid}, NULL) AS INT) AS first_invalid_level")
 
@@ -160,8 +163,8 @@ def _descend(
     The request carries the first path below its settled values. At each level
     one lookup of the tested value either finds it, and brings the path below
     it, or does not: then the value comes from the carried path, whose rest
-    is still the right one. ``traced`` adds ``__old_k``, ``__kept_k`` and, from
-    a second lookup, ``__choices_k``.
+    is still the right one, and so are the numbers of choices along it. ``traced`` adds ``__old_k``, ``__kept_k`` and
+    ``__choices_k``.
     """
     if on_missing not in ("first", "skip"):
         raise ValueError(f"on_missing is 'first' or 'skip', not {on_missing!r}")
@@ -171,10 +174,10 @@ def _descend(
     if unknown:
         raise ValueError(f"not a level: {sorted(unknown)}")
 
-    path = index.path(start)
-    node_of = _lookup(requests, index)
+    node_of, hashed = _lookup(requests, index, start)
+    path = index.path(start) + (index.numbers(start) if traced else [])
     top = node_of(start).selectExpr(*_keys(start, "__top"), *[f"{c} AS __{c}" for c in path])
-    state = requests.join(top, _match(map(quoted, index.levels[:start]), "__top"), "left")
+    state = hashed(requests).join(top, _match(map(quoted, index.levels[:start]), "__top"), "left")
     columns = {c: quoted(c) for c in requests.columns}
     trace: list[str] = []
     for k in range(start + 1, stop + 1):
@@ -183,7 +186,7 @@ def _descend(
         tested = quoted(source)
         if requests.schema[source].dataType != index.schema[level].dataType:
             tested = f"try_cast({tested} AS {index.schema[level].dataType.simpleString()})"
-        path = index.path(k)
+        path = index.path(k) + (index.numbers(k) if traced else [])
         node = node_of(k).selectExpr(*_keys(k), *[f"{c} AS __hit_{c}" for c in path])
 
         def settled(value: str, fallback: str, name: str) -> str:
@@ -191,15 +194,10 @@ def _descend(
             return f"CASE WHEN __key_{k} IS NOT NULL THEN {value} {unset}ELSE {fallback} END AS {name}"
 
         kept = columns | {level: settled(tested, f"__first_{k}", quoted(level))}
-        joined = state.join(node, _match([*above, tested], "__key"), "left")
+        joined = hashed(state).join(node, _match([*above, tested], "__key"), "left")
         added = []
         if traced:
-            counts = index.counts(k).selectExpr(
-                *[f"key_{i} AS __up_{i}" for i in range(1, k)], f"n_choices AS __choices_{k}"
-            )
-            under = " AND ".join(f"{value} = __up_{i}" for i, value in enumerate(above, 1))
-            joined = joined.join(counts, F.expr(under), "left")
-            added = [f"__choices_{k}", f"{quoted(level)} AS __old_{k}", f"__key_{k} IS NOT NULL AS __kept_{k}"]
+            added = [f"__n_{k} AS __choices_{k}", f"{quoted(level)} AS __old_{k}", f"__key_{k} IS NOT NULL AS __kept_{k}"]
         state = joined.selectExpr(
             *kept.values(), *trace, *added, *[settled(f"__hit_{c}", f"__{c}", f"__{c}") for c in path]
         )
@@ -208,21 +206,51 @@ def _descend(
     return state
 
 
-def _lookup(requests: DataFrame, index: LevelIndex) -> Callable[[int], DataFrame]:
-    """Nodes by level, large ones reduced to the top values that the requests hold if these are few.
+def _lookup(
+    requests: DataFrame, index: LevelIndex, fixed: int
+) -> tuple[Callable[[int], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """Nodes by level, and how requests are to be joined with them.
+
+    The first ``fixed`` values of a request never change in the cascade, so combinations that begin otherwise match
+    nothing. A large node is reduced to the top values that the requests hold, if these are few, by a filter
+    that reaches the files; else to their prefixes, if these fit a broadcast, by a semi join before anything is shuffled.
+    Neither is done where the requests hold most of what there is.
 
-    The top value of a request never changes in the cascade, so the rest of a node can match nothing. A filter
-    reaches the files of a stored index and leaves little to shuffle.
+    A node stored in buckets stays where it is, and only the requests are shuffled, unless they are more than its rows.
     """
     large = [k for k in range(1, index.depth + 1) if not index.is_small(k)]
-    if not large or requests.isStreaming:
-        return index.node
+    if not large:
+        return index.node, lambda state: state
+    if requests.isStreaming:
+        return index.bucketed, _hashed if index.buckets else lambda state: state
     top = index.levels[0]
-    held = requests.select(column(top).alias("v")).distinct().limit(FEW_VALUES + 1).collect()
-    if len(held) > FEW_VALUES:
-        return index.node
-    values = [row["v"] for row in held if row["v"] is not None]
-    return lambda k: index.node(k).filter(F.col("key_1").isin(values)) if k in large else index.node(k)
+    held = requests.groupBy(column(top).alias("v")).count().limit(FEW_VALUES + 1).collect()
+    reduce: Callable[[DataFrame, int], DataFrame] = lambda node, k: node
+    if len(held) <= FEW_VALUES:
+        n_requests = sum(row["count"] for row in held)
+        values = [row["v"] for row in held if row["v"] is not None]
+        if 2 * len(values) <= index.measures[0]:
+            reduce = lambda node, k: node.filter(F.col("key_1").isin(values))
+    else:
+        names = [quoted(c) for c in index.levels[:fixed]]
+        prefixes, _ = stored(requests.select(*names).toDF(*index.keys(fixed)).groupBy(*index.keys(fixed)).count())
+        width = " + ".join(f"coalesce(octet_length(CAST({key} AS STRING)), 0) + 24" for key in index.keys(fixed))
+        n_requests, n_held, size = prefixes.selectExpr("sum(count)", "count(*)", f"sum({width})").first()
+        if size <= index.broadcast_bytes and 2 * n_held <= index.measures[fixed - 1]:
+            wanted = F.broadcast(prefixes.drop("count"))
+            reduce = lambda node, k: node.join(wanted, index.keys(fixed), "left_semi") if k >= fixed else node
+
+    def node_of(k: int) -> DataFrame:
+        if k not in large:
+            return index.node(k)
+        spread = n_requests <= index.measures[k - 1]
+        return reduce(index.bucketed(k) if spread else index.node(k), k)
+
+    return node_of, _hashed if index.buckets and n_requests <= HASHED_REQUESTS else lambda state: state
+
+
+def _hashed(state: DataFrame) -> DataFrame:
+    return state.hint("shuffle_hash")
 
 
 def _keys(k: int, name: str = "__key") -> list[str]:

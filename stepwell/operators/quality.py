@@ -45,21 +45,31 @@ def absent_pairs(
     return missing.join(place_of_b, ["col_b", "place"]).select(*PAIR_KEYS, "value_b")
 
 
-def absent_ranges(df: DataFrame, cols: Sequence[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
+def absent_ranges(
+    df: DataFrame, cols: Sequence[str], group_limit: int = GROUP_LIMIT, slice_width: int = SLICE_WIDTH
+) -> DataFrame:
     """``absent_pairs`` as ranges: (col_a, value_a, col_b, first_value, last_value, n_values).
 
     A range holds consecutive values of ``col_b``, in the order of their text, none of which occurs with the
     value. There is at most one range more than values seen, so the result grows with what occurs
-    and not with the product of the domains.
+    and not with the product of the domains. Gaps are found in slices of ``slice_width`` values; the last place seen
+    in a slice meets the first one of the next slice that holds any, so no task handles a whole domain for one value.
     """
     known = _numbered(df, cols, group_limit)
     if known is None:
         empty = "col_a string, value_a string, col_b string, first_value string, last_value string, n_values bigint"
         return df.sparkSession.createDataFrame([], empty)
     seen, marks, _, place_of_b, size, _ = known
-    after = Window.partitionBy(*PAIR_KEYS).orderBy("place")
-    until = F.coalesce(F.lead("place").over(after), size)
-    gaps = seen.unionByName(marks).withColumns({"first": F.col("place") + 1, "last": until - 1}).filter("first <= last")
+    # the mark at -1 is in the first slice
+    sliced = seen.unionByName(marks).withColumn("slice", F.greatest(F.floor(F.col("place") / slice_width), F.lit(0)))
+    following = F.lead("first_place").over(Window.partitionBy(*PAIR_KEYS).orderBy("slice"))
+    slices = sliced.groupBy(*PAIR_KEYS, "slice").agg(F.min("place").alias("first_place"))
+    # where the next slice that holds anything begins, one row per slice
+    borders = slices.select(*PAIR_KEYS, "slice", F.coalesce(following, size).alias("border"))
+    after = Window.partitionBy(*PAIR_KEYS, "slice").orderBy("place")
+    placed = sliced.join(borders, [*PAIR_KEYS, "slice"])
+    until = F.coalesce(F.lead("place").over(after), F.col("border"))
+    gaps = placed.withColumns({"first": F.col("place") + 1, "last": until - 1}).filter("first <= last")
 
     def value_at(place: str) -> DataFrame:
         return place_of_b.select("col_b", F.col("place").alias(place), F.col("value_b").alias(f"{place}_value"))
@@ -157,7 +167,7 @@ def structure(df: DataFrame, n: int = 6, order_by: Sequence[str] = (), missing:
     """Name, type and first ``n`` values of each column, nulls shown as ``missing``."""
     head = preview(df, n, order_by)
     # at most n rows are left, so one task may number and list them
-    in_order = Window.orderBy(*order_by) if order_by else Window.orderBy(F.monotonically_increasing_id())
+    in_order = Window.orderBy(*map(column, order_by)) if order_by else Window.orderBy(F.monotonically_increasing_id())
     numbered = head.withColumn("__row", F.row_number().over(in_order))
     samples = []
     for position, field in enumerate(df.schema, 1):

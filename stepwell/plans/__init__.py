@@ -1,4 +1,4 @@
-from stepwell.plans.index import LevelIndex, as_index, build_index, read_index, write_index
+from stepwell.plans.index import LevelIndex, as_index, build_index, read_index, refresh_index, update_index, write_index
 from stepwell.plans.positions import dense_positions, positions_in_group
 
 __all__ = [
@@ -8,5 +8,7 @@ __all__ = [
     "dense_positions",
     "positions_in_group",
     "read_index",
+    "refresh_index",
+    "update_index",
     "write_index",
 ]

@@ -6,10 +6,17 @@ import atexit
 import re
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Name of the folder that holds the scratch folders of an application, before its id.
+SCRATCH = "stepwell-scratch-"
+_owned: set[str] = set()
+
 
 def local_session(app_name: str = "stepwell", cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks. On a cluster use the session the cluster gives."""
@@ -50,17 +57,78 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[list[str]] = []
+
+
+def new_folder(spark: SparkSession, kind: str = "stepwell") -> str:
+    """A scratch folder of its own in the shared folder, not made yet.
+
+    All scratch folders of an application lie under one, which goes when the application ends. Inside ``scratch`` a
+    folder goes at the end of the block.
+    """
+    root = f"{shared_dir(spark).rstrip('/')}/{SCRATCH}{spark.sparkContext.applicationId}"
+    if root not in _owned:
+        files, path = _open(spark, root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _owned.add(root)
+    folder = f"{root}/{kind}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(folder)
+    return folder
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end of the block, also of one that fails, every scratch folder made within it.
+
+    Tables that operators return may read scratch folders until they are written, so write them within the block. An index
+    built within it is gone afterwards; a stored one stays.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            remove_folder(spark, folder)
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 72.0) -> int:
+    """Delete what applications that were killed have left in the shared folder; the number of folders deleted.
+
+    An application counts as gone when none of its scratch folders was made or removed for so many hours.
+    """
+    files, shared = _open(spark, shared_dir(spark))
+    own = f"{SCRATCH}{spark.sparkContext.applicationId}"
+    before = (time.time() - older_than_hours * 3600) * 1000
+    gone = [
+        status.getPath()
+        for status in (files.listStatus(shared) if files.exists(shared) else [])
+        if status.getPath().getName().startswith(SCRATCH)
+        and status.getPath().getName() != own
+        and status.getModificationTime() < before
+    ]
+    for path in gone:
+        files.delete(path, True)
+    return len(gone)
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write a table to a folder of its own in the shared folder; the table as read back, and the folder.
+    """Write a table to a scratch folder of its own; the table as read back, and the folder.
 
     Nothing is shared by accident: a later call on the same plan reads its sources again.
     """
-    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/stepwell-{uuid.uuid4().hex}"
+    folder = new_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder that ``stored`` has made."""
+    """Delete a scratch folder."""
+    files, path = _open(spark, folder)
+    files.delete(path, True)
+
+
+def _open(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path

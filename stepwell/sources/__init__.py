@@ -1,4 +1,5 @@
 from stepwell.sources.generate import (
+    allowed_grid,
     combination_grid,
     label_domain,
     labels_up_to,
@@ -8,6 +9,7 @@ from stepwell.sources.generate import (
 from stepwell.sources.tables import scan, storage_size, write_table
 
 __all__ = [
+    "allowed_grid",
     "combination_grid",
     "label_domain",
     "labels_up_to",

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stepwell.functions import label
 from stepwell.functions.names import column, quoted
+from stepwell.operators.filters import PairRule
 from stepwell.plans.positions import dense_positions
 from stepwell.session import stored
 
@@ -83,11 +85,122 @@ def _domain(spark: SparkSession, name: str, values):
         raise ValueError(f"repeated value in the domain of {name!r}")
     if len(values) > MAX_LITERAL_VALUES:
         numbered = spark.createDataFrame(list(enumerate(values)), ["__digit", name])
-        return len(values), None, numbered
+        return len(values), None, numbered.withColumn(name, column(name).cast(_literal_type(spark, values)))
     literals = F.array(*[F.lit(v) for v in values])
     return len(values), lambda digit: F.get(literals, digit.cast("int")), None
 
 
+def _literal_type(spark: SparkSession, values: list):
+    """Type of a list of literals, which does not depend on how many there are."""
+    telling: dict = {}
+    for v in values:
+        kind = (type(v), v.as_tuple().exponent, len(v.as_tuple().digits)) if isinstance(v, Decimal) else type(v)
+        low, high = telling.get(kind, (v, v))
+        telling[kind] = (min(low, v), max(high, v)) if type(v) is int else (v, v)
+    literals = F.array(*[F.lit(v) for pair in telling.values() for v in pair])
+    return spark.range(0).select(literals.alias("a")).schema["a"].dataType.elementType
+
+
+def allowed_grid(
+    spark: SparkSession,
+    domains: Mapping[str, Sequence | LabelRule | DataFrame],
+    rules: Iterable[PairRule | Sequence],
+    position: str | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """``exclude_pairs(combination_grid(domains), rules)``, without making the rows that go.
+
+    The grid grows column by column. A rule is applied when the second of its columns is added, among the numbers
+    of the new values and before there are rows for them, so no step makes more rows than there are allowed
+    prefixes. Rows, and the row numbers in ``position``, are those of the whole grid. The first columns are few rows; as soon
+    as these are enough they are dealt out to ``partitions`` tasks, once.
+    """
+    names = list(domains)
+    parts = [_domain(spark, name, values) for name, values in domains.items()]
+    total = reduce(lambda a, b: a * b, (size for size, _, _ in parts), 1)
+    if total > MAX_ROWS:
+        raise ValueError(f"grid of {total} rows does not fit a 64-bit row number")
+    rules = [PairRule(*rule) for rule in rules]
+    for rule in rules:
+        for name in (rule.col_a, rule.col_b):
+            if name not in domains:
+                raise ValueError(f"no column {name!r}")
+    unsure = {name: _digits_of(domains[name], part, name, None) for name, part in zip(names, parts) if _ruled(rules, name)}
+    partitions = partitions or spark.sparkContext.defaultParallelism
+
+    rows, made, dealt = spark.range(1).select(F.lit(0).cast("bigint").alias("__row")), 1, False
+    stride = 1
+    for k, (name, part) in enumerate(zip(names, parts)):
+        size = part[0]
+        if size > COPIES_PER_STEP:
+            starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"), F.lit(COPIES_PER_STEP).cast("bigint")))
+            rows = rows.select("*", starts.alias("__start")).repartition(partitions)
+            last = F.least(F.col("__start") + COPIES_PER_STEP, F.lit(size)) - 1
+            new, dealt = F.sequence(F.col("__start"), last), True
+        elif size:
+            new = F.sequence(F.lit(0).cast("bigint"), F.lit(size - 1).cast("bigint"))
+        else:
+            new = F.array().cast("array<bigint>")
+        before = [f"__digit_{i}" for i in range(k)]
+        kept = F.filter(new, _allowed(k, names, rules, domains, parts, unsure))
+        rows = rows.select("__row", *before, F.explode(kept).alias(f"__digit_{k}"))
+        rows = rows.withColumn("__row", F.col("__row") + F.col(f"__digit_{k}") * stride)
+        stride *= max(size, 1)
+        made *= size
+        if not dealt and k + 1 < len(names) and made >= 4 * partitions:
+            rows, dealt = rows.repartition(partitions), True
+    for k, (name, (_, value_at, table)) in enumerate(zip(names, parts)):
+        if table is None:
+            rows = rows.withColumn(name, value_at(column(f"__digit_{k}")))
+        else:
+            rows = rows.join(table.withColumnRenamed("__digit", f"__digit_{k}"), f"__digit_{k}")
+    if position:
+        rows = rows.withColumn(position, F.col("__row"))
+    return rows.select(*map(quoted, [*([position] if position else []), *names]))
+
+
+def _allowed(k: int, names: list[str], rules: Sequence[PairRule], domains: Mapping, parts: list, unsure: Mapping):
+    """Test of a digit of column ``k`` against the digits before it: no rule that ends with this column drops the row."""
+
+    def hits(name: str, value, digit: Column) -> Column:
+        # a test on a null is unknown, and an unknown row goes too
+        i = names.index(name)
+        return _hits(digit if i == k else F.col(f"__digit_{i}"), value, domains[name], parts[i], name, unsure)
+
+    def test(digit: Column) -> Column:
+        keep = F.lit(True)
+        for rule in rules:
+            if max(names.index(rule.col_a), names.index(rule.col_b)) == k:
+                keep = keep & ~(hits(rule.col_a, rule.value_a, digit) & hits(rule.col_b, rule.value_b, digit))
+        return keep
+
+    return test
+
+
+def _ruled(rules: Sequence[PairRule], name: str) -> bool:
+    return any(name in (rule.col_a, rule.col_b) for rule in rules)
+
+
+def _hits(digit: Column, value, domain, part, name: str, unsure: Mapping[str, list[int]]) -> Column:
+    """Whether a test for ``value`` is true or unknown at a digit."""
+    if value is None:
+        return F.lit(True)
+    digits = [*_digits_of(domain, part, name, value), *unsure[name]]
+    return digit.isin(digits) if digits else F.lit(False)
+
+
+def _digits_of(domain, part, name: str, value) -> list[int]:
+    """The digit of a value, None for the null; a value outside the domain has none."""
+    size, _, table = part
+    if isinstance(domain, LabelRule):
+        tail = value[len(domain.prefix) :] if isinstance(value, str) and value.startswith(domain.prefix) else ""
+        return [int(tail) - 1] if tail.isdecimal() and str(int(tail)) == tail and 1 <= int(tail) <= size else []
+    if table is not None:
+        test = column(name).isNull() if value is None else column(name) == F.lit(value)
+        return [row[0] for row in table.filter(test).select("__digit").collect()]
+    return [i for i, v in enumerate(domain) if (v is None if value is None else v == value)]
+
+
 def replicate_rows(df: DataFrame, n: int, partitions: int | None = None) -> DataFrame:
     """Every row ``n`` times.
 
