@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwell.llm.common import Stored, column
-from stepwell.llm.components import components
+from stepwell.llm.components import components, merged
 from stepwell.llm.shingles import fingerprint, prefix_length, shingle_sets, similar
 
 DISTANCE = 0.25
@@ -357,18 +357,20 @@ def _groups(docs: DataFrame, doc_id: str, text: str, store: Stored) -> tuple[Dat
     members, texts = regions(own, rows, store)
     members = store.keep(members)
     sizes = store.keep(rows.join(texts.select("node"), "node", "left_semi").groupBy("node").agg(F.max("n").alias("n")))
-    tested, labels, in_blocks = None, None, None
+    tested, labels = None, None
 
-    def label() -> None:
+    def label(links: DataFrame) -> None:
         nonlocal labels
-        links = tested.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = store.keep(components(links if in_blocks is None else links.unionByName(in_blocks), store))
+        before = labels
+        labels = store.keep(components(links, store) if before is None else merged(before, links, store))
+        if before is not None:
+            store.drop(before)
 
     def check(pairs: DataFrame) -> None:
         nonlocal tested
         found = store.keep(_distances(pairs, texts))
         tested = found if tested is None else tested.unionByName(found)
-        label()
+        label(found.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # first round: every node with the pivots of most of its regions; nodes are hashes, so the least is any of them
     pivots = members.groupBy("h").agg(F.min("node").alias("p"), F.max("node").alias("_max")).filter("p <> _max")
@@ -384,9 +386,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, store: Stored) -> tuple[Dat
     large = members.join(sized.filter(F.col("c") > SMALL_REGION).select("h", "p"), "h")
     clusters = store.keep(components(large.select(F.col("node").alias("u"), F.col("p").alias("v")).distinct(), store))
     for scouts in (True, False) if not clusters.isEmpty() else ():
-        found = store.keep(_block_links(clusters, labels, texts, scouts))
-        in_blocks = found if in_blocks is None else in_blocks.unionByName(found)
-        label()
+        label(store.keep(_block_links(clusters, labels, texts, scouts)))
     members = store.keep(members.join(sized.filter(F.col("c") <= SMALL_REGION).select("h"), "h"))
 
     while True:
