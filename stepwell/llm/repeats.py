@@ -101,7 +101,10 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def rows_of(docs: DataFrame, doc_id: str, text: str, carry: bool) -> DataFrame:
-    """Per row: row number, doc_id, node (hash of the text), size, sha256 and the compressed text."""
+    """Per row: row number, doc_id, node (hash of the text), size, sha256 and the compressed text.
+
+    ``carry`` adds ``_row``, all columns of the row, with an empty text in place of one that is not null.
+    """
     schema = pa.schema(
         [("row", pa.int64()), ("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sha", pa.string()),
          ("body", pa.binary())]
@@ -126,7 +129,9 @@ def rows_of(docs: DataFrame, doc_id: str, text: str, carry: bool) -> DataFrame:
     picked = [column(doc_id).cast("bigint").alias("doc_id"), column(text).cast("string").alias("text")]
     out = StructType.fromDDL("row bigint, doc_id bigint, node bigint, size bigint, sha string, body binary")
     if carry:
-        picked.append(F.struct("*").alias("_row"))
+        # the text is in the body already
+        blank = F.when(column(text).isNotNull(), F.lit("")).alias(text)
+        picked.append(F.struct(*[blank if c == text else column(c) for c in docs.columns]).alias("_row"))
         out = StructType([*out, docs.select(picked[-1]).schema["_row"]])
     return docs.select(*picked).mapInArrow(work, out)
 
@@ -321,7 +326,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def spans(rows: DataFrame, store: Stored, shard_segments: int, shard_bytes: int) -> DataFrame:
-    """(node, lo, hi): runs of repeated starts of each text that occurs."""
+    """(node, lo, hi): runs of repeated starts of each text that occurs, stored."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.filter(F.col("size") >= DEPTH).select("node", "size", "body").mapInArrow(_send_anchors, _ANCHORS_DDL)
     # known repeats need no meeting; they go along with their document
@@ -340,7 +345,9 @@ def spans(rows: DataFrame, store: Stored, shard_segments: int, shard_bytes: int)
     searched = store.keep(spread.mapInArrow(lambda b: _shard(b, shard_bytes), _PARTS_DDL))
     strings = searched.filter(F.col("kind") == ONE).repartition(parts, "fp", F.substring("body", 1, 2))
     merged = strings.mapInArrow(_merge, _PARTS_DDL)
-    return searched.filter(F.col("kind") == KNOWN).unionByName(merged).select("node", "lo", "hi")
+    found = store.keep(searched.filter(F.col("kind") == KNOWN).unionByName(merged).select("node", "lo", "hi"))
+    store.drop(met, searched)
+    return found
 
 
 def remove(
@@ -351,7 +358,8 @@ def remove(
     shard_segments: int = SHARD_SEGMENTS,
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and ``_row``, its columns, and ``kept``, its text).
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row (and ``_row``, its columns with an empty
+    text, and ``kept``, the text that stays).
 
     A character that is removed in part is missing from ``kept``, which is text; the checksum is of the bytes. Null or empty text: no bytes, nothing removed. Rows of equal text of ``DEPTH`` bytes or more are
     removed whole, whatever their ids. Texts shorter than that stay. No rows give no rows.
@@ -359,7 +367,7 @@ def remove(
     store = Stored(docs.sparkSession)
     rows = store.keep(rows_of(docs, doc_id, text, with_text))
     copies = rows.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    found = store.keep(spans(rows, store, shard_segments, shard_bytes))
+    found = spans(rows, store, shard_segments, shard_bytes)
     # rows of a text that occurs twice go whole, so spans are joined to single rows only
     single = found.join(copies.select("node"), "node", "left_anti")
     by_node = single.groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
