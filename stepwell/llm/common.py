@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.session import shared_dir
+from stepwell.session import new_folder, remove_folder
 
 
 def quoted(name: str) -> str:
@@ -27,12 +25,13 @@ class Stored:
     """Intermediate tables of one call, as Parquet in the shared folder.
 
     A table that is used more than once is written once and read again: that cuts
-    its lineage, and a lost executor costs only the tasks it was running.
+    its lineage, and a lost executor costs only the tasks it was running. The folder goes when the application ends, or
+    with the ``stepwell.scratch`` block around the call.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, "llm")
         self.count = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -43,10 +42,7 @@ class Stored:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete stored tables that no later step reads."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for df in tables:
             for name in df.inputFiles():
-                path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-                path.getFileSystem(conf).delete(path, True)
+                remove_folder(self.spark, name.rsplit("/", 1)[0])
                 break
