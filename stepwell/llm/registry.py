@@ -157,6 +157,31 @@ ORACLE: dict[str, str] = {
         WHERE b <= {sharding.SHARD_BYTES} OR n = 1
         GROUP BY k.doc_id, n_bytes, h
     """,
+    # sets of shingles, counts of shared ones, and the smallest id by steps along links
+    "op3_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS l
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(
+                CASE WHEN len(l) >= 5 THEN list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' '))
+                     WHEN len(l) > 0 THEN [array_to_string(l, ' ')] END) AS sh
+            FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), p AS (
+            SELECT a.doc_id AS u, b.doc_id AS w, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT u, p.w FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = p.w WHERE 100 * c >= 75 * (x.n + y.n - c)
+        ), r AS (
+            SELECT doc_id, doc_id AS c FROM documents
+            UNION
+            SELECT l.u, r.c FROM r JOIN l ON l.w = r.doc_id WHERE r.c < l.u
+        )
+        SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS bigint) AS n_shingles, min(c) AS component_id
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
     # all pairs of a label, and the smallest id by steps along links
     "op11_embedding_near_dedup": """
         WITH RECURSIVE v AS (

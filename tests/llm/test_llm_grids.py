@@ -1,8 +1,10 @@
 """Inverted multi-index, periodic runs and ranked search against plain versions."""
 
+import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -251,3 +253,35 @@ def test_treap_round_trip():
     read = lexical_search.Treap.load(built.height, **built.dump())
     for name in ("masks", "most", "first"):
         assert (getattr(built, name) == getattr(read, name)).all()
+
+
+def test_registered_runs_equal_a_plain_version(spark):
+    """Texts with planted periods, digests and all, from the contract's words alone."""
+    pytest.importorskip("public_tokenizers")
+    from stepwell.llm import registry
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: tuple(r) for r in registry.op12_periodic_runs(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    compared = 0
+    for doc_id, text in docs:
+        words = re.findall("[^\x20\x09-\x0d]+", text or "")
+        h, n = zlib.crc32(str(doc_id).encode()), len(words)
+        if n > 3000:
+            continue  # the plain version takes the square of it
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        runs = plain_runs(words)
+        dropped = {i for s, m, q in runs for i in range(s + q, s + m)}
+        best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=None)
+        told = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+        lines = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
+        kept = " ".join(w for i, w in enumerate(words) if i not in dropped)
+        digests = [hashlib.sha256(x.encode()).hexdigest() for x in (lines, kept)]
+        assert got[doc_id] == (doc_id, len(runs), *told, *digests)
+        compared += 1
+    assert compared > 150

@@ -24,6 +24,10 @@ COLUMNS = {
     "op9_": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint",
              "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op10_": {"doc_id": "bigint", "n_bytes": "bigint", "shard": "string", "depth": "int"},
+    "op11_": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op12_": {"doc_id": "bigint", "n_runs": "bigint", "start": "bigint", "length": "bigint", "period": "bigint",
+              "exponent_milli": "bigint", "runs_sha256": "string", "collapsed_sha256": "string"},
+    "op13_": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
 }
 
 
@@ -33,7 +37,7 @@ def test_query_has_its_columns_and_rows(spark, prefix):
     assert len(names) == 1
     result = contract.queries()[names[0]](spark, SF_DIR)
     assert COLUMNS[prefix].items() <= dict(result.dtypes).items()
-    source = {"op1_": "pages", "op8_": None}.get(prefix, "documents")
+    source = {"op1_": "pages", "op8_": None, "op11_": "embeddings", "op13_": None}.get(prefix, "documents")
     if source and prefix != "op5_":
         assert result.count() == spark.read.parquet(f"{SF_DIR}/{source}.parquet").count()
 
