@@ -145,3 +145,24 @@ def base_licences(text: str | None) -> tuple:
     ]
     starts = [i for i, _ in at]
     return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
+
+
+def licence_labels(text: str | None, templates: list[tuple[str, str, str]], least: float, common: set[str], near: int) -> tuple[str, float]:
+    """Labels and score: every template laid at every place. A common word counts near a rarer one of any template."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+    rare = {w for _, template, _ in templates for w in template.split()} - common
+    counts = [w in rare or any(x in rare for x in words[max(0, i - near) : i + near + 1]) for i, w in enumerate(words)]
+    base = base_licences(text)[4]
+    labels, score = {x for x in base.split(",") if x}, 1.0 if base else 0.0
+    for label, template, phrase in templates:
+        want, key = template.split(), phrase.split()
+        inner = next(i for i in range(len(want)) if want[i : i + len(key)] == key)
+        for at in range(-len(want) + 1, len(words)):
+            start = at + inner
+            if start < 0 or words[start : start + len(key)] != key:
+                continue
+            share = sum(0 <= at + q < len(words) and counts[at + q] and words[at + q] == w for q, w in enumerate(want)) / len(want)
+            if share >= least:
+                labels.add(label)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score

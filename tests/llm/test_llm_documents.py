@@ -49,6 +49,42 @@ def test_licence_templates(spark):
     assert found[4].base_labels == "mit" and found[4].first_word == 2
 
 
+def test_key_phrases_stand_word_for_word(spark):
+    rows = [
+        (1, "licensed under cc or nc 4 0"),
+        (2, "licensed under cc and sa 4 0"),
+        (3, "permission to use copy modify and or distribute this software for any purpose xx yy without fee"),
+        (4, "you may not use this file except for compliance on a license"),
+        (5, "you may not use this file except in compliance with the license"),
+        (6, "released under THE BSD license"),
+        (7, "released into the BSD license"),
+        (None, "all rights reserved"),
+        (8, "the " * 30_000 + "all rights reserved " * 10_000),
+    ]
+    found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [found[i].labels for i in (1, 2, 3, 4, 5, 6)] == ["", "", "", "", "apache", "bsd"]
+    assert found[6].score == 1 and found[7].score == 0.8 and found[7].labels == "bsd"
+    assert found[None].labels == "proprietary" and found[8].labels == "proprietary"
+
+
+def test_licence_labels_and_score_against_brute_force(spark, docs, texts):
+    extra = [t for _, t, _ in license_scan.TEMPLATES]
+    # one word of each template replaced in turn, and a template cut short
+    for n, (_, text, _) in enumerate(license_scan.TEMPLATES):
+        words = text.split()
+        extra += [" ".join([*words[: n % len(words)], "zz", *words[n % len(words) + 1 :]]), " ".join(words[: len(words) * 2 // 3])]
+    rows = [*enumerate(extra), *((1000 + i, t) for i, (_, t) in enumerate(texts))]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {key: cases.licence_labels(t, license_scan.TEMPLATES, license_scan.SHARE, license_scan.COMMON, license_scan.NEAR) for key, t in rows}
+
+
+def test_common_words_of_templates_stand_near_rarer_ones():
+    for _, text, phrase in license_scan.TEMPLATES:
+        for words in (text.split(), phrase.split()):
+            rare = [i for i, w in enumerate(words) if w not in license_scan.COMMON]
+            assert all(min(abs(i - r) for r in rare) <= license_scan.NEAR for i in range(len(words))), words
+
+
 def test_several_licences_in_one_file(spark):
     texts = {" ".join(labels): [t for label, t, _ in license_scan.TEMPLATES if label in labels] for labels in (
         ["bsd", "mit", "proprietary"], ["apache", "mpl", "proprietary"], ["isc", "gpl", "lgpl", "unlicense", "cc0", "proprietary"],
