@@ -25,13 +25,17 @@ SYMBOLS = "[#*$%&|<>]+"
 #: Low bits of a packed window: its position; a string has fewer than 2**30 words.
 PLACE_BITS = 30
 
-#: Ratio -> distance between the median and the limit where the quantiles tell none: a ratio that is
-#: zero in a tenth of the group is cut off at zero, so what lies below its median says nothing about it.
+#: Ratio -> prior distance between the median and the limit, for a group whose quantiles below the median tell none: a ratio
+#: that is zero in a tenth of the group is cut off at zero. The prior is scaled by what the sketch says of the positive part:
+#: ``REACH`` times its upper quartile over the prior, from 1/SWING to SWING, to the power of the share of documents that are positive.
+#: So a group where few have any keeps near the prior, and one where most have some gets a limit of its own.
 RATIOS = {"symbol_ratio": 0.15, "dup_line_ratio": 0.4, "repeat_ratio": 0.25, "capital_ratio": 0.3, "bang_ratio": 0.15}
+SWING = 2.0
 #: Elsewhere a limit lies so many times as far above the median as the 10 % quantile lies below it. Junk has
 #: high ratios: it takes up quantiles above the median first and, up to half of a group, none below it.
 REACH = 4.0
 LOWER = 0.1
+UPPER = 0.75
 #: Share of the distance in RATIOS that is the least one; a smaller difference has no meaning.
 LEAST = 0.1
 MIN_GROUP = 100
@@ -130,16 +134,31 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _base_failed() -> Column:
+    n, repeated = F.col("_m.n_words"), F.col("_m.n_repeat_words")
+    return (n < 50) | (100 * repeated > 50 * n)
+
+
 def limits(measured: DataFrame) -> DataFrame:
-    """Limit of each ratio per (_lang, _source), from sketches; one row per pair that occurs."""
+    """Limit of each ratio per (_lang, _source), from sketches; one row per pair that occurs.
+
+    Documents that fail the base rules are left out of the sketches. Where all of the corpus fails, limits are null.
+    """
+    sound = ~_base_failed()
+
+    def sketch_of(ratio: str, condition: Column) -> Column:
+        return F.kll_sketch_agg_double(F.when(condition, F.col(f"_m.{ratio}")), F.lit(SKETCH_K))
+
     sketches = measured.groupBy("_lang", "_source").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.kll_sketch_agg_double(F.col(f"_m.{r}"), F.lit(SKETCH_K)).alias(r) for r in RATIOS],
+        F.count_if(sound).alias("n"),
+        *[sketch_of(r, sound).alias(r) for r in RATIOS],
+        *[sketch_of(r, sound & (F.col(f"_m.{r}") > 0)).alias(f"some_{r}") for r in RATIOS],
     )
+    parts = [*RATIOS, *(f"some_{r}" for r in RATIOS)]
 
     def merged(by: list[str]) -> DataFrame:
         return sketches.groupBy(*by).agg(
-            F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in RATIOS]
+            F.sum("n").alias("n"), *[F.kll_merge_agg_double(r, F.lit(SKETCH_K)).alias(r) for r in parts]
         )
 
     by_lang, whole = merged(["_lang"]).alias("l"), merged([]).alias("w")
@@ -150,14 +169,20 @@ def limits(measured: DataFrame) -> DataFrame:
     )
 
     def limit(ratio: str, spread: float) -> Column:
-        sketch = (
-            F.when(F.col("s.n") >= MIN_GROUP, F.col(f"s.{ratio}"))
-            .when(F.col("l.n") >= MIN_GROUP, F.col(f"l.{ratio}"))
-            .otherwise(F.col(f"w.{ratio}"))
-        )
+        def chosen(name: str) -> Column:
+            return (
+                F.when(F.col("s.n") >= MIN_GROUP, F.col(f"s.{name}"))
+                .when(F.col("l.n") >= MIN_GROUP, F.col(f"l.{name}"))
+                .when(F.col("w.n") > 0, F.col(f"w.{name}"))
+            )
+
+        sketch = chosen(ratio)
         middle = F.kll_sketch_get_quantile_double(sketch, F.lit(0.5))
         lower = F.kll_sketch_get_quantile_double(sketch, F.lit(LOWER))
-        least = F.when(lower > 0, F.lit(LEAST * spread)).otherwise(F.lit(spread))
+        zeros = F.kll_sketch_get_rank_double(sketch, F.lit(0.0))
+        positive = F.when(zeros < 1, F.kll_sketch_get_quantile_double(chosen(f"some_{ratio}"), F.lit(UPPER)))
+        scale = F.least(F.greatest(F.lit(REACH / spread) * F.coalesce(positive, F.lit(0.0)), F.lit(1 / SWING)), F.lit(SWING))
+        least = F.when(lower > 0, F.lit(LEAST * spread)).otherwise(F.lit(spread) * F.pow(scale, 1 - zeros))
         return (middle + F.greatest(F.lit(REACH) * (middle - lower), least)).alias(f"max_{ratio}")
 
     return joined.select(
@@ -182,8 +207,7 @@ def judge(
     )
     cut = limits(measured).select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), *[f"max_{r}" for r in RATIOS])
     joined = measured.join(cut, F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_source").eqNullSafe(F.col("_s")), "left")
-    n, repeated = F.col("_m.n_words"), F.col("_m.n_repeat_words")
-    failed = (n < 50) | (100 * repeated > 50 * n)
+    failed = _base_failed()
     usual = F.lit(True)
     for ratio in RATIOS:
         usual = usual & (F.col(f"_m.{ratio}") <= F.col(f"max_{ratio}"))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
@@ -137,6 +138,44 @@ def test_junk_does_not_move_its_own_limit(spark, n_junk):
     assert {key for key, r in judged.items() if r.kept} == {row[0] for row in clean + german}
 
 
+def test_every_limit_follows_its_group(spark):
+    """Two sources whose documents have some symbols, repeats and so on: few and small ones, or more and larger ones."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(600):
+        source, share, size = ("calm", 0.6, 1) if i % 2 else ("lively", 0.8, 6)
+        words = [f"w{i}x{j}" for j in range(200)]
+        if rng.random() < share:
+            for k in range(size):
+                words[10 * k] += "#!"
+                words[10 * k + 5] = f"AAAA{k}"
+        lines = [" ".join(words[j : j + 10]) for j in range(0, 200, 10)]
+        if rng.random() < share:
+            lines[1 : 1 + size] = [lines[0]] * size
+        rows.append((i, "\n".join(lines), "en", source, 0))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    measured = quality_rules.measures(df).select("_m", F.col("_row.lang").alias("_lang"), F.col("_row.source").alias("_source"))
+    found = {r._source: r for r in quality_rules.limits(measured).collect()}
+    for ratio in quality_rules.RATIOS:
+        assert abs(found["calm"][f"max_{ratio}"] / found["lively"][f"max_{ratio}"] - 1) > 0.02, ratio
+    assert found["calm"].max_repeat_ratio < found["lively"].max_repeat_ratio
+    assert quality_rules.filter_documents(df).count() == 600
+
+
+def test_kept_is_base_and_the_limits_of_the_group(spark, docs):
+    """The verdict again from the limits, row by row."""
+    measured = quality_rules.measures(docs).select(
+        "_m", F.col("_row.doc_id").alias("doc_id"), F.col("_row.lang").alias("_lang"), F.col("_row.source").alias("_source")
+    )
+    cut = {(r._lang, r._source): r for r in quality_rules.limits(measured).collect()}
+    want = Counter()
+    for r in measured.collect():
+        m, limit = r._m, cut[r._lang, r._source]
+        failed = m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words
+        want[r.doc_id, not failed and all(m[x] <= limit[f"max_{x}"] for x in quality_rules.RATIOS)] += 1
+    assert counted(quality_rules.judge(docs, carry=["doc_id"]).select("_row.doc_id", "kept"), "*") == want
+
+
 def test_quality_limits_are_tighter_where_a_source_varies_little(spark):
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)]
 
