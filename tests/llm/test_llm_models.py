@@ -107,7 +107,38 @@ def test_prior_is_estimated_from_the_tails():
     rng = np.random.default_rng(0)
     positive = rng.uniform(0.6, 1, 4000)
     unlabelled = np.r_[rng.uniform(0.6, 1, 7000), rng.uniform(0, 0.5, 3000)]
-    assert abs(quality_model.estimated_prior(positive, unlabelled) - 0.7) < 0.03
+    cuts = quality_model.prior_cuts(positive)
+    above = np.array([(unlabelled >= c).sum() for c in cuts])
+    assert abs(quality_model.estimated_prior(positive, cuts, above, len(unlabelled)) - 0.7) < 0.03
+
+
+def test_all_unlabelled_rows_count(spark):
+    """Cells and score tails against plain sums, with fewer seeds than rows, over several tasks and an empty one."""
+    rng = np.random.default_rng(1)
+    x = np.r_[rng.normal(0, 1, (300, quality_model.N_FEATURES)), rng.normal(8, 1, (100, quality_model.N_FEATURES))]
+    rows = spark.createDataFrame([(i, bytearray(v.astype("<f8").tobytes())) for i, v in enumerate(x)], "_id bigint, x binary").repartition(7)
+    rows = rows.unionByName(rows.limit(0))
+    seeds = x[[0, 5, 350]]
+    means, counts = quality_model._gathered(rows, seeds, np.zeros(x.shape[1]), np.ones(x.shape[1]))
+    nearest = ((np.clip(x, -6, 6)[:, None] - np.clip(seeds, -6, 6)[None]) ** 2).sum(2).argmin(1)
+    assert counts.tolist() == np.bincount(nearest).tolist() and counts[-1] >= 100
+    assert np.allclose(means, [x[nearest == i].mean(0) for i in range(3)])
+    model = quality_model.fit(x[300:350], means, counts, 0.3)
+    scores = model.score(x)
+    cuts = np.quantile(scores, [0, 0.3, 0.9, 1])
+    assert np.abs(quality_model._above(rows, model, cuts) - [(scores >= c).sum() for c in cuts]).max() <= 1
+
+
+def test_repeated_ids_count_once(spark):
+    """A row that is repeated thousands of times leaves the model as it is."""
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, f"Plain words {i} in a row. " * 20 if i % 3 else "### $$$ " * i, "en", "s", 0) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 60, 2)], "doc_id bigint, quality int")
+    once = quality_model.scored(spark.createDataFrame(rows, schema), labels)
+    often = quality_model.scored(spark.createDataFrame(rows + rows[7:8] * 3000, schema), labels)
+    want = {r.doc_id: r.score for r in once.select("_row.doc_id", "score").collect()}
+    got = often.select("_row.doc_id", "score").collect()
+    assert len(got) == 3120 and all(abs(r.score - want[r.doc_id]) < 1e-9 for r in got)
 
 
 def nearest_brute(rows, k=5):
