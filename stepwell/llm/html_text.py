@@ -2,9 +2,10 @@
 
 Every page becomes a tree. Each node gets its characters per tag, adjusted for links: text
 that is mostly links counts little. The sum of the densities of a node's children is
-largest at the node that directly holds the article's paragraphs. The least density on
-the path from there to the body is the page's threshold; the subtree is widened to the
-parent as long as a sibling reaches it. Elements that are never article text by their tag or
+largest at the node that directly holds the article's paragraphs. An enclosing article or main element
+is the result. Elsewhere each step of the path to the body has a threshold, half of the largest density on the path so
+far: what stands beside the path is taken along where it reaches the threshold, and so are headings before it; a menu, a
+list of headlines or a line of copyright is not. Elements that are never article text by their tag or
 role are cut out before, and those named as menus, adverts, comments and so on by class or id,
 unless they wrap the article: a name may also say what a wrapper has beside the text.
 
@@ -57,6 +58,9 @@ NOISE_NAMES = frozenset(
 )
 #: Names that articles have too: cut only where the text is thinner than that of the page.
 AMBIGUOUS = frozenset("share sharing social related recommended notice notices alert search form menu reply respond sponsor subscription".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What stands beside the article has this share of its density, or more.
+BESIDE = 0.5
 KEPT = frozenset("html body article main".split())
 #: An element that holds more of the page's unlinked text than this wraps the page.
 WRAPS = 0.5
@@ -93,6 +97,10 @@ class Page:
         self.tags, self.parents, self.noise = ["#root"], [0], [CLEAN]
         self.texts: list[tuple[int, str]] = []
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) at a block's border
+        # depths in the stack: of the open elements of a tag, of blocks, of blocks that hold implied ends in
+        self.open: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]
+        self.containers: list[int] = [0]
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -125,6 +133,11 @@ class Page:
                 close = re.compile(f"</{re.escape(tag)}[\\s/>]", re.IGNORECASE).search(source, at)
                 at = source.find(">", close.start()) + 1 or end if close else end
             elif tag not in VOID and not attributes.endswith("/"):
+                self.open.setdefault(tag, []).append(len(stack))
+                if tag in BLOCK:
+                    self.blocks.append(len(stack))
+                    if tag not in CLOSES and tag != "p":
+                        self.containers.append(len(stack))
                 stack.append(node)
                 inside += tag in ("article", "main")
         if at < end:
@@ -138,17 +151,24 @@ class Page:
 
         ``near``: only within the enclosing list, table or container. An inline element is not closed across a block.
         """
-        for depth in range(len(stack) - 1, 0, -1):
-            own = self.tags[stack[depth]]
-            if own == tag:
-                ended = sum(self.tags[n] in ("article", "main") for n in stack[depth:])
-                del stack[depth:]
-                if tag in BLOCK:
-                    self.events.append((stack[-1], None))
-                return ended
-            if (near and own in BLOCK and own not in CLOSES and own != "p") or (not near and own in BLOCK and tag not in BLOCK):
-                return 0
-        return 0
+        at = self.open.get(tag)
+        if not at:
+            return 0
+        depth = at[-1]
+        barrier = self.containers if near else self.blocks if tag not in BLOCK else [0]
+        if barrier[-1] > depth:
+            return 0
+        ended = 0
+        for node in stack[depth:]:
+            self.open[self.tags[node]].pop()
+            ended += self.tags[node] in ("article", "main")
+        for depths in (self.blocks, self.containers):
+            while depths[-1] >= depth:
+                depths.pop()
+        del stack[depth:]
+        if tag in BLOCK:
+            self.events.append((stack[-1], None))
+        return ended
 
 
 def extract(source: str) -> str:
@@ -195,26 +215,41 @@ def extract(source: str) -> str:
     for node in range(1, n):
         sums[page.parents[node]] += dense[node]
     best = max(range(n), key=lambda i: (max(sums[i], 0.0 if any_child(i, page, chars) else dense[i]), -i)) if n > 1 else 0
-    # characters outside links per tag: the composite density also grows with a node's size
-    plain = [(chars[i] - link_chars[i]) / max(1, tags[i]) for i in range(n)]
-    path, node = [plain[best]], best
-    while node and page.tags[node] != "body":
-        node = page.parents[node]
-        path.append(plain[node])
-    threshold = min(path)
-    # widen: an enclosing article or main, then any parent with another child of sufficient density
-    node = best
+    node, landmark = best, None
     while node:
         if page.tags[node] in ("article", "main"):
-            best = node
+            landmark = node
         node = page.parents[node]
+    if landmark is not None:
+        return "\n".join(_blocks(page, {landmark}, cut))
     children: dict[int, list[int]] = {}
     for i in range(1, n):
         if chars[i]:
             children.setdefault(page.parents[i], []).append(i)
-    while best and any(i != best and plain[i] >= threshold for i in children.get(page.parents[best], ())):
-        best = page.parents[best]
-    return "\n".join(_blocks(page, best, cut))
+    # lists of links among the paragraphs themselves
+    for i in children.get(best, ()):
+        if page.tags[i] != "p" and link_tags[i] > 1 and 2 * link_chars[i] > chars[i] and dense[i] < BESIDE * dense[best]:
+            cut[i] = True
+    for i in range(best + 1, n):
+        cut[i] = cut[i] or cut[page.parents[i]]
+    tops, node, largest = {best}, best, 0.0
+    while node and page.tags[node] != "body":
+        largest = max(largest, dense[node])
+        for i in children.get(page.parents[node], ()):
+            if i != node and (dense[i] >= BESIDE * largest or (i < node and not link_chars[i] and _is_heading(page, children, i))):
+                tops.add(i)
+        node = page.parents[node]
+    return "\n".join(_blocks(page, tops, cut))
+
+
+def _is_heading(page: Page, children: dict[int, list[int]], node: int) -> bool:
+    """Whether all the text of an element lies in one heading."""
+    while page.tags[node] not in HEADINGS:
+        below = children.get(node, ())
+        if len(below) != 1:
+            return False
+        node = below[0]
+    return True
 
 
 def _wrappers(page: Page, own: list[int]) -> list[bool]:
@@ -256,9 +291,9 @@ def any_child(i: int, page: Page, chars: list[int]) -> bool:
     return i + 1 < len(page.tags) and page.parents[i + 1] == i
 
 
-def _blocks(page: Page, top: int, cut: list[bool]) -> Iterator[str]:
-    inside = [False] * len(page.tags)
-    inside[top] = True
+def _blocks(page: Page, tops: set[int], cut: list[bool]) -> Iterator[str]:
+    """Blocks of the elements ``tops``, in page order."""
+    inside = [node in tops for node in range(len(page.tags))]
     for node in range(1, len(page.tags)):
         inside[node] = inside[node] or inside[page.parents[node]]
     run: list[str] = []

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -38,6 +39,39 @@ PAGES = {
 }
 
 
+def plain_page(links, tag, wrapped):
+    """No name, role or tag tells the article from the rest, unless ``tag`` is article."""
+    menu = "<div>" + "".join(f"<a href=/s{i}>Section {i}</a> " for i in range(links)) + "</div>"
+    told = "The river rose by two feet on that night, and the mill by the bridge stood in the water until the next morning. "
+    inner = "<h1>The title</h1>" + "".join(f"<p>{told}{told}{i}</p>" for i in range(10))
+    heads = "<div>" + "".join(f"<div><a href=/h{i}>Another headline, number {i} of the day</a></div>" for i in range(6)) + "</div>"
+    middle = f"<div>{menu}<{tag}>{inner}</{tag}></div>" if wrapped else f"{menu}<{tag}>{inner}</{tag}>"
+    return f"<html><body>{middle}{heads}<div>Copyright 2024 Some Company, all rights reserved</div></body></html>"
+
+
+@pytest.mark.parametrize("links", [8, 20, 40])
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_density_alone_decides(links, tag, wrapped):
+    blocks = html_text.extract(plain_page(links, tag, wrapped)).split("\n")
+    assert len(blocks) == 11 and blocks[0] == "The title" and blocks[-1].endswith("morning. 9")
+
+
+def test_sections_and_headings_beside_the_densest_are_kept():
+    told = "The river rose by two feet on that night, and the mill by the bridge stood in the water until morning."
+    sections = [f"<div><h2>Part {i}</h2>" + f"<p>{told}</p>" * (3 + i) + "</div>" for i in range(3)]
+    page = "<body><div><a href=1>One</a> <a href=2>Two</a></div><h1>Title</h1><div>" + "".join(sections) + "</div></body>"
+    blocks = html_text.extract(page).split("\n")
+    assert blocks[0] == "Title" and len(blocks) == 1 + 3 + 12
+
+
+@pytest.mark.parametrize("unit", ["</b>", "</div>", "<b><div><i></b>", "<div>", "<p><i>", "</p></i>", "<li><span>"])
+def test_unmatched_tags_take_linear_time(unit):
+    start = time.monotonic()
+    html_text.extract("<html><body><div>" + unit * (500_000 // len(unit)))
+    assert time.monotonic() - start < 2
+
+
 @pytest.mark.parametrize("source", PAGES)
 def test_main_text(source):
     assert html_text.extract(source) == PAGES[source]
