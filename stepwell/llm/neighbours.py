@@ -2,12 +2,13 @@
 
 Rows with equal vectors are one node, so a vector that a third of the rows share is
 searched once. The graph starts from windows of a few orders along random projections and is improved by NN-descent:
-each round joins every node's neighbours (either direction) with one another and keeps the best per node. A
+each round joins every node's neighbours (either direction) with one another, as far as one of the two is new to the node, and
+keeps the best per node. Rounds go on until few edges change. A
 node that many others point to is salted into several local joins. A query walks the graph
 greedily: the best nodes found so far are expanded until none is left to expand.
 
 Graph work uses half-precision unit vectors; the scores returned are cosines of the
-original vectors in double precision.
+original vectors in double precision. A vector shorter than others counts as filled up with zeros.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from stepwell.llm.common import Stored, column
 DEGREE = 32
 #: Orders of the first graph, and rows compared with each other along an order.
 ORDERS, WINDOW = 4, 256
-ROUNDS = 4
+#: The graph is done when a round has replaced at most this share of its edges.
+CHANGED = 0.1
 #: Members of one local join, and new partners a member gets from it.
 JOIN_SIZE, JOIN_KEEP = 64, 6
-#: Nodes remembered per query and expanded per step; entry points; largest number of steps.
-BEAM, EXPAND, ENTRIES, STEPS = 256, 32, 16, 20
+#: Nodes remembered per query and expanded per step; entry points.
+BEAM, EXPAND, ENTRIES = 256, 64, 16
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float32())])
 _EDGE_DDL = "a bigint, b bigint, sim float"
@@ -69,8 +71,8 @@ def prepare(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return usable.select("vec_id", "v", F.row_number().over(same.orderBy("vec_id")).alias("place"))
 
 
-def _unit(nodes: DataFrame) -> DataFrame:
-    """node, half-precision unit vector, and a sort key for each order."""
+def _unit(nodes: DataFrame, dim: int) -> DataFrame:
+    """node, half-precision unit vector of ``dim`` components, and a sort key for each order."""
     schema = pa.schema([("node", pa.int64()), ("unit", pa.binary()), *[(f"o{i}", pa.float64()) for i in range(ORDERS)]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +83,6 @@ def _unit(nodes: DataFrame) -> DataFrame:
             sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
             flat = vectors.flatten().to_numpy(zero_copy_only=False)
             cuts = np.split(flat, np.cumsum(sizes)[:-1])
-            dim = int(sizes.max())
             x = np.zeros((len(cuts), dim))
             for i, c in enumerate(cuts):
                 x[i, : len(c)] = c
@@ -121,10 +122,12 @@ def _in_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partners that are better than the worst neighbour a member has, among members of one centre."""
+    """Partners that are better than the worst neighbour a member has, among members of one centre, one of them new to it."""
 
-    def join(ids: np.ndarray, worst: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        a, b, sim = _best(ids, x @ x.T, JOIN_KEEP)
+    def join(ids: np.ndarray, worst: np.ndarray, fresh: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        sims = x @ x.T
+        sims[np.ix_(~fresh, ~fresh)] = -2  # these have met here before
+        a, b, sim = _best(ids, sims, JOIN_KEEP)
         better = (sim > np.repeat(worst, len(a) // len(ids))) & (a != b)
         return _edges(a[better], b[better], sim[better])
 
@@ -152,66 +155,73 @@ def _of_centres(t: pa.Table, join, last: bool) -> Iterator[pa.RecordBatch]:
         starts, ends = starts[:-1], ends[:-1]
     if not len(starts):
         return
-    ids, worst = t["node"].to_numpy(), t["worst"].to_numpy()
+    ids, worst, fresh = t["node"].to_numpy(), t["worst"].to_numpy(), t["fresh"].to_numpy()
     x = _matrix(t["unit"].combine_chunks(), "<f2")
     out = []
     for i, j in zip(starts, ends):
         for k in range(i, j, JOIN_SIZE):  # salts keep groups about this size
-            if min(j, k + JOIN_SIZE) - k > 1:
-                own = slice(k, min(j, k + JOIN_SIZE))
-                out.append(join(ids[own], worst[own], x[own]))
+            own = slice(k, min(j, k + JOIN_SIZE))
+            if own.stop - k > 1 and fresh[own].any():
+                out.append(join(ids[own], worst[own], fresh[own], x[own]))
     if out:
         yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
 def _nearest(edges: DataFrame, keep: int, by: str = "a", other: str = "b") -> DataFrame:
-    """The best edges of each node."""
+    """The best edges of each node; an edge met again is not fresh."""
     order = Window.partitionBy(by).orderBy(F.desc("sim"), other)
-    single = edges.groupBy(by, other).agg(F.max("sim").alias("sim"))
+    single = edges.groupBy(by, other).agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
     return single.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= keep).drop("_r")
 
 
-def build_graph(units: DataFrame, store: Stored, rounds: int = ROUNDS) -> DataFrame:
-    """Edges (a, b, sim) to the nearest nodes found for every node."""
+def build_graph(units: DataFrame, store: Stored, changed: float = CHANGED) -> DataFrame:
+    """Edges (a, b, sim, fresh) to the nearest nodes found for every node."""
     first = None
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for order in range(ORDERS):
         sorted_rows = units.select("node", "unit", F.col(f"o{order}").alias("o")).repartitionByRange(parts, "o", "node")
         found = sorted_rows.sortWithinPartitions("o", "node").select("node", "unit").mapInArrow(_in_windows, _EDGE_DDL)
         first = found if first is None else first.unionByName(found)
-    edges = store.keep(_nearest(first, DEGREE))
-    for _ in range(rounds):
+    edges = store.keep(_nearest(first.withColumn("fresh", F.lit(True)), DEGREE))
+    # every round but the last replaces edges by better ones, so the rounds end
+    while True:
+        total, new = edges.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
+        if new <= changed * total:
+            return edges
         pointed = edges.groupBy(F.col("b").alias("centre")).agg(F.count(F.lit(1)).alias("n"))
         reverse = (
-            edges.select(F.col("b").alias("centre"), F.col("a").alias("node"))
+            edges.select(F.col("b").alias("centre"), F.col("a").alias("node"), "fresh")
             .join(pointed, "centre")
-            .select("centre", "node", F.expr(f"pmod(xxhash64(node), 1 + n div {JOIN_SIZE // 2})").alias("salt"))
+            .select("centre", "node", F.expr(f"pmod(xxhash64(node), 1 + n div {JOIN_SIZE // 2})").alias("salt"), "fresh")
         )
         # forward neighbours meet the first part of the reverse ones
-        forward = edges.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(0).cast("bigint").alias("salt"))
+        forward = edges.select(
+            F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(0).cast("bigint").alias("salt"), "fresh"
+        )
         worst = edges.groupBy(F.col("a").alias("node")).agg(
             F.when(F.count(F.lit(1)) >= DEGREE, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst")
         )
-        members = reverse.union(forward).dropDuplicates(["centre", "node"]).join(worst, "node").join(
-            units.select("node", "unit"), "node"
-        )
+        members = reverse.union(forward).groupBy("centre", "node").agg(F.min("salt").alias("salt"), F.max("fresh").alias("fresh"))
         joined = (
-            members.select("centre", "salt", "node", "worst", "unit")
+            members.join(worst, "node")
+            .join(units.select("node", "unit"), "node")
+            .select("centre", "salt", "node", "worst", "fresh", "unit")
             .repartition(parts, "centre", "salt")
             .sortWithinPartitions("centre", "salt", "node")
             .mapInArrow(_local_joins, _EDGE_DDL)
         )
-        better = store.keep(_nearest(edges.unionByName(joined), DEGREE))
+        old = edges.withColumn("fresh", F.lit(False))
+        better = store.keep(_nearest(old.unionByName(joined.withColumn("fresh", F.lit(True))), DEGREE))
         store.drop(edges)
         edges = better
-    return edges
 
 
-def search(queries: DataFrame, edges: DataFrame, units: DataFrame, store: Stored) -> DataFrame:
+def search(queries: DataFrame, edges: DataFrame, units: DataFrame, store: Stored, beam: int = BEAM) -> DataFrame:
     """Nodes found near each query (query, node): queries are nodes, given as one column ``query``."""
-    spark = queries.sparkSession
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-    graph = store.keep(_nearest(edges.unionByName(back), 2 * DEGREE))
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "fresh")
+    # one row per node: a step reads as many rows as there are nodes
+    graph = _nearest(edges.unionByName(back), 2 * DEGREE).groupBy(F.col("a").alias("node"))
+    graph = store.keep(graph.agg(F.collect_list("b").alias("near")))
     entries = [r["node"] for r in units.select("node").orderBy(F.xxhash64("node"), "node").limit(ENTRIES).collect()]
     start = queries.select("query", F.explode(F.array(F.col("query"), *map(F.lit, entries))).alias("node")).distinct()
     vectors = units.select("node", "unit")
@@ -229,14 +239,15 @@ def search(queries: DataFrame, edges: DataFrame, units: DataFrame, store: Stored
 
     state = store.keep(rated(start).withColumn("done", F.lit(False)))
     ranked = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    for _ in range(STEPS):
+    # a node is expanded once: what has left the beam comes in again only behind it
+    while True:
         open_nodes = state.filter(~F.col("done")).withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= EXPAND)
         open_nodes = store.keep(open_nodes.select("query", "node"))
         if open_nodes.isEmpty():
             break
         reached = (
-            open_nodes.join(graph, F.col("node") == F.col("a"))
-            .select("query", F.col("b").alias("node"))
+            open_nodes.join(graph, "node")
+            .select("query", F.explode("near").alias("node"))
             .distinct()
             .join(state.select("query", "node"), ["query", "node"], "left_anti")
         )
@@ -245,19 +256,19 @@ def search(queries: DataFrame, edges: DataFrame, units: DataFrame, store: Stored
             .select("query", "node", "sim", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done"))
         )
         every = marked.unionByName(rated(reached).withColumn("done", F.lit(False)))
-        new = store.keep(every.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= BEAM).drop("_r"))
+        new = store.keep(every.withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") <= beam).drop("_r"))
         store.drop(state, open_nodes)
         state = new
     return state.select("query", "node")
 
 
 def nearest(
-    rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", rounds: int = ROUNDS
+    rows: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", beam: int = BEAM
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for every row that ``is_query`` (a condition on vec_id).
 
-    Rows whose vector is null, zero or holds a null or non-finite component take no part.
-    Repeated rows count once. Equal vectors are found together and listed by id. With
+    ``beam`` is the number of nodes a search remembers. Rows whose vector is null, zero or holds a null or non-finite component take no part.
+    A shorter vector counts as filled up with zeros. Repeated rows count once. Equal vectors are found together and listed by id. With
     fewer candidates than ``k`` all found are listed; no rows or queries give no rows.
     """
     store = Stored(rows.sparkSession)
@@ -265,14 +276,15 @@ def nearest(
     # of equal vectors only the first few ids can appear in a result
     members = store.keep(placed.filter(F.col("place") <= k + 1))
     nodes = members.filter(F.col("place") == 1).select(F.col("vec_id").alias("node"), "v")
-    units = store.keep(_unit(nodes))
-    edges = build_graph(units, store, rounds)
+    dim = members.agg(F.max(F.size("v"))).first()[0] or 0
+    units = store.keep(_unit(nodes, dim))
+    edges = build_graph(units, store)
     of_node = members.join(nodes.select("node", "v"), "v").select("node", "vec_id", "v")
     asked = rows.select(column(vec_id).cast("bigint").alias("query_id"), column(vector).cast("array<double>").alias("v"))
     asked = store.keep(
         asked.filter(is_query(F.col("query_id"))).dropDuplicates(["query_id", "v"]).join(nodes, "v").select("query_id", "node", "v")
     )
-    found = search(asked.select(F.col("node").alias("query")).distinct(), edges, units, store)
+    found = search(asked.select(F.col("node").alias("query")).distinct(), edges, units, store, beam)
     # nodes found near a query's node, and that node itself, with the rows they stand for
     pairs = asked.select("query_id", F.col("node").alias("query"), F.col("v").alias("own")).join(found, "query")
     pairs = pairs.join(of_node, "node").filter(F.col("vec_id") != F.col("query_id")).select("query_id", "own", "vec_id", "v")
@@ -284,7 +296,7 @@ def nearest(
             scores = []
             for p, q in zip(batch.column(1), batch.column(3)):
                 x, y = p.values.to_numpy(), q.values.to_numpy()
-                n = min(len(x), len(y)) if len(x) != len(y) else len(x)
+                n = min(len(x), len(y))
                 scores.append(float(x[:n] @ y[:n]) / float(np.sqrt(x @ x) * np.sqrt(y @ y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64())], schema=schema)
 
