@@ -23,6 +23,9 @@ from stepwell.llm import (
 )
 from stepwell.llm.common import table
 
+#: Limit of ``sharding_in_small_shards``.
+SMALL_SHARD_BYTES = 60_000
+
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
@@ -77,6 +80,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "shard", "depth")
 
 
+def sharding_in_small_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op10, with a limit at which small tables split too, and unevenly."""
+    sharded = sharding.assign(table(spark, sf_dir, "documents"), SMALL_SHARD_BYTES, carry=["doc_id"])
+    return sharded.select(F.col("_row.doc_id").alias("doc_id"), "n_bytes", "shard", "depth")
+
+
 def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -134,14 +143,17 @@ QUERIES = {
         op8_nearest_neighbours,
         op9_quality_rules,
         op10_sharding,
+        sharding_in_small_shards,
         op11_embedding_near_dedup,
         op12_periodic_runs,
         op13_ranked_lexical_search,
     ]
 }
-ORACLE: dict[str, str] = {
-    # the least depth at which the prefix of a document's hash bits fits the limit
-    "op10_sharding": f"""
+
+
+def _shards_sql(limit: int) -> str:
+    """The least depth at which the prefix of a document's hash bits fits the limit."""
+    return f"""
         WITH k AS (
             SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes,
                    CAST('0x' || substr(md5(CAST(doc_id AS varchar)), 1, 10) AS bigint) AS h
@@ -154,8 +166,42 @@ ORACLE: dict[str, str] = {
                substr(lpad(bin(h), 40, '0'), 1, CAST(min(d) AS bigint)) AS shard,
                CAST(min(d) AS integer) AS depth
         FROM k JOIN sums ON p = h >> (40 - d)
-        WHERE b <= {sharding.SHARD_BYTES} OR n = 1
+        WHERE b <= {limit} OR n = 1
         GROUP BY k.doc_id, n_bytes, h
+    """
+
+
+ORACLE: dict[str, str] = {
+    "op10_sharding": _shards_sql(sharding.SHARD_BYTES),
+    "sharding_in_small_shards": _shards_sql(SMALL_SHARD_BYTES),
+    # all 200-byte strings, in hexadecimal, by their digests; a piece holds 1,000 starts and the bytes that their strings need
+    "op6_suffix_array_dedup": """
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), c AS (
+            SELECT doc_id, b, substr(h, 2000 * b + 1, 2398) AS s
+            FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS b FROM t)
+        ), k AS (
+            SELECT doc_id, 1000 * b + unnest(range(0, length(s) // 2 - 199)) AS i,
+                   unnest(list_transform(range(0, length(s) // 2 - 199), lambda j: md5_number(substr(s, 2 * j + 1, 400)))) AS f
+            FROM c WHERE length(s) >= 400
+        ), r AS (
+            SELECT doc_id, i FROM k WHERE f IN (SELECT f FROM k GROUP BY f HAVING count(*) > 1)
+        ), o AS (
+            SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS opens FROM r
+        ), n AS (
+            SELECT doc_id, i, sum(CAST(opens AS integer)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o
+        ), x AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM n GROUP BY doc_id, run
+        ), y AS (
+            SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS done FROM x
+        ), g AS (
+            SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last,
+                   string_agg(substr(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS kept
+            FROM y JOIN t USING (doc_id) GROUP BY doc_id
+        )
+        SELECT t.doc_id, CAST(length(h) // 2 AS bigint) AS n_bytes, CAST(coalesce(removed, 0) AS bigint) AS n_removed,
+               CAST(coalesce(spans, 0) AS bigint) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM t LEFT JOIN g USING (doc_id)
     """,
     # sets of shingles, counts of shared ones, and the smallest id by steps along links
     "op3_ngram_jaccard_join": r"""

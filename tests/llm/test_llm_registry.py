@@ -1,13 +1,14 @@
 """Registered queries: names, columns, SQL, and recall over a whole table."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("public_tokenizers")
 
 import __spark_entry__ as contract  # noqa: E402
 from compare import compare, duck  # noqa: E402
-from stepwell.llm import registry  # noqa: E402
+from stepwell.llm import neighbours, registry  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -51,15 +52,46 @@ def test_query_equals_sql(spark, name):
     assert compare(spark, duck(SF_DIR), SF_DIR, name) == []
 
 
-def test_recall_over_a_whole_table(spark):
-    vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").toPandas()
-    ids, x = vectors.vec_id.to_numpy(), np.vstack(vectors.embedding).astype(float)
+def test_small_shards_split_unevenly(spark):
+    rows = registry.sharding_in_small_shards(spark, SF_DIR).select("depth").distinct().count()
+    assert rows > 1
+
+
+def recall(rows, found):
+    """Share of the five nearest rows by brute force that were found."""
+    ids, x = rows.vec_id.to_numpy(), np.vstack(rows.embedding).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    got = registry.op8_nearest_neighbours(spark, SF_DIR).toPandas().groupby("query_id").vec_id.apply(set)
+    got = found.groupby("query_id").vec_id.apply(set)
     hits = []
     for i in np.flatnonzero(ids % 50 == 0):
         score = x @ x[i]
         score[i] = -2
         best = ids[np.lexsort((ids, -score))[:5]]
         hits.append(len(set(best) & got[ids[i]]) / 5)
-    assert np.mean(hits) >= 0.9
+    return np.mean(hits)
+
+
+def test_recall_over_a_whole_table(spark):
+    vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").toPandas()
+    assert recall(vectors, registry.op8_nearest_neighbours(spark, SF_DIR).toPandas()) >= 0.9
+
+
+def test_recall_with_a_beam_far_below_the_vectors(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert recall(vectors.toPandas(), neighbours.nearest(vectors, lambda i: i % 50 == 0, beam=32).toPandas()) >= 0.9
+
+
+def test_recall_among_near_ties(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 24))
+    rows = [(i, (centres[i % 12] + 0.02 * rng.normal(size=24)).tolist()) for i in range(2400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(6)
+    assert recall(df.toPandas(), neighbours.nearest(df, lambda i: i % 50 == 0, beam=48).toPandas()) >= 0.9
+
+
+def test_vectors_of_different_length(spark):
+    rng = np.random.default_rng(6)
+    short = [(i, rng.normal(size=int(rng.integers(2, 9))).tolist()) for i in range(300)]
+    filled = pd.DataFrame([(i, v + [0.0] * (8 - len(v))) for i, v in short], columns=["vec_id", "embedding"])
+    df = spark.createDataFrame(short, "vec_id bigint, embedding array<double>").repartition(5)
+    assert recall(filled, neighbours.nearest(df, lambda i: i % 50 == 0).toPandas()) == 1
