@@ -77,6 +77,11 @@ class LevelIndex:
         """Rows of each node, then the bytes of the values in each node."""
         return tuple(self.measure().first())
 
+    @cached_property
+    def top_sizes(self) -> tuple[int, int]:
+        """Combinations, and those of the top value that has most."""
+        return _top_sizes(self.combinations, quoted(self.levels[0]))
+
     def measure(self) -> DataFrame:
         each = range(1, self.depth + 1)
         width = " + ".join(f"coalesce(octet_length(CAST({quoted(c)} AS STRING)), 0)" for c in self.levels)
@@ -185,8 +190,8 @@ def build_index(
     small. Every call reads the table as it is then: to share an index pass it on,
     and ``unpersist`` it in the end.
 
-    Up to ``one_task_rows`` combinations are sorted by one task, more are sorted in
-    slices; the result is the same.
+    Up to ``one_task_rows`` combinations are sorted by one task, more are dealt by their top value or, if
+    some top value has many of them, sorted in slices; the result is the same.
     Choices are ranked by a window, or in slices where one combination has more
     than ``group_limit`` of them. A lookup of up to ``broadcast_bytes`` (32 MB) is broadcast.
     """
@@ -236,18 +241,79 @@ def _indexed(
 ) -> LevelIndex:
     spark, names = counted.sparkSession, [quoted(c) for c in levels]
     counted, folder = stored(counted)
-    n_rows = counted.count()
-    compared, folders = (
-        (_compared_in_one(counted, names), []) if n_rows <= one_task_rows else _compared_in_slices(counted, names, n_rows)
-    )
+    n_rows, largest = _top_sizes(counted, names[0])
+    folders = []
+    if n_rows <= one_task_rows:
+        compared = _compared_in_one(counted, names)
+    elif is_spread(n_rows, largest, n_slices := _n_slices(spark, n_rows)):
+        compared = _compared_by_top(counted, names, n_slices)
+    else:
+        compared, folders = _compared_in_slices(counted, names, n_rows)
     combinations, kept = stored(compared)
     for used in [folder, *folders]:
         remove_folder(spark, used)
     index = LevelIndex(levels, combinations, group_limit=group_limit, folders=[kept], broadcast_bytes=broadcast_bytes)
     index.measures  # noqa: B018 - measured once, here
+    index.top_sizes = (n_rows, largest)
     return index
 
 
+def _top_sizes(df: DataFrame, top: str) -> tuple[int, int]:
+    """Rows, and rows of the most frequent top value."""
+    counts = df.groupBy(top).count()
+    return tuple(counts.selectExpr("coalesce(sum(count), 0)", "coalesce(max(count), 0)").first())
+
+
+def _n_slices(spark: SparkSession, n_rows: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // SLICE_ROWS))
+
+
+def is_spread(n_rows: int, largest: int, parts: int) -> bool:
+    """Whether rows dealt into so many parts by their top value come in parts of about equal size."""
+    return 2 * largest * parts <= n_rows
+
+
+def _by_top(df: DataFrame, names: Sequence[str], parts: int) -> DataFrame:
+    """Dealt by top value, with a column per level that sorts nulls last: all windows below share one sort."""
+    flags = {f"__z_{i}": F.col(c).isNull() for i, c in enumerate(names, 1)}
+    return df.repartition(parts, names[0]).withColumns(flags)
+
+
+def _sorted_columns(names: Sequence[str]) -> list[str]:
+    return [x for i, c in enumerate(names, 1) for x in (f"__z_{i}", c)]
+
+
+def _compared_by_top(counted: DataFrame, names: Sequence[str], parts: int) -> DataFrame:
+    """The same as ``_compared_in_one`` for many combinations, of which no top value has many.
+
+    The first combination of a top value is fresh at the top, so top values need not be compared with one another.
+    """
+    each = _sorted_columns(names)
+    in_order = Window.partitionBy(*each[:2]).orderBy(*each[2:] or each)
+    compared = _by_top(counted, names, parts).withColumn("before", F.lag(F.struct(*names)).over(in_order))
+    fresh = f"CASE WHEN before IS NULL THEN 1 ELSE {_fresh(names)} END AS fresh"
+    compared = compared.selectExpr(*each, "n_rows", fresh)
+    for j in _below(names):
+        number = F.sum(_new_choice(names, j)).over(Window.partitionBy(*each[: 2 * j]))
+        compared = compared.withColumn(f"__n_{j + 1}", F.when(F.col("fresh") <= j, number))
+    return compared.select(*names, *OWN_COLUMNS, *[f"__n_{j + 1}" for j in range(1, len(names))])
+
+
+def _choices_by_top(index: LevelIndex, parts: int) -> DataFrame:
+    """Choices of all levels below the top, as ``LevelIndex.choices`` has them, with their level; from one sort."""
+    names = [quoted(c) for c in index.levels]
+    each = _sorted_columns(names)
+    ranked = _by_top(index.combinations.select(*names, "fresh"), names, parts)
+    cells = []
+    for j in _below(names):
+        up_to = Window.partitionBy(*each[: 2 * j]).orderBy(*each[2 * j :]).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = ranked.withColumn(f"__r_{j + 1}", F.sum(_new_choice(names, j)).over(up_to))
+        keys = [f"{c if i <= j else 'NULL'} AS key_{i + 1}" for i, c in enumerate(names)]
+        cell = ", ".join([*keys, f"CAST(__r_{j + 1} AS INT) AS position", f"{j + 1} AS level"])
+        cells.append(f"CASE WHEN {index._in_node(j + 1)} THEN struct({cell}) END")
+    return ranked.selectExpr(f"inline(filter(array({', '.join(cells)}), cell -> cell IS NOT NULL))")
+
+
 def _compared_in_one(counted: DataFrame, names: Sequence[str]) -> DataFrame:
     """Combinations with the level at which each is fresh, sorted in one task: only for a few."""
     in_order = Window.orderBy(*_order(names))
@@ -282,7 +348,7 @@ def _compared_in_slices(counted: DataFrame, names: Sequence[str], n_rows: int) -
     """
     spark = counted.sparkSession
     order = _order(names)
-    n_slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // SLICE_ROWS))
+    n_slices = _n_slices(spark, n_rows)
     in_order = Window.partitionBy("slice").orderBy(*order)
     sliced = (
         counted.repartitionByRange(n_slices, *order)
@@ -372,7 +438,12 @@ def write_index(index: LevelIndex, path: str) -> None:
 
 def _write_version(index: LevelIndex, folder: str) -> None:
     spark = index.combinations.sparkSession
-    write_table(index.combinations, f"{folder}/combinations", ["fresh"], sort_by=index.levels, versioned=False)
+    n_rows, largest = index.top_sizes
+    if n_rows <= ONE_TASK_ROWS:
+        write_table(index.combinations, f"{folder}/combinations", ["fresh"], sort_by=index.levels, versioned=False)
+    else:  # a file per task and folder is no small one then, so nothing is shuffled
+        in_order = index.combinations.sortWithinPartitions("fresh", *_order([quoted(c) for c in index.levels]))
+        in_order.write.partitionBy("fresh").parquet(f"{folder}/combinations")
     buckets = {}
     for k in range(1, index.depth + 1):
         if not index.is_small(k) and not any("collate" in f.dataType.simpleString() for f in index.schema):
@@ -388,6 +459,10 @@ def _write_version(index: LevelIndex, folder: str) -> None:
     write_table(index.measure().withColumn("about", F.lit(about)), f"{folder}/measures", versioned=False)
     if index.depth == 1:
         return
+    parts = _n_slices(spark, n_rows)
+    if n_rows > ONE_TASK_ROWS and is_spread(n_rows, largest, parts):
+        _choices_by_top(index, parts).write.partitionBy("level").parquet(f"{folder}/choices")
+        return
     tables = [index.choices(k).withColumn("level", F.lit(k)) for k in range(2, index.depth + 1)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     write_table(stacked, f"{folder}/choices", ["level"], versioned=False)
