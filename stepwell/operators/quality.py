@@ -18,6 +18,8 @@ from stepwell.sources.tables import scan, storage_size
 
 SLICE_WIDTH = 4_096
 PAIR_KEYS = ["col_a", "value_a", "col_b"]
+#: Shift of a place to the neighbour that it is named for.
+NEXT = [(-1, "next"), (1, "previous")]
 
 
 def absent_pairs(
@@ -37,7 +39,7 @@ def absent_pairs(
     known = _numbered(df, cols, group_limit)
     if known is None:
         return df.sparkSession.createDataFrame([], "col_a string, value_a string, col_b string, value_b string")
-    seen, marks, partners, place_of_b, size, largest = known
+    _, seen, marks, partners, place_of_b, size, largest = known
     if largest <= slice_width:
         missing = _gaps(seen.unionByName(marks), PAIR_KEYS, "place", size)
     else:
@@ -59,29 +61,47 @@ def absent_ranges(
     if known is None:
         empty = "col_a string, value_a string, col_b string, first_value string, last_value string, n_values bigint"
         return df.sparkSession.createDataFrame([], empty)
-    seen, marks, _, place_of_b, size, _ = known
+    pairs, _, marks, _, place_of_b, size, _ = known
+    # each place with the values before and after it, so that gaps need not look them up
+    near = place_of_b.select("col_b", F.col("place").alias("own"), "value_b")
+    after, before = (near.select("col_b", (F.col("own") + d).alias("place"), F.col("value_b").alias(name)) for d, name in NEXT)
+    around = place_of_b
+    for neighbour in (after, before):
+        # files tell little of the size of a domain in memory, so it is never broadcast
+        around = around.join(neighbour.hint("merge"), ["col_b", "place"], "left")
+    around, _ = stored(around)
+    seen = pairs.join(around, ["col_b", "value_b"])
+    # a domain begins at its mark and ends behind its last place
+    ends = place_of_b.groupBy("col_b").agg(F.min_by("value_b", "place").alias("next"), F.max_by("value_b", "place").alias("last"))
+    domain = {row["col_b"]: (row["next"], row["last"]) for row in ends.collect()}
+    first_of, last_of = (_by_column({c: x[i] for c, x in domain.items()}) for i in (0, 1))
+    marks = marks.select(*PAIR_KEYS, "place", first_of.alias("next"), F.lit(None).cast("string").alias("previous"))
     # the mark at -1 is in the first slice
-    sliced = seen.unionByName(marks).withColumn("slice", F.greatest(F.floor(F.col("place") / slice_width), F.lit(0)))
-    following = F.lead("first_place").over(Window.partitionBy(*PAIR_KEYS).orderBy("slice"))
-    slices = sliced.groupBy(*PAIR_KEYS, "slice").agg(F.min("place").alias("first_place"))
-    # where the next slice that holds anything begins, one row per slice
-    borders = slices.select(*PAIR_KEYS, "slice", F.coalesce(following, size).alias("border"))
-    after = Window.partitionBy(*PAIR_KEYS, "slice").orderBy("place")
-    placed = sliced.join(borders, [*PAIR_KEYS, "slice"])
-    until = F.coalesce(F.lead("place").over(after), F.col("border"))
-    gaps = placed.withColumns({"first": F.col("place") + 1, "last": until - 1}).filter("first <= last")
-
-    def value_at(place: str) -> DataFrame:
-        return place_of_b.select("col_b", F.col("place").alias(place), F.col("value_b").alias(f"{place}_value"))
-
-    named = gaps.join(value_at("first"), ["col_b", "first"]).join(value_at("last"), ["col_b", "last"])
-    return named.select(*PAIR_KEYS, "first_value", "last_value", (F.col("last") - F.col("first") + 1).alias("n_values"))
+    placed = seen.select(*marks.columns).unionByName(marks)
+    placed = placed.withColumn("slice", F.greatest(F.floor(F.col("place") / slice_width), F.lit(0)))
+    in_slice = Window.partitionBy(*PAIR_KEYS, "slice").orderBy("place")
+    here = F.struct("place", "previous")
+    placed = placed.select("*", F.lead(here).over(in_slice).alias("until"), F.first(here).over(in_slice).alias("begin"))
+    # what has no gap behind it in its slice is of no use, but for the last place of a slice
+    placed, _ = stored(placed.filter("until IS NULL OR until.place > place + 1"))
+    # one row per slice: the next slice that holds anything ends the gap
+    border = F.lead("begin").over(Window.partitionBy(*PAIR_KEYS).orderBy("slice"))
+    behind = F.struct(size.alias("place"), last_of.alias("previous"))
+    borders = placed.filter("until IS NULL").withColumn("until", F.coalesce(border, behind))
+    gaps = placed.filter("until IS NOT NULL").unionByName(borders).withColumn("n_values", F.expr("until.place - place - 1"))
+    names = [F.col("next").alias("first_value"), F.col("until.previous").alias("last_value")]
+    return gaps.filter("n_values > 0").select(*PAIR_KEYS, *names, "n_values")
+
+
+def _by_column(values: dict):
+    """The value that belongs to ``col_b``."""
+    return F.create_map(*[F.lit(x) for item in values.items() for x in item])[F.col("col_b")]
 
 
 def _numbered(df: DataFrame, cols: Sequence[str], group_limit: int):
     """Numbered values of all column pairs, None if fewer than two columns have any.
 
-    The places of ``col_b`` seen with each value of ``col_a``, a mark before the first place of each, the pairs of
+    The value pairs that occur, the places of ``col_b`` seen with each value of ``col_a``, a mark before the first place of each, the pairs of
     a value and a column, the places, the number of places by column, and the largest of these.
     """
     cols = list(cols)
@@ -95,11 +115,12 @@ def _numbered(df: DataFrame, cols: Sequence[str], group_limit: int):
     if len(sizes) < 2:
         return None
     largest = max(sizes.values())
-    places = dense_positions(values, ["col"], "value", "place", largest, group_limit)
+    places, _ = stored(dense_positions(values, ["col"], "value", "place", largest, group_limit))
     place_of_b = places.withColumnsRenamed({"col": "col_b", "value": "value_b"})
-    size = F.create_map(*[F.lit(x) for item in sizes.items() for x in item])[F.col("col_b")]
+    size = _by_column(sizes)
 
-    seen = _value_pairs(combinations, pairs).join(place_of_b, ["col_b", "value_b"]).select(*PAIR_KEYS, "place")
+    met = _value_pairs(combinations, pairs)
+    seen = met.join(place_of_b, ["col_b", "value_b"]).select(*PAIR_KEYS, "place")
     partners = F.create_map(*[x for c in cols for x in (F.lit(c), _array([b for a, b in pairs if a == c]))])
     partners = values.select(
         F.col("col").alias("col_a"), F.col("value").alias("value_a"), F.explode(partners[F.col("col")]).alias("col_b")
@@ -107,7 +128,7 @@ def _numbered(df: DataFrame, cols: Sequence[str], group_limit: int):
     partners = partners.filter(F.col("col_b").isin(list(sizes)))
     # a mark before the first number also catches values that were seen with nothing
     marks = partners.withColumn("place", F.lit(-1).cast("bigint"))
-    return seen, marks, partners, place_of_b, size, largest
+    return met, seen, marks, partners, place_of_b, size, largest
 
 
 def _gaps_by_slice(seen, partners, keys, size, mark, width: int) -> DataFrame:

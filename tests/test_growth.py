@@ -58,3 +58,12 @@ def test_one_frequent_top_value_is_cut_into_slices(spark, many_tops):
     index = sw.build_index(hot, LEVELS, one_task_rows=10)
     assert not plans.is_spread(*index.top_sizes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     assert same(index.combinations, sw.build_index(hot, LEVELS).combinations)
+
+
+@pytest.mark.parametrize("width", [3, 4096])
+def test_gaps_are_named_without_joins(many_tops, width):
+    ranges = sw.absent_ranges(many_tops, ["a", "b", "c"], slice_width=width)
+    assert "Join" not in plan_of(ranges)
+    spread = ranges.groupBy("col_a", "value_a", "col_b").agg(F.sum("n_values").alias("n"))
+    pairs = sw.absent_pairs(many_tops, ["a", "b", "c"]).groupBy("col_a", "value_a", "col_b").agg(F.count("*").alias("n"))
+    assert same(spread, pairs)
