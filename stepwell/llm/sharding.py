@@ -47,7 +47,7 @@ def _split(rows: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     fits = (F.col("_b") <= limit) | (F.col("_n") == 1)
     chosen = (
         depths.select("_cell", "_depth", prefix.alias("_prefix"))
-        .join(sums, ["_depth", "_prefix"])
+        .join(sums.hint("merge"), ["_depth", "_prefix"])
         .groupBy("_cell")
         .agg(F.min(F.when(fits, F.col("_depth"))).alias("_fit"))
     )
@@ -79,7 +79,8 @@ def assign(
     low, high = 0, min(PATH_BITS, max(1, (2 * total // limit_bytes).bit_length()) + SPARE_BITS)
     parts, open_rows = [], rows
     while True:
-        cells = store.keep(_split(open_rows, low, high, limit_bytes))
+        # files tell little of the size of a directory in memory, so it is never broadcast
+        cells = store.keep(_split(open_rows, low, high, limit_bytes)).hint("merge")
         keyed = open_rows.withColumn("_cell", _cell(high)).join(cells, "_cell").drop("_cell")
         deepest = high == PATH_BITS or cells.filter("_over").isEmpty()
         parts.append(keyed if deepest else keyed.filter(~F.col("_over")))
