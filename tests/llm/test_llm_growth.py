@@ -1,6 +1,11 @@
 """Memory of a task and of the driver does not grow with the rows."""
 
-from stepwell.llm import sharding
+import tracemalloc
+
+import numpy as np
+import pandas as pd
+
+from stepwell.llm import quality_model, sharding
 
 
 def test_directory_of_shards_is_not_broadcast(spark):
@@ -8,3 +13,31 @@ def test_directory_of_shards_is_not_broadcast(spark):
     plan = sharding.assign(docs, 400, carry=["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert "BroadcastHashJoin" not in plan
+
+
+def test_cells_are_gathered_in_little_memory():
+    class Rows:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, partial, schema):
+            self.partial = partial
+            raise InterruptedError
+
+    rng, rows = np.random.default_rng(0), Rows()
+    seeds = rng.random((2048, quality_model.N_FEATURES))
+    try:
+        quality_model._gathered(rows, seeds, seeds.mean(0), seeds.std(0))
+    except InterruptedError:
+        pass
+    values = rng.random((10_000, quality_model.N_FEATURES))
+    batch = pd.DataFrame({"x": [v.astype("<f8").tobytes() for v in values]})
+    tracemalloc.start()
+    (found,) = rows.partial(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    z, v = ((x - seeds.mean(0)) / seeds.std(0) for x in (seeds, values))
+    nearest = np.array([((z - one) ** 2).sum(1).argmin() for one in np.clip(v, -6, 6)[:200]])
+    assert found["n"].sum() == 10_000
+    assert set(nearest) <= set(found["cell"])
+    assert peak < 64 << 20
