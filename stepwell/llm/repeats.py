@@ -21,6 +21,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ DEPTH, GRAM = 200, 64
 #: Bytes of text handled at once; longer texts are read in overlapping pieces.
 CHUNK_BYTES = 4 << 20
 #: Bytes of one suffix array, and segments of one anchor per shard.
-SHARD_BYTES, SHARD_SEGMENTS = 4 << 20, 8192
+SHARD_BYTES, SHARD_SEGMENTS = 1 << 20, 8192
+#: Rows that a task hands on at once.
+BATCH_ROWS = 20_000
 _PLACE = np.uint64((1 << 24) - 1)
 
 _ANCHORS = pa.schema([("kind", pa.int8()), ("fp", pa.int64()), ("node", pa.int64()), ("place", pa.int64())])
@@ -59,6 +62,11 @@ def _as_batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return _batch(schema, *(zip(*rows) if rows else [[]] * len(schema)))
 
 
+def _as_batches(schema: pa.Schema, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, BATCH_ROWS)):
+        yield _as_batch(schema, some)
+
+
 def _slide(x: np.ndarray, size: int, least: bool) -> np.ndarray:
     """Least or largest of every ``size`` consecutive values, by doubling."""
     pick, span, out = (np.minimum if least else np.maximum), 1, x
@@ -148,6 +156,18 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return cut.select(*[columns.get(c, own[c].alias(c)) for c in docs.columns])
 
 
+def _plain(batch: pa.RecordBatch, n: int) -> list:
+    """The first ``n`` columns, value by value."""
+    return [batch.column(i).to_pylist() for i in range(n)]
+
+
+def _lists(column: pa.ListArray) -> list:
+    """Per row the values of each field of a list of structs, as arrays; a null is an empty list."""
+    ends, places = column.offsets.to_numpy(), column.values
+    fields = [places.field(i).to_numpy(zero_copy_only=False) for i in range(places.type.num_fields)]
+    return [[x[a:b] for a, b in zip(ends[:-1], ends[1:])] for x in fields]
+
+
 def _text(body: bytes, size: int) -> bytes:
     return pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
@@ -225,9 +245,9 @@ def _send_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     met, size, shards = defaultdict(list), 0, {}
     for batch in batches:
-        for node, n, body, found in zip(*[c.to_pylist() for c in batch.columns]):
+        for node, n, body, places, shards_of in zip(*_plain(batch, 3), *_lists(batch.column(3))):
             text = _text(body, n)
-            wanted = {x["place"]: x["shards"] for x in found}
+            wanted = dict(zip(places.tolist(), shards_of.tolist()))
             for fp, place, first, last in zip(*[x.tolist() for x in anchors(text)]):
                 if place in wanted:
                     if wanted[place] > 1:
@@ -295,7 +315,7 @@ def _shard(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.R
                 continue
             if row[1:3] != last:
                 if size > shard_bytes:
-                    yield _as_batch(_PARTS, list(_search(groups)))
+                    yield from _as_batches(_PARTS, _search(groups))
                     groups, size = [], 0
                 groups.append([])
                 last = row[1:3]
@@ -303,7 +323,7 @@ def _shard(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.R
             size += len(row[7])
         yield _as_batch(_PARTS, known)
     if groups:
-        yield _as_batch(_PARTS, list(_search(groups)))
+        yield from _as_batches(_PARTS, _search(groups))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,16 +402,16 @@ def remove(
         nothing = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             out = []
-            for key, size, sha, copies, found, body in zip(*[batch.column(i).to_pylist() for i in range(6)]):
+            for key, size, sha, copies, body, los, his in zip(*_plain(batch, 5), *_lists(batch.column(5))):
                 if copies and size >= DEPTH:
                     out.append((key, size, size, 1, nothing, "" if with_text else None))
                     continue
-                if not found:
+                if not len(los):
                     out.append((key, size, 0, 0, sha, _text(body, size).decode() if with_text else None))
                     continue
                 raw, kept, at, removed, runs = _text(body, size), [], 0, 0, 0
                 end = -1
-                for lo, hi in sorted((x["lo"], x["hi"] + DEPTH) for x in found):
+                for lo, hi in sorted(zip(los.tolist(), (his + DEPTH).tolist())):
                     if lo > end:
                         kept.append(raw[at:lo])
                         runs += 1
@@ -408,7 +428,7 @@ def remove(
             else:
                 yield made
 
-    names = ["doc_id", "size", "sha", "copies", "found", "body"]
+    names = ["doc_id", "size", "sha", "copies", "body", "found"]
     if with_text:
         return marked.select(*names, "_row").mapInArrow(cut, StructType([*StructType.fromDDL(ddl), rows.schema["_row"]]))
     return marked.select(*names).mapInArrow(cut, ddl).drop("kept")
